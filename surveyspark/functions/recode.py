@@ -363,25 +363,27 @@ def phone_or_cellphone(df: DataFrame, keys: Sequence[str], phone: str = "PHONE",
     )
 
 
-def apply_mapping(df: DataFrame, mapping: DataFrame, id_cols: Sequence[str], cols: Sequence[str]) -> DataFrame:
+def apply_mapping(df: DataFrame, mapping: DataFrame, cols: Sequence[str], steps: int) -> DataFrame:
     """Apply a long mapping table (column, step, from, to) to answer columns, step after step.
 
-    The steps of one (column, from) chain are resolved on the mapping, so the data is
-    joined once per column, by equality on the answer.
+    The steps run on the distinct answers of a column; the data itself is joined once per
+    column, with the resolved answer. Answers without a mapping stay as they are.
     """
     for c in cols:
-        one = mapping.filter(F.col("column") == c)
-        steps = sorted(r["step"] for r in one.select("step").distinct().limit(1000).collect())
-        out = F.col(f"`{c}`").cast("string")
-        joined = df.withColumn(c, out)
-        for s in steps:
-            part = one.filter(F.col("step") == s).select(F.col("from").alias("__from"), F.col("to").alias("__to"))
-            joined = (
-                joined.join(part, F.col(f"`{c}`") == F.col("__from"), "left")
-                .withColumn(c, F.when(F.col("__from").isNotNull(), F.col("__to")).otherwise(F.col(f"`{c}`")))
-                .drop("__from", "__to")
+        ref = F.col(f"`{c}`").cast("string")
+        known = df.select(ref.alias("__from")).distinct().withColumn("__to", F.col("__from"))
+        for step in range(1, steps + 1):
+            part = mapping.filter((F.col("column") == c) & (F.col("step") == step)).select(
+                F.col("from").alias("__old"), F.col("to").alias("__new")
             )
-        df = joined
+            known = known.join(part, F.col("__to") == F.col("__old"), "left").select(
+                "__from", F.when(F.col("__old").isNotNull(), F.col("__new")).otherwise(F.col("__to")).alias("__to")
+            )
+        df = (
+            df.join(known, ref.eqNullSafe(F.col("__from")), "left")
+            .withColumn(c, F.col("__to"))
+            .drop("__from", "__to")
+        )
     return df
 
 
