@@ -8,12 +8,14 @@ over as many tasks as there are ranges.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+COARSE = 16
+RANGES = COARSE * COARSE
 
 
 def null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
@@ -33,14 +35,7 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, ranges: int
     for k in keys:
         src = src.filter(F.col(k).isNotNull())
     counts = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    cuts = [i / ranges for i in range(1, ranges)]
-    bounds = counts.select(value).distinct().agg(
-        F.percentile_approx(F.col(value), cuts, 16 * ranges).alias("b")
-    )
-    counts = counts.withColumn("__bounds", bounds.scalar())
-    counts = counts.withColumn(
-        "__range", F.size(F.filter(F.coalesce("__bounds", F.array()), lambda b: b < F.col(value)))
-    ).drop("__bounds")
+    counts = counts.withColumn("__range", value_range(counts, value, ranges))
     per_range = counts.groupBy(*keys, "__range").agg(F.sum("n").alias("__m"))
     over_ranges = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
     running = over_ranges.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,6 +57,48 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, ranges: int
     )
 
 
+def value_range(counts: DataFrame, value: str, ranges: int) -> Column:
+    """Number of the range a value falls into; ranges hold about equally many distinct values.
+
+    The bounds are one small array, found once and inlined; a value is placed by a coarse
+    and a fine comparison.
+    """
+    coarse = max(2, math.isqrt(ranges))
+    ranges = coarse * coarse
+    cuts = [i / ranges for i in range(1, ranges)]
+    bounds = (
+        counts.select(value).distinct()
+        .agg(F.coalesce(F.percentile_approx(F.col(value), cuts, 16 * ranges), F.array()).alias("b"))
+        .scalar()
+    )
+    v = F.col(value)
+    marks = F.array(*[F.get(bounds, F.lit(i * coarse - 1)) for i in range(1, coarse)])
+    block = F.size(F.filter(marks, lambda b: b < v))
+    inside = F.size(F.filter(F.slice(bounds, block * coarse + 1, F.lit(coarse - 1)), lambda b: b < v))
+    return block * coarse + inside
+
+
+def hash_positions(df: DataFrame, hash_col: str, span: float, ranges: int = 1024) -> DataFrame:
+    """Rows with their 0-based position along a unique uniform hash, and the number of rows.
+
+    A uniform hash needs no bounds: equal slices of its span hold about equally many rows.
+    """
+    rows = df.withColumn("__slice", F.floor(F.col(hash_col) / F.lit(span / ranges)))
+    per = rows.groupBy("__slice").agg(F.count(F.lit(1)).alias("__m"))
+    w = Window.partitionBy(F.lit(0)).orderBy("__slice")
+    per = per.select(
+        "__slice",
+        F.coalesce(F.sum("__m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"),
+        F.sum("__m").over(Window.partitionBy(F.lit(0))).alias("total"),
+    )
+    inside = Window.partitionBy("__slice").orderBy(hash_col)
+    return (
+        rows.join(per, "__slice")
+        .withColumn("position", F.row_number().over(inside) - 1 + F.col("__offset"))
+        .drop("__slice", "__offset")
+    )
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], ranges: int = RANGES
 ) -> DataFrame:

@@ -59,9 +59,8 @@ def interval_aggregate(
     distinct = anchors.select(*area, F.col(date).cast("date").alias("__d")).distinct()
     # a month belongs to [d + start, d + end) when its first day does
     lead = F.when(F.dayofmonth("__d") > 1, 1).otherwise(0)
-    # clamped month ends never move a date past the first of the next month
     spread = distinct.withColumn("__off", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn(
-        "__month", F.trunc(F.add_months(F.trunc("__d", "month"), F.col("__off") + 0), "month")
+        "__month", F.add_months(F.trunc("__d", "month"), F.col("__off")).cast("date")
     )
     rows = panel.select(*area, F.col(panel_month).cast("date").alias("__month"), *[F.col(q(m)) for m in measures])
     met = spread.join(rows, [*area, "__month"], "inner").withColumn("__lead", lead)
