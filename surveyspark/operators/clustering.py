@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         # large star: neighbours above a node move to the smallest node around it
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = (
             both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .filter("u <> v").distinct()
@@ -114,8 +116,8 @@ def _near_cells(points: DataFrame, eps: float, depth: int = 30) -> DataFrame:
         near = pairs.filter(dist2("a_rep", "b_rep") <= e2).select("a_cell", "b_cell").distinct()
         near = cut_lineage(near)
         found = near if found is None else found.unionByName(near)
-        single = lambda t: dist2(f"{t}_lo", f"{t}_hi") == 0
-        undecided = pairs.join(near, ["a_cell", "b_cell"], "left_anti").filter(~(single("a") & single("b")))
+        points_only = (dist2("a_lo", "a_hi") == 0) & (dist2("b_lo", "b_hi") == 0)
+        undecided = pairs.join(near, ["a_cell", "b_cell"], "left_anti").filter(~points_only)
         undecided = cut_lineage(undecided.select("a_cell", "b_cell", "a_box", "b_box"))
         if undecided.limit(1).count() == 0:
             break
@@ -215,68 +217,71 @@ def vector_near_pairs(
     Vectors are put into the cell of their nearest pivot; by the triangle inequality a
     vector must also be seen by every cell whose pivot is no more than ``2 · radius``
     farther. Cells above ``max_cell`` vectors are divided again with pivots of their own,
-    and equal vectors are reduced to one beforehand. Inside a cell the distances of one
-    small block are computed as a matrix and only a spanning set of the near pairs leaves it.
+    up to ``depth`` times, and equal vectors are reduced to one beforehand. A cell that
+    stays crowded is dealt out over blocks, and pairs of blocks go to different tasks.
     """
-    import numpy as np
-    import pandas as pd
-
     distinct = df.groupBy(vec).agg(F.min(ident).alias("id"))
     twins = df.join(distinct, vec).filter(F.col(ident) != F.col("id")).select(F.col(ident).alias("a"), F.col("id").alias("b"))
+    doubles = F.transform(F.col("v"), lambda e: e.cast("double"))
     work = cut_lineage(
-        distinct.select("id", F.col(vec).alias("v")).withColumn("cell", F.lit("0")).withColumn("home", F.lit(True))
+        distinct.select("id", F.col(vec).alias("v")).select("id", doubles.alias("v"), F.lit("0").alias("cell"))
     )
-    done = None
-    for level in range(depth):
+    done = []
+    for level in range(depth + 1):
         sizes = work.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-        small = sizes.filter(F.col("n") <= max_cell).select("cell")
-        ready = cut_lineage(work.join(small, "cell", "left_semi"))
-        done = ready if done is None else done.unionByName(ready)
-        big = cut_lineage(work.join(small, "cell", "left_anti"))
-        if level == depth - 1 or big.limit(1).count() == 0:
-            if big.limit(1).count():
-                done = done.unionByName(big)
+        fits = F.col("n") <= (max_cell if level < depth else F.lit(2**62))
+        done.append(cut_lineage(work.join(sizes.filter(fits), "cell")))
+        big = cut_lineage(work.join(sizes.filter(~fits).select("cell"), "cell", "left_semi"))
+        if big.limit(1).count() == 0:
             break
-        ranked = big.withColumn("h", seeded_hash(f"{seed}-{level}", "id"))
-        chosen = ranked.groupBy("cell").agg(F.expr(f"slice(array_sort(collect_list(struct(h, v))), 1, {pivots})").alias("p"))
-        raise_if = chosen  # pivots per crowded cell, at most ``pivots`` vectors each
-
-        def place(parts):
-            for pdf in parts:
-                out = {"id": [], "v": [], "cell": [], "home": []}
-                for i, v, cell, home, p in zip(pdf["id"], pdf["v"], pdf["cell"], pdf["home"], pdf["p"]):
-                    piv = np.stack([np.asarray(t, float) for t in p])
-                    d = np.sqrt(((piv - np.asarray(v, float)) ** 2).sum(axis=1))
-                    near = np.flatnonzero(d <= d.min() + 2 * radius)
-                    own = int(d.argmin())
-                    for c in near:
-                        out["id"].append(i)
-                        out["v"].append(v)
-                        out["cell"].append(f"{cell}.{c}")
-                        out["home"].append(bool(home) and int(c) == own)
-                yield pd.DataFrame(out)
-
-        placed = big.join(raise_if, "cell").select(
-            "id", F.expr("transform(v, e -> double(e))").alias("v"), "cell", "home", F.expr("transform(p, e -> transform(e.v, f -> double(f)))").alias("p")
+        slot = seeded_hash(f"{seed}-{level}", "id")
+        chosen = (
+            big.withColumn("h", slot).groupBy("cell", F.pmod("h", F.lit(pivots)).alias("slot"))
+            .agg(F.min_by("v", "h").alias("v"))
+            .groupBy("cell").agg(F.collect_list("v").alias("p"))
         )
         work = cut_lineage(
-            placed.mapInPandas(place, big.select("id", F.expr("transform(v, e -> double(e))").alias("v"), "cell", "home").schema)
+            big.join(chosen, "cell").mapInPandas(_place_near(radius), big.select("id", "v", "cell").schema)
         )
-    return _block_edges(done, radius).unionByName(twins)
+    cells = done[0]
+    for d in done[1:]:
+        cells = cells.unionByName(d)
+    return _block_edges(cells, radius, max_cell).unionByName(twins)
+
+
+def _place_near(radius: float):
+    """Copies of each vector for its nearest pivot and all pivots almost as near."""
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for i, v, cell, p in zip(pdf["id"], pdf["v"], pdf["cell"], pdf["p"]):
+                d = np.sqrt(((np.stack(list(p)) - v) ** 2).sum(axis=1))
+                out += [(i, v, f"{cell}.{c}") for c in np.flatnonzero(d <= d.min() + 2 * radius)]
+            yield pd.DataFrame(out, columns=["id", "v", "cell"])
 
-def _block_edges(cells: DataFrame, radius: float) -> DataFrame:
-    """Near pairs inside each cell, thinned to a forest with the same components."""
-    import numpy as np
-    import pandas as pd
+    return run
 
+
+def _block_edges(cells: DataFrame, radius: float, max_cell: int) -> DataFrame:
+    """Near pairs inside each cell (id, v, cell, n), thinned to a forest with the same components.
+
+    A cell of n vectors is dealt out over ``ceil(n / max_cell)`` blocks; every pair of
+    blocks is one group, so a group never holds more than two blocks.
+    """
+    blocks = F.ceil(F.col("n") / max_cell)
+    own = F.pmod(F.xxhash64("id"), blocks)
+    dealt = (
+        cells.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        .select("id", "v", "cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    )
     ident = cells.schema["id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, float) for v in pdf["v"]])
+        pdf = pdf.sort_values("id")
+        x = np.stack(list(pdf["v"]))
         ids = pdf["id"].to_numpy()
-        order = np.argsort(ids)
-        x, ids = x[order], ids[order]
         sq = (x * x).sum(axis=1)
         root = np.arange(len(ids))
 
@@ -288,16 +293,16 @@ def _block_edges(cells: DataFrame, radius: float) -> DataFrame:
 
         a, b = [], []
         for i in range(len(ids)):
-            d2 = sq[i] + sq[:i] - 2 * x[:i] @ x[i]
+            d2 = sq[i] + sq[:i] - 2 * (x[:i] @ x[i])
             for j in np.flatnonzero(d2 <= radius * radius + 1e-12):
-                r, s = top(i), top(int(j))
-                if r != s:
-                    root[max(r, s)] = min(r, s)
+                r, t = top(i), top(int(j))
+                if r != t:
+                    root[max(r, t)] = min(r, t)
                     a.append(ids[i])
                     b.append(ids[j])
         return pd.DataFrame({"a": a, "b": b})
 
-    return cells.select("id", "v", "cell").groupBy("cell").applyInPandas(run, f"a {ident}, b {ident}")
+    return dealt.groupBy("cell", "p", "q").applyInPandas(run, f"a {ident}, b {ident}")
 
 
 def cluster_vectors(df: DataFrame, ident: str, vec: str, radius: float, out: str = "similar") -> DataFrame:
