@@ -13,6 +13,9 @@ from surveyspark.core.namespaces import quoted as q
 from surveyspark.core.session import cut_lineage
 
 
+CROWDED_CELL = 1024
+
+
 def sibling_groups(cols: Sequence[str]) -> dict[str, list[str]]:
     """Columns that answer the same question: all whose name starts with the same base."""
     groups: dict[str, list[str]] = {}
@@ -68,9 +71,10 @@ def nearest_donors(
 
     Features are complete and on a common scale. Donors of equal features are merged to
     (rows, sum). Receivers look into the grid cells around them, on the first two features;
-    a receiver is tried at the first cell size whose neighbourhood holds ``k`` donors, and
-    is settled when its k-th distance is no larger than the cell, since every donor nearer
-    than that lies in the neighbourhood. All others go on to larger cells. Donors equally
+    sizes start where no cell is crowded, so dense regions are searched in small cells. A
+    receiver is tried at the first size whose neighbourhood holds ``k`` donors, and is settled
+    when its k-th distance is no larger than the cell, since every donor nearer than that
+    lies in the neighbourhood. All others go on to larger cells. Donors equally
     far are taken in the order of their features, the last one in parts.
     """
     dims = list(features[:2])
@@ -85,6 +89,11 @@ def nearest_donors(
     k = min(k, head["n"])
     span = max(head[f"hi{i}"] - head[f"lo{i}"] for i in range(len(dims))) or 1.0
     side = start or span / max(2.0, (head["n"] / (2 * k)) ** (1 / len(dims)))
+    while start is None and side > span * 1e-9:
+        crowd = grp.groupBy(*[F.floor(F.col(q(d)) / side) for d in dims]).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m").alias("m"))
+        if crowd.first()["m"] <= CROWDED_CELL:
+            break
+        side /= growth
     around = "transform(sequence(-1, 1), a -> struct(a, 0 AS b))" if len(dims) == 1 else (
         "flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> struct(a, b))))"
     )
