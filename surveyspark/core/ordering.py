@@ -35,7 +35,7 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, ranges: int
     for k in keys:
         src = src.filter(F.col(k).isNotNull())
     counts = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("__range", value_range(counts, value, ranges))
+    counts = with_value_range(counts, value, ranges)
     per_range = counts.groupBy(*keys, "__range").agg(F.sum("n").alias("__m"))
     over_ranges = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
     running = over_ranges.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,8 +57,8 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, ranges: int
     )
 
 
-def value_range(counts: DataFrame, value: str, ranges: int) -> Column:
-    """Number of the range a value falls into; ranges hold about equally many distinct values.
+def with_value_range(counts: DataFrame, value: str, ranges: int) -> DataFrame:
+    """Column ``__range``: ranges in order of value that hold about equally many distinct values.
 
     The bounds are one small array, found once and inlined; a value is placed by a coarse
     and a fine comparison.
@@ -66,16 +66,18 @@ def value_range(counts: DataFrame, value: str, ranges: int) -> Column:
     coarse = max(2, math.isqrt(ranges))
     ranges = coarse * coarse
     cuts = [i / ranges for i in range(1, ranges)]
-    bounds = (
-        counts.select(value).distinct()
-        .agg(F.coalesce(F.percentile_approx(F.col(value), cuts, 16 * ranges), F.array()).alias("b"))
-        .scalar()
+    bounds = counts.select(value).distinct().agg(
+        F.coalesce(F.percentile_approx(F.col(value), cuts, 16 * ranges), F.array()).alias("b")
+    )
+    b, v = F.col("__bounds"), F.col(value)
+    marks = F.array(*[F.get(b, F.lit(i * coarse - 1)) for i in range(1, coarse)])
+    inside = F.size(F.filter(F.slice(b, F.col("__coarse") * coarse + 1, F.lit(coarse - 1)), lambda x: x < v))
+    return (
+        counts.withColumn("__bounds", bounds.scalar())
+        .withColumn("__coarse", F.size(F.filter(marks, lambda x: x < v)))
+        .withColumn("__range", F.col("__coarse") * coarse + inside)
+        .drop("__bounds", "__coarse")
     )
-    v = F.col(value)
-    marks = F.array(*[F.get(bounds, F.lit(i * coarse - 1)) for i in range(1, coarse)])
-    block = F.size(F.filter(marks, lambda b: b < v))
-    inside = F.size(F.filter(F.slice(bounds, block * coarse + 1, F.lit(coarse - 1)), lambda b: b < v))
-    return block * coarse + inside
 
 
 def hash_positions(df: DataFrame, hash_col: str, span: float, ranges: int = 1024) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surveyspark.core.stats import correlation
 from surveyspark.core import namespaces as ns
 from surveyspark.core.ordering import average_ranks, column_medians, melt
 from surveyspark.functions.text import answer_text, as_number
@@ -350,7 +351,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
                 F.struct(
                     F.lit(a).alias("a"), F.lit(b).alias("b"),
                     F.count(F.when(both, 1)).alias("n"),
-                    F.corr(F.when(both, x), F.when(both, y)).alias("corr"),
+                    correlation(x, y).alias("corr"),
                 ).alias(f"p{len(pairs)}")
             )
     wide = work.groupBy(*keys).agg(*aggs) if keys else work.agg(*aggs)
@@ -370,7 +371,7 @@ def regression_metrics(actual: Column | str, predicted: Column | str) -> list[Co
         F.count(a).alias("size"),
         F.regr_slope(p, a).alias("slope"),
         F.regr_intercept(p, a).alias("intercept"),
-        F.corr(a, p).alias("pearson"),
+        correlation(a, p).alias("pearson"),
         rmse.alias("rmse"),
         F.try_divide(rmse, F.stddev_samp(a)).alias("nrmse"),
         (1 - F.try_divide(sse, sst)).alias("r2"),
@@ -394,7 +395,7 @@ def metrics_by_completeness(df: DataFrame, actual: str, predicted: str, availabl
             rmse.alias("rmse"),
             F.try_divide(rmse, F.stddev_pop(a)).alias("nrmse"),
             (1 - F.try_divide(F.sum(F.pow(a - p, 2)), F.var_pop(a) * F.count(a))).alias("r2"),
-            F.corr(a, p).alias("corr"),
+            correlation(a, p).alias("corr"),
         )
         .withColumn("__all", F.col("size") == rows)
     )
@@ -601,8 +602,7 @@ def split_spread(stats: DataFrame) -> DataFrame:
 
 
 def point_biserial(value: Column, flag: Column) -> Column:
-    both = value.isNotNull() & flag.isNotNull()
-    return F.corr(F.when(both, value.cast("double")), F.when(both, flag.cast("double")))
+    return correlation(value, flag)
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -185,18 +185,16 @@ def cluster_positions(
 def standardise_vectors(df: DataFrame, vec: str, size: int) -> DataFrame:
     """Every component standardised over all rows (population deviation)."""
     stats = df.agg(
-        F.array(*[F.avg(F.col(vec)[i]) for i in range(size)]).alias("m"),
-        F.array(*[F.stddev_pop(F.col(vec)[i]) for i in range(size)]).alias("s"),
+        F.struct(
+            F.array(*[F.avg(F.col(vec)[i]) for i in range(size)]).alias("m"),
+            F.array(*[F.stddev_pop(F.col(vec)[i]) for i in range(size)]).alias("s"),
+        ).alias("ms")
     )
-    m = stats.select("m").scalar()
-    s = stats.select("s").scalar()
-    return df.withColumn(
-        vec,
-        F.transform(
-            F.arrays_zip(F.col(vec).alias("v"), m.alias("m"), s.alias("s")),
-            lambda t: (t["v"].cast("double") - t["m"]) / F.when(t["s"] > 0, t["s"]).otherwise(1.0),
-        ),
+    zipped = F.arrays_zip(F.col(vec).alias("v"), F.col("__ms.m").alias("m"), F.col("__ms.s").alias("s"))
+    scaled = F.transform(
+        zipped, lambda t: (t["v"].cast("double") - t["m"]) / F.when(t["s"] > 0, t["s"]).otherwise(1.0)
     )
+    return df.withColumn("__ms", stats.scalar()).withColumn(vec, scaled).drop("__ms")
 
 
 def kmeans_labels(df: DataFrame, vec: str, size: int, k: int = 3, seed: int = 0, out: str = "cluster") -> DataFrame:

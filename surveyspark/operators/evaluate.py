@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surveyspark.core.stats import correlation
 from surveyspark.operators.aggregates import regression_metrics
 from surveyspark.operators.clustering import cluster_positions
 from surveyspark.operators.quality import moments_of
@@ -138,7 +139,7 @@ def _metric_set(prefix: str) -> list[Column]:
     return [
         F.count(F.lit(1)).alias(f"{prefix}_size"),
         F.sqrt(F.avg(F.pow(p - a, 2))).alias(f"{prefix}_rmse"),
-        F.corr(a, p).alias(f"{prefix}_corr"),
+        correlation(a, p).alias(f"{prefix}_corr"),
     ]
 
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surveyspark.core.stats import correlation
 from surveyspark.core.hashing import seeded_unit
 from surveyspark.core.namespaces import quoted as q
 from surveyspark.core.session import cut_lineage
@@ -301,11 +302,10 @@ def score_imputation(imputed: DataFrame, cols: Sequence[str], imputer: str, fold
     long = imputed.select(items.alias("i"), F.explode(tags).alias("part")).filter("i.a IS NOT NULL AND i.p IS NOT NULL")
     a, p = F.col("i.a"), F.col("i.p")
     sse = F.sum(F.pow(a - p, 2))
-    spread = (F.var_pop(a) > 0) & (F.var_pop(p) > 0)
     return long.groupBy("part", "i.column").agg(
         F.count(F.lit(1)).alias("n"),
         F.sqrt(F.avg(F.pow(a - p, 2))).alias("rmse"),
-        F.when(spread, F.corr(a, p)).alias("correlation"),
+        correlation(a, p).alias("correlation"),
         (1 - F.try_divide(sse, F.var_pop(a) * F.count(a))).alias("r2"),
     ).select(F.lit(imputer).alias("imputer"), "part", "column", "n", "rmse", "correlation", "r2")
 

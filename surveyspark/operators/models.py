@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surveyspark.core.stats import correlation
 from surveyspark.core.hashing import seeded_hash, seeded_unit
 from surveyspark.core.namespaces import quoted as q
 from surveyspark.core.ordering import exact_quantiles
@@ -81,7 +82,7 @@ def pca_index(
         part = df.filter(cond & complete)
         comp = principal_components(part, cols)
         score = comp.scores(1)[0]
-        r = part.agg(F.corr(score, F.col(q(orient)).cast("double")).alias("r")).first()["r"]
+        r = part.agg(correlation(score, F.col(q(orient))).alias("r")).first()["r"]
         signed = -score if r is not None and r < 0 else score
         new[f"{out} {name}".strip()] = F.when(cond & complete, signed)
     return df.withColumns(new)
@@ -209,9 +210,16 @@ def isolation_forest(
     std = data.select(F.col(ident), *z)
     # twice the wanted share is drawn, so that the exact number is almost surely reached
     share = min(1.0, 2.0 * size / max(n, 1))
-    drawn = std.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "h", seeded_hash(seed, "tree", ident)
-    ).filter(seeded_unit(seed, "tree", ident) < share)
+    if share * trees < 1:
+        # few of the rows are drawn at all: each goes to one tree
+        drawn = std.filter(seeded_unit(seed, ident) < share * trees).withColumn(
+            "tree", F.pmod(seeded_hash(f"{seed}-tree", ident), F.lit(trees)).cast("int")
+        )
+    else:
+        drawn = std.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).filter(
+            seeded_unit(seed, "tree", ident) < share
+        )
+    drawn = drawn.withColumn("h", seeded_hash(seed, "tree", ident))
     limit = int(np.ceil(np.log2(max(size, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

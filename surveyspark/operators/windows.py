@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyspark.core.stats import correlation
 from surveyspark.core.ordering import carry, dense_index, exact_quantiles, rolling, value_positions
 
 
@@ -39,7 +40,7 @@ def rolling_pearson(
         df, keys, pos, back, ahead,
         {
             "__n": lambda w: F.count(F.when(both, 1)).over(w),
-            "__r": lambda w: F.corr(x, y).over(w),
+            "__r": lambda w: correlation(x, y, w),
             "__vx": lambda w: F.max(x).over(w) - F.min(x).over(w),
             "__vy": lambda w: F.max(y).over(w) - F.min(y).over(w),
         },

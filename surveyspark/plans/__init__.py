@@ -1 +1,13 @@
+"""Queries over the driver tables, one module per operator family."""
 
+from __future__ import annotations
+
+import importlib
+import pkgutil
+
+
+def load_all() -> None:
+    """Import every module that registers queries."""
+    for m in pkgutil.iter_modules(__path__):
+        if m.name.endswith("_queries"):
+            importlib.import_module(f"{__name__}.{m.name}")
