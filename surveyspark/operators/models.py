@@ -14,6 +14,7 @@ from surveyspark.core.stats import correlation
 from surveyspark.core.hashing import seeded_hash, seeded_unit
 from surveyspark.core.namespaces import quoted as q
 from surveyspark.core.ordering import exact_quantiles
+from surveyspark.core.session import cut_lineage
 from surveyspark.operators.impute import gram
 
 
@@ -114,6 +115,7 @@ def cross_validate(
         r = data.agg(F.avg(label), F.stddev_pop(label)).first()
         mean, sd = r[0], r[1] or 1.0
     data = data.withColumn("__y", (F.col(label).cast("double") - mean) / sd)
+    data = cut_lineage(data.select(ident, *features, "__y", *roles))
     assembler = VectorAssembler(inputCols=list(features), outputCol="__x")
     out = None
     for nr, role in enumerate(roles):
@@ -242,6 +244,7 @@ def isolation_forest(
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for cols in parts:
+            cols = cols if isinstance(cols, tuple) else (cols,)
             x = np.column_stack([c.to_numpy(float) for c in cols])
             total = np.zeros(len(x))
             for f, t, left, right, length in shared.value:
