@@ -21,74 +21,86 @@ def crop_centre(df: DataFrame, height: int, width: int) -> DataFrame:
     )
 
 
-def _known(px: Column) -> Column:
-    return F.filter(px, lambda v: v.isNotNull() & ~F.isnan(v))
+def _unknown(v: Column) -> Column:
+    return v.isNull() | F.isnan(v)
 
 
-def _sum(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda s, v: s + v.cast("double"))
+def pixel_sums(px: Column) -> Column:
+    """Struct (n, s, q) of the known pixels: count, sum and sum of squares, in one pass over the array."""
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
 
+    def add(acc: Column, v: Column) -> Column:
+        x = F.when(_unknown(v), F.lit(0.0)).otherwise(v.cast("double"))
+        one = F.when(_unknown(v), F.lit(0.0)).otherwise(F.lit(1.0))
+        return F.struct((acc["n"] + one).alias("n"), (acc["s"] + x).alias("s"), (acc["q"] + x * x).alias("q"))
 
-def band_mean(px: Column) -> Column:
-    k = _known(px)
-    return F.when(F.size(k) > 0, _sum(k) / F.size(k))
+    return F.aggregate(px, zero, add)
 
 
-def nan_percent(px: Column) -> Column:
-    return (F.size(px) - F.size(_known(px))) / F.size(px) * 100
+def mean_of(sums: Column) -> Column:
+    return F.when(sums["n"] > 0, sums["s"] / sums["n"])
+
+
+def std_of(sums: Column) -> Column:
+    """Population deviation."""
+    m = sums["s"] / sums["n"]
+    return F.when(sums["n"] > 0, F.sqrt(F.greatest(sums["q"] / sums["n"] - m * m, F.lit(0.0))))
+
+
+def per_pixel(px: Column, fn, *values: Column) -> Column:
+    """``fn(pixel, values)`` for every pixel.
+
+    The values go in as an array as long as the tile, so they are computed once per tile and
+    not once per pixel.
+    """
+    shared = F.array_repeat(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]), F.size(px))
+    return F.zip_with(px, shared, lambda v, k: fn(v, *[k[f"v{i}"] for i in range(len(values))]).cast("float"))
 
 
 def fill_unknown(df: DataFrame, fill: float | dict[int, float] | str = "band mean") -> DataFrame:
     """Unknown pixels set to a constant, a value per band or the mean of the tile's band; adds ``nan_percent``."""
+    out = df.withColumn("__p", pixel_sums(F.col("px")))
     if fill == "band mean":
-        value = band_mean(F.col("px"))
+        value = mean_of(F.col("__p"))
     elif isinstance(fill, dict):
         pairs = F.create_map(*[F.lit(x) for k, v in fill.items() for x in (k, float(v))])
         value = F.try_element_at(pairs, F.col("band"))
     else:
         value = F.lit(float(fill))
-    out = df.withColumn("nan_percent", nan_percent(F.col("px"))).withColumn("__fill", value.cast("float"))
-    return out.withColumn(
-        "px", F.transform("px", lambda v: F.when(v.isNull() | F.isnan(v), F.col("__fill")).otherwise(v))
-    ).drop("__fill")
+    missing = (F.size("px") - F.col("__p.n")) / F.size("px") * 100
+    return out.withColumns(
+        {"nan_percent": missing, "px": per_pixel(F.col("px"), lambda v, f: F.when(_unknown(v), f).otherwise(v), value)}
+    ).drop("__p")
 
 
 def clip_pixels(df: DataFrame, low: float | None = None, high: float | None = None, sigmas: float | None = None) -> DataFrame:
     """Pixels limited to fixed bounds, or to mean ± ``sigmas`` population deviations of the tile's band."""
+
+    def limit(v: Column, lo: Column, hi: Column) -> Column:
+        return F.least(F.greatest(v.cast("double"), lo), hi)
+
     if sigmas is None:
-        lo, hi = F.lit(float(low)), F.lit(float(high))
-        return df.withColumn("px", F.transform("px", lambda v: F.least(F.greatest(v, lo.cast("float")), hi.cast("float"))))
-    m, s = _moments(F.col("px"))
-    out = df.withColumn("__m", m).withColumn("__s", s)
-    lo, hi = F.col("__m") - sigmas * F.col("__s"), F.col("__m") + sigmas * F.col("__s")
-    return out.withColumns({"__lo": lo.cast("float"), "__hi": hi.cast("float")}).withColumn(
-        "px", F.transform("px", lambda v: F.least(F.greatest(v, F.col("__lo")), F.col("__hi")))
-    ).drop("__m", "__s", "__lo", "__hi")
+        return df.withColumn("px", per_pixel(F.col("px"), limit, F.lit(float(low)), F.lit(float(high))))
+    out = df.withColumn("__p", pixel_sums(F.col("px")))
+    m, s = mean_of(F.col("__p")), std_of(F.col("__p"))
+    return out.withColumn("px", per_pixel(F.col("px"), limit, m - sigmas * s, m + sigmas * s)).drop("__p")
 
 
-def _moments(px: Column) -> tuple[Column, Column]:
-    """Mean and population deviation of the known pixels."""
-    k = _known(px)
-    m = band_mean(px)
-    var = F.aggregate(k, F.lit(0.0), lambda s, v: s + (v.cast("double") - m) * (v.cast("double") - m)) / F.size(k)
-    return m, F.when(F.size(k) > 0, F.sqrt(var))
+def _missing_share(df: DataFrame) -> DataFrame:
+    """Percent of unknown pixels per tile over all its bands."""
+    part = df.select("tile_id", F.size("px").alias("size"), pixel_sums(F.col("px"))["n"].alias("n"))
+    return part.groupBy("tile_id").agg(((F.sum("size") - F.sum("n")) / F.sum("size") * 100).alias("nan_percent"))
 
 
 def drop_incomplete(df: DataFrame, max_nan_percent: float) -> DataFrame:
     """Tiles whose share of unknown pixels over all bands is below the limit."""
-    share = df.groupBy("tile_id").agg(
-        (F.sum(F.size("px") - F.size(_known(F.col("px")))) / F.sum(F.size("px")) * 100).alias("p")
-    )
-    return df.join(share.filter(F.col("p") < max_nan_percent).select("tile_id"), "tile_id", "left_semi")
+    good = _missing_share(df).filter(F.col("nan_percent") < max_nan_percent)
+    return df.join(good.select("tile_id"), "tile_id", "left_semi")
 
 
 def nan_ledger(df: DataFrame) -> DataFrame:
     """Tiles with unknown pixels and their share."""
-    return (
-        df.groupBy("tile_id")
-        .agg((F.sum(F.size("px") - F.size(_known(F.col("px")))) / F.sum(F.size("px")) * 100).alias("nan_percent"))
-        .filter("nan_percent > 0")
-    )
+    return _missing_share(df).filter("nan_percent > 0")
 
 
 def corpus_statistics(df: DataFrame, keys: tuple[str, ...] = ("band",), per_file: bool = False) -> DataFrame:
@@ -96,19 +108,12 @@ def corpus_statistics(df: DataFrame, keys: tuple[str, ...] = ("band",), per_file
 
     One pass: every tile adds its count, sum and sum of squares; the pixels are not exploded.
     """
-    k = _known(F.col("px"))
-    part = df.select(
-        *keys,
-        F.size(k).cast("double").alias("n"),
-        _sum(k).alias("s"),
-        F.aggregate(k, F.lit(0.0), lambda t, v: t + v.cast("double") * v.cast("double")).alias("q"),
-    )
+    part = df.select(*keys, pixel_sums(F.col("px")).alias("p"))
     if not per_file:
-        sums = part.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-        mean = F.col("s") / F.col("n")
-        return sums.select(*keys, mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"))
+        sums = part.groupBy(*keys).agg(F.struct(*[F.sum(f"p.{c}").alias(c) for c in "nsq"]).alias("p"))
+        return sums.select(*keys, mean_of(F.col("p")).alias("mean"), std_of(F.col("p")).alias("std"))
     # mean of (x - m)² per file, averaged, needs only the per-file first and second moments
-    one = part.filter("n > 0").select(*keys, (F.col("s") / F.col("n")).alias("m1"), (F.col("q") / F.col("n")).alias("m2"))
+    one = part.filter("p.n > 0").select(*keys, (F.col("p.s") / F.col("p.n")).alias("m1"), (F.col("p.q") / F.col("p.n")).alias("m2"))
     out = one.groupBy(*keys).agg(F.avg("m1").alias("mean"), F.avg("m2").alias("m2"))
     return out.select(*keys, "mean", F.sqrt(F.greatest(F.col("m2") - F.col("mean") * F.col("mean"), F.lit(0.0))).alias("std"))
 
@@ -116,32 +121,27 @@ def corpus_statistics(df: DataFrame, keys: tuple[str, ...] = ("band",), per_file
 def normalise_tiles(df: DataFrame, mode: str = "Z", stats: DataFrame | None = None, keys: tuple[str, ...] = ("band",)) -> DataFrame:
     """``Z``: corpus mean and deviation of the band; ``Z local``: those of the tile; ``Z combined``:
     the average of both; ``all channel``: one mean and deviation over all bands of the tile."""
-    m, s = _moments(F.col("px"))
-    if mode == "Z local":
-        out = df.withColumns({"__m": m, "__s": s})
+    out = df
+    if mode in ("Z local", "Z combined", "all channel"):
+        out = out.withColumn("__p", pixel_sums(F.col("px")))
+    if mode in ("Z", "Z combined"):
+        stats = corpus_statistics(df, keys) if stats is None else stats
+        out = out.join(stats.select(*keys, F.col("mean").alias("__cm"), F.col("std").alias("__cs")), list(keys))
+    if mode == "all channel":
+        tile = out.groupBy("tile_id").agg(F.struct(*[F.sum(f"__p.{c}").alias(c) for c in "nsq"]).alias("__t"))
+        out = out.join(tile, "tile_id")
+    if mode == "Z":
+        m, s = F.col("__cm"), F.col("__cs")
+    elif mode == "Z local":
+        m, s = mean_of(F.col("__p")), std_of(F.col("__p"))
+    elif mode == "Z combined":
+        m, s = (F.col("__cm") + mean_of(F.col("__p"))) / 2, (F.col("__cs") + std_of(F.col("__p"))) / 2
     elif mode == "all channel":
-        k = _known(F.col("px"))
-        tile = df.groupBy("tile_id").agg(
-            F.sum(F.size(k)).alias("n"), F.sum(_sum(k)).alias("a"),
-            F.sum(F.aggregate(k, F.lit(0.0), lambda t, v: t + v.cast("double") * v.cast("double"))).alias("q"),
-        )
-        mean = F.col("a") / F.col("n")
-        out = df.join(
-            tile.select("tile_id", mean.alias("__m"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("__s")),
-            "tile_id",
-        )
+        m, s = mean_of(F.col("__t")), std_of(F.col("__t"))
     else:
-        stats = corpus_statistics(df, keys) if stats is None else stats
-        out = df.join(stats.select(*keys, F.col("mean").alias("__cm"), F.col("std").alias("__cs")), list(keys))
-        if mode == "Z":
-            out = out.withColumns({"__m": F.col("__cm"), "__s": F.col("__cs")})
-        elif mode == "Z combined":
-            out = out.withColumns({"__m": (F.col("__cm") + m) / 2, "__s": (F.col("__cs") + s) / 2})
-        else:
-            raise ValueError(f"unknown normalisation {mode}")
-        out = out.drop("__cm", "__cs")
-    scaled = F.transform("px", lambda v: ((v - F.col("__m")) / F.when(F.col("__s") > 0, F.col("__s")).otherwise(1.0)).cast("float"))
-    return out.withColumn("px", scaled).drop("__m", "__s")
+        raise ValueError(f"unknown normalisation {mode}")
+    scaled = per_pixel(F.col("px"), lambda v, a, b: (v - a) / F.when(b > 0, b).otherwise(1.0), m, s)
+    return out.withColumn("px", scaled).drop("__p", "__cm", "__cs", "__t")
 
 
 def standardise_by_split(df: DataFrame, split: str, own: bool = False, train: str = "train") -> DataFrame:

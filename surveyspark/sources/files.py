@@ -139,13 +139,12 @@ def sweep_summaries(spark: SparkSession, root: str, marker: str, min_amount: int
 
 def attach_predictions(areas: DataFrame, predictions: DataFrame, area: str = "adm2_name", key: str = "adm2_gaul", file: str = "file") -> DataFrame:
     """Every area once per prediction file, with that file's prediction where there is one."""
-    fresh = [c for c in predictions.columns if c not in areas.columns or c == key]
-    preds = predictions.select(*[F.col(q(c)) for c in fresh])
-    names = predictions.select(F.collect_set(file).alias("f")).scalar()
-    spread = areas.drop(key).withColumn(file, F.explode(names))
-    return spread.join(preds.withColumnRenamed(key, "__k"), (F.col(area) == F.col("__k")) & (spread[file] == preds[file]), "left").drop(
-        preds[file]
-    ).withColumnRenamed("__k", key)
+    fresh = [c for c in predictions.columns if c not in areas.columns and c not in (key, file)]
+    preds = predictions.select(F.col(q(key)).alias("__k"), F.col(q(file)).alias("__f"), *[F.col(q(c)) for c in fresh])
+    names = predictions.agg(F.collect_set(file).alias("f")).scalar()
+    spread = areas.withColumn("__files", names).withColumn(file, F.explode("__files")).drop("__files")
+    out = spread.join(preds, (F.col(q(area)) == F.col("__k")) & (F.col(q(file)) == F.col("__f")), "left")
+    return out.withColumn(key, F.col("__k")).drop("__k", "__f")
 
 
 def download_list(
