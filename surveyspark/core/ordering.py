@@ -1,9 +1,10 @@
-"""Order statistics that never put a whole group into one task.
+"""Order statistics that never put an unbounded group into one task.
 
-The rows are first counted per (keys, value) with map-side combining. Distinct values
-are cut into ranges, so a window runs per (keys, range) only, and the running totals of
-the ranges connect the pieces. A group holding a third of all rows is thereby spread
-over as many tasks as there are ranges.
+The size of the largest group is looked up first. While it is within ``SMALL_GROUP`` rows,
+Spark's own percentile and plain windows are used. Beyond that the rows are counted per
+(keys, value) with map-side combining and the distinct values are cut into ranges: a window
+runs per (keys, range) only, and the running totals of the ranges connect the pieces. A
+group holding a third of all rows is thereby spread over as many tasks as there are ranges.
 """
 
 from __future__ import annotations
@@ -14,40 +15,52 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COARSE = 16
-RANGES = COARSE * COARSE
+from surveyspark.core.session import cut_lineage
 
+RANGES = 256
+SMALL_GROUP = 1_000_000
 
-def null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group; reads the key columns only."""
+    rows = F.count(F.lit(1)).alias("n")
+    sizes = df.groupBy(*keys).agg(rows).agg(F.max("n").alias("n")) if keys else df.agg(rows)
+    return sizes.first()["n"] or 0
 
-def value_positions(df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
+
+def known_rows(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    out = df.select(*keys, value).filter(F.col(value).isNotNull())
+    for k in keys:
+        out = out.filter(F.col(k).isNotNull())
+    return out
+
+
+def value_positions(
+    df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES, small: int = SMALL_GROUP
+) -> DataFrame:
     """Per distinct (keys, value): rows ``n``, rows ``before`` it in its group, ``total`` of the group.
 
     ``value`` must be numeric; nulls and null keys take no part (as in a pandas groupby).
     """
     keys = list(keys)
-    src = df.select(*keys, value).filter(F.col(value).isNotNull())
-    for k in keys:
-        src = src.filter(F.col(k).isNotNull())
+    src = known_rows(df, keys, value)
     counts = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    counts = with_value_range(counts, value, ranges)
-    per_range = counts.groupBy(*keys, "__range").agg(F.sum("n").alias("__m"))
-    over_ranges = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
-    running = over_ranges.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    per_range = per_range.select(
+    group = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
+    lower = (Window.unboundedPreceding, -1)
+    if largest_group(src, keys) <= small:
+        return counts.select(
+            *keys, value, "n",
+            F.coalesce(F.sum("n").over(group.orderBy(value).rowsBetween(*lower)), F.lit(0)).alias("before"),
+            F.sum("n").over(group).alias("total"),
+        )
+    counts = with_value_range(cut_lineage(counts), value, ranges)
+    per_range = counts.groupBy(*keys, "__range").agg(F.sum("n").alias("__m")).select(
         *keys,
         "__range",
-        F.coalesce(F.sum("__m").over(running), F.lit(0)).alias("__offset"),
-        F.sum("__m").over(over_ranges).alias("total"),
-    )
-    inside = (
-        Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        F.coalesce(F.sum("__m").over(group.orderBy("__range").rowsBetween(*lower)), F.lit(0)).alias("__offset"),
+        F.sum("__m").over(group).alias("total"),
     )
+    inside = Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(*lower)
     return counts.join(per_range, [*keys, "__range"]).select(
         *keys,
         value,
@@ -102,10 +115,16 @@ def hash_positions(df: DataFrame, hash_col: str, span: float, ranges: int = 1024
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], ranges: int = RANGES
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], ranges: int = RANGES,
+    small: int = SMALL_GROUP,
 ) -> DataFrame:
     """Exact quantiles per group with linear interpolation, one column per entry of ``probs``."""
-    pos = value_positions(df, keys, value, ranges)
+    src = known_rows(df, keys, value)
+    if largest_group(src, keys) <= small:
+        q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs.values()]))
+        out = src.groupBy(*keys).agg(q.alias("__q"))
+        return out.select(*keys, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(probs)])
+    pos = value_positions(src, keys, value, ranges, small=0)
     aggs = []
     for name, p in probs.items():
         target = F.lit(float(p)) * (F.col("total") - 1)
@@ -123,11 +142,14 @@ def exact_quantiles(
     )
 
 
-def column_medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], suffix: str = "_median") -> DataFrame:
-    """Exact medians of several columns at once: long form, one pass, pivoted back."""
+def column_medians(
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], suffix: str = "_median", small: int = SMALL_GROUP
+) -> DataFrame:
+    """Exact medians of several columns at once."""
     keys = list(keys)
-    long = melt(df, keys, cols).withColumn("value", F.col("value").cast("double"))
-    med = exact_quantiles(long, [*keys, "column"], "value", {"q": 0.5})
+    if largest_group(df, keys) <= small:
+        return df.groupBy(*keys).agg(*[F.median(F.col(f"`{c}`").cast("double")).alias(f"{c}{suffix}") for c in cols])
+    med = exact_quantiles(melt(df, keys, cols), [*keys, "column"], "value", {"q": 0.5}, small=small)
     return med.groupBy(*keys).agg(
         *[F.max(F.when(F.col("column") == c, F.col("q"))).alias(f"{c}{suffix}") for c in cols]
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.core.stats import correlation
 from surveyspark.core import namespaces as ns
-from surveyspark.core.ordering import average_ranks, column_medians, melt
+from surveyspark.core.ordering import SMALL_GROUP, average_ranks, column_medians, largest_group, melt
 from surveyspark.functions.text import answer_text, as_number
 
 q = ns.quoted
@@ -48,6 +48,10 @@ def statistic_bundle(
     population forms. Column names are ``<col>_<stat>``.
     """
     df = _not_null(df, keys)
+    return _with_medians(df, keys, cols, _bundle(cols, firsts))
+
+
+def _bundle(cols: Sequence[str], firsts: Mapping[str, str] | None) -> list[Column]:
     aggs = [F.count(F.lit(1)).alias("households")]
     for c in cols:
         x = F.col(q(c)).cast("double")
@@ -60,8 +64,15 @@ def statistic_bundle(
         ]
     for c, order in (firsts or {}).items():
         aggs.append(first_known(c, order).alias(c))
-    moments = df.groupBy(*keys).agg(*aggs)
-    return moments.join(column_medians(df, keys, cols), list(keys), "left")
+    return aggs
+
+
+def _with_medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], aggs: list[Column], suffix: str = "_median") -> DataFrame:
+    """Aggregates with medians: in the same grouping while groups are small, else joined on."""
+    if largest_group(df, keys) <= SMALL_GROUP:
+        medians = [F.median(F.col(q(c)).cast("double")).alias(f"{c}{suffix}") for c in cols]
+        return df.groupBy(*keys).agg(*aggs, *medians)
+    return df.groupBy(*keys).agg(*aggs).join(column_medians(df, keys, cols, suffix), list(keys), "left")
 
 
 def first_known(col: str, order: str) -> Column:
@@ -112,6 +123,30 @@ def shares_wide(
     return shares.groupBy(*keys).agg(*aggs)
 
 
+def share_columns(categories: Mapping[str, Sequence[str]], namer=None) -> list[Column]:
+    """Aggregates for the shares of given categories: over known answers, and of missing ones over all.
+
+    For a fixed list of categories this needs no long form: everything is one grouping.
+    """
+    namer = namer or (lambda c, k: ns.build(ns.CATEGORICAL, c, k))
+    out = []
+    for c, cats in categories.items():
+        x = F.col(q(c))
+        for cat in cats:
+            out.append(F.try_divide(F.count(F.when(x == cat, 1)), F.count(x)).alias(namer(c, cat)))
+        out.append((1 - F.count(x) / F.count(F.lit(1))).alias(namer(c, "NaN")))
+    return out
+
+
+def grouped_feature_table(
+    df: DataFrame, keys: Sequence[str], nums: Sequence[str], categories: Mapping[str, Sequence[str]],
+    firsts: Mapping[str, str] | None = None, namer=None,
+) -> DataFrame:
+    """Statistic bundle of the numbers and shares of the categories, in one grouping while groups are small."""
+    df = _not_null(df, keys)
+    return _with_medians(df, keys, nums, [*_bundle(nums, firsts), *share_columns(categories, namer)])
+
+
 def counts_wide(df: DataFrame, keys: Sequence[str], col: str, categories: Sequence[str], prefix: str | None = None) -> DataFrame:
     """One count column per category, 0 where absent."""
     prefix = f"{col}: " if prefix is None else prefix
@@ -296,16 +331,15 @@ def period_statistics(df: DataFrame, value: str, period: Column, group: str, com
 def moments_by(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Size, mean, median, std, variance, bias-corrected skewness and kurtosis."""
     x = F.col(value).cast("double")
-    agg = df.groupBy(*keys).agg(
+    aggs = [
         F.count(x).alias("size"),
         F.avg(x).alias("mean"),
         F.stddev_samp(x).alias("std"),
         F.var_samp(x).alias("var"),
         sample_skewness(x).alias("skewness"),
         sample_kurtosis(x).alias("kurtosis"),
-    )
-    med = column_medians(df, keys, [value], suffix="").withColumnRenamed(value, "median")
-    return agg.join(med, list(keys), "left")
+    ]
+    return _with_medians(_not_null(df, keys), keys, [value], aggs, "__median").withColumnRenamed(f"{value}__median", "median")
 
 
 def column_group_sums(groups: Mapping[str, Sequence[str]], have: Sequence[str]) -> list[Column]:

@@ -62,9 +62,7 @@ def grouped_features(t: Tables):
     rows = _lines(t).select(
         *keys, F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("flag")
     )
-    nums = ag.statistic_bundle(rows, keys, ["price", "discount"])
-    cats = ag.shares_wide(ag.category_shares(rows, keys, ["flag"]), keys, {"flag": FLAGS}, lambda c, k: f"{c}_{k}")
-    out = nums.join(cats, keys)
+    out = ag.grouped_feature_table(rows, keys, ["price", "discount"], {"flag": FLAGS}, namer=lambda c, k: f"{c}_{k}")
     four = [c for c in out.columns if c.endswith(("skewness", "kurtosis"))]
     return rounded(out.withColumns({c: F.round(c, 4) for c in four}))
 
@@ -102,6 +100,26 @@ def category_shares_long(t: Tables):
     return rounded(ag.category_shares(t.households, ["adm2_name"], ["fuel", "location"]))
 
 
+@query(
+    "category_shares_wide",
+    ["AG-4", "AG-1"],
+    f"""
+    {oracle_views("households")}
+    SELECT adm2_name, {r("count(*) FILTER (fuel = '1-URGENT') / nullif(count(fuel), 0)")} AS "DHS Cat; fuel: 1-URGENT",
+           {r("count(*) FILTER (fuel = '2-HIGH') / nullif(count(fuel), 0)")} AS "DHS Cat; fuel: 2-HIGH",
+           {r("1 - count(fuel) / count(*)")} AS "DHS Cat; fuel: NaN", count(*) AS households,
+           {r("avg(income)")} AS income_mean, {r("median(income)")} AS income_median
+    FROM households GROUP BY adm2_name
+    """,
+)
+def category_shares_wide(t: Tables):
+    """Shares pivoted from the long form, beside the statistics of a number."""
+    keys = ["adm2_name"]
+    shares = ag.shares_wide(ag.category_shares(t.households, keys, ["fuel"]), keys, {"fuel": PRIORITIES[:2]})
+    nums = ag.statistic_bundle(t.households, keys, ["income"]).select(*keys, "households", "income_mean", "income_median")
+    return rounded(shares.join(nums, keys))
+
+
 @query(
     "category_counts_wide",
     ["AG-5"],
