@@ -160,15 +160,14 @@ def cluster_positions(
     edges = _near_cells(points.select("x", "y", "z").distinct(), eps)
     comps = connected_components(edges)
     cells = points.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"))
+    root = F.when(F.col("component").isNotNull(), F.col("component")).when(F.col("n") > 1, F.col("cell"))
+    label = F.conv(F.substring(F.md5(F.to_json(root)), 1, 12), 16, 10).cast("bigint")
     comp = cells.join(comps, cells["cell"] == comps["node"], "left").select(
-        "cell", F.when(F.col("component").isNotNull(), F.col("component")).when(F.col("n") > 1, F.col("cell")).alias("root")
+        F.col("cell").alias("__cell"), F.when(root.isNotNull(), label).otherwise(F.lit(-1)).alias("__label")
     )
-    label = F.when(F.col("root").isNotNull(), F.conv(F.substring(F.md5(F.to_json("root")), 1, 12), 16, 10).cast("bigint")).otherwise(F.lit(-1))
-    located = placed.withColumns({"x": x, "y": y, "z": z}).withColumn("__cell", cell)
+    own_cell = F.struct(*[F.floor(c / side).cast("bigint").alias(n) for c, n in zip((x, y, z), "ijk")])
     result = (
-        located.join(comp.withColumnRenamed("cell", "__cell"), "__cell")
-        .withColumn(out, label)
-        .drop("x", "y", "z", "__cell", "root")
+        placed.withColumn("__cell", own_cell).join(comp, "__cell").withColumn(out, F.col("__label")).drop("__cell", "__label")
     )
     if noise is None:
         return result
@@ -218,12 +217,11 @@ def vector_near_pairs(
     up to ``depth`` times, and equal vectors are reduced to one beforehand. A cell that
     stays crowded is dealt out over blocks, and pairs of blocks go to different tasks.
     """
-    distinct = df.groupBy(vec).agg(F.min(ident).alias("id"))
-    twins = df.join(distinct, vec).filter(F.col(ident) != F.col("id")).select(F.col(ident).alias("a"), F.col("id").alias("b"))
+    rows = df.select(F.col(ident).alias("a"), F.col(vec).alias("v"))
+    distinct = rows.groupBy("v").agg(F.min("a").alias("id"))
+    twins = rows.join(distinct, "v").filter("a <> id").select("a", F.col("id").alias("b"))
     doubles = F.transform(F.col("v"), lambda e: e.cast("double"))
-    work = cut_lineage(
-        distinct.select("id", F.col(vec).alias("v")).select("id", doubles.alias("v"), F.lit("0").alias("cell"))
-    )
+    work = cut_lineage(distinct.select("id", doubles.alias("v"), F.lit("0").alias("cell")))
     done = []
     for level in range(depth + 1):
         sizes = work.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
@@ -306,6 +304,7 @@ def _block_edges(cells: DataFrame, radius: float, max_cell: int) -> DataFrame:
 def cluster_vectors(df: DataFrame, ident: str, vec: str, radius: float, out: str = "similar") -> DataFrame:
     """Groups of vectors linked by steps of at most ``radius``; the label is the smallest id, lone vectors get -1."""
     comps = connected_components(vector_near_pairs(df, ident, vec, radius))
-    return df.join(comps, df[ident] == comps["node"], "left").withColumn(
-        out, F.coalesce(F.col("component"), F.lit(-1))
-    ).drop("node", "component")
+    comps = comps.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    return df.join(comps, F.col(ident) == F.col("__node"), "left").withColumn(
+        out, F.coalesce("__component", F.lit(-1))
+    ).drop("__node", "__component")
