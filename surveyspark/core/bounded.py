@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
 
 
 def collect_bounded(df: DataFrame, limit: int, what: str) -> list[Row]:
@@ -12,9 +11,3 @@ def collect_bounded(df: DataFrame, limit: int, what: str) -> list[Row]:
     if len(rows) > limit:
         raise ValueError(f"{what}: more than {limit} rows, refusing to bring them to the driver")
     return rows
-
-
-def broadcast_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Broadcast hint only after counting; a larger table is left to a shuffled join."""
-    small = len(df.select(F.lit(1)).limit(limit + 1).collect()) <= limit
-    return F.broadcast(df) if small else df

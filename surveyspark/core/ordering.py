@@ -93,11 +93,14 @@ def with_value_range(counts: DataFrame, value: str, ranges: int) -> DataFrame:
     )
 
 
-def hash_positions(df: DataFrame, hash_col: str, span: float, ranges: int = 1024) -> DataFrame:
+def hash_positions(df: DataFrame, hash_col: str, span: float, ranges: int | None = None) -> DataFrame:
     """Rows with their 0-based position along a unique uniform hash, and the number of rows.
 
     A uniform hash needs no bounds: equal slices of its span hold about equally many rows.
+    There are several slices per shuffle partition, so slices grow with the cluster's setting.
     """
+    if ranges is None:
+        ranges = max(1024, 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = df.withColumn("__slice", F.floor(F.col(hash_col) / F.lit(span / ranges)))
     per = rows.groupBy("__slice").agg(F.count(F.lit(1)).alias("__m"))
     w = Window.partitionBy(F.lit(0)).orderBy("__slice")

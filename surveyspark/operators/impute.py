@@ -15,6 +15,7 @@ from surveyspark.core.session import cut_lineage
 
 
 CROWDED_CELL = 1024
+CUT_EVERY = 8  # columns after which a round of chained equations is cut off
 
 
 def sibling_groups(cols: Sequence[str]) -> dict[str, list[str]]:
@@ -246,8 +247,9 @@ def impute_chained(
     limit = tol * (miss["top"] or 1.0)
     for nr in range(rounds):
         before = state
-        moved: list[Column] = []
-        for c in order:
+        for step, c in enumerate(order):
+            if step and step % CUT_EVERY == 0:
+                state = cut_lineage(state)
             others = [o for o in cols if o != c]
             gap = F.col(q(f"__gap_{c}"))
             if estimator in ("linear", "bayesian"):

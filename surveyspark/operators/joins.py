@@ -230,12 +230,13 @@ def year_over_year(df: DataFrame, area: str, year: str, cols: Sequence[str], fir
 
 def nearest_next_year(
     df: DataFrame, cluster: str, ident: str, year: str = "DHSYEAR", lat: str = "LATNUM", lon: str = "LONGNUM",
-    start_km: float = 1.0,
+    start_km: float = 10.0, crowded: int = 1024,
 ) -> DataFrame:
     """For every point the nearest point of the next year present in its spatial cluster.
 
-    Points are searched by grid cells whose size doubles until every point is settled: a
-    hit closer than one cell is certain, so only unsettled points go on to the next size.
+    Points are searched by grid cells whose size grows until every point is settled: a hit
+    closer than one cell is certain, so only unsettled points go on to the next size. The
+    first size is ``start_km``, or smaller until no cell holds more than ``crowded`` places.
     Points of equal place and year are reduced to one first.
     """
     from pyspark.sql import Window
@@ -252,8 +253,16 @@ def nearest_next_year(
         cluster, year, lat, lon, "__x", "__y", "__z", "__next"
     )
     todo = cut_lineage(todo)
+    places = cut_lineage(places)
     found = None
     km = start_km
+    while km > 1e-6:
+        side = chord_of_km(km, EARTH_RADIUS_KM)
+        cells = places.groupBy(cluster, year, *[F.floor(F.col(c) / side) for c in ("__x", "__y", "__z")])
+        fullest = cells.agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+        if (fullest or 0) <= crowded:
+            break
+        km /= 4
     left = todo.count()
     while left:
         side = chord_of_km(min(km, 3.14 * EARTH_RADIUS_KM / 2), EARTH_RADIUS_KM)

@@ -71,11 +71,21 @@ def spatial_clusters(t: Tables):
     return out.join(heads, "clustered", "left").select("cluster", F.coalesce("first_member", F.lit(-1)).alias("first_member"))
 
 
-@query("noise_groups", ["ML-6"])
+@query(
+    "noise_groups",
+    ["ML-6"],
+    oracle_views("clusters").replace("WITH", "WITH RECURSIVE", 1)
+    + ", p AS (SELECT cluster AS id, LATNUM AS la, LONGNUM AS lo FROM clusters), "
+    + _components_sql("p", f"SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND abs(a.la - b.la) < 1 AND {_HAV} <= 40.0")
+    + f""", z AS (SELECT id, row_number() OVER (ORDER BY {hash_sql(42, 'id')}) - 1 AS i FROM comp WHERE size = 1)
+        SELECT comp.id AS cluster, size = 1 AS noise, CASE WHEN size = 1 THEN -1 - z.i // 30 ELSE root END AS grp FROM comp LEFT JOIN z USING (id)""",
+)
 def noise_groups(t: Tables):
     """Points without a neighbour, put into groups of thirty."""
     out = cl.cluster_positions(t.clusters, ["cluster"], 40.0, noise="grouped")
-    return out.select("cluster", (F.col("clustered") == -1).alias("noise"), F.col("clustered: grouped non-clustered").alias("grp"))
+    heads = out.filter("clustered <> -1").groupBy("clustered").agg(F.min("cluster").alias("head"))
+    grp = F.coalesce("head", F.col("clustered: grouped non-clustered"))
+    return out.join(heads, "clustered", "left").select("cluster", (F.col("clustered") == -1).alias("noise"), grp.alias("grp"))
 
 
 @query(
@@ -316,8 +326,29 @@ def report_row(t: Tables):
     return rounded(ev.report_row(ev.slice_report(t.clusters, None, "AFRICA"), ["Test", "Urban STD None"], ["rmse"]))
 
 
-@query("cluster_evaluation", ["AG-16", "ML-6"])
+def _cluster_report_sql() -> str:
+    """Metrics per region mode of one clustering with 150 km."""
+    metric = "count(*) AS {0}_size, " + r("sqrt(avg(power(Prediction - Actual, 2)))", 5) + " AS {0}_rmse, " + r("corr(Actual, Prediction)", 5) + " AS {0}_corr"
+    return f"""{oracle_views("clusters").replace("WITH", "WITH RECURSIVE", 1)}, p AS (SELECT cluster AS id, LATNUM AS la, LONGNUM AS lo FROM clusters),
+        {_components_sql("p", f"SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND abs(a.la - b.la) < 3 AND {_HAV} <= {_KM}")},
+        c AS (SELECT clusters.*, root, size FROM clusters JOIN comp ON comp.id = cluster),
+        t AS (SELECT c.*, mode, count(*) OVER (PARTITION BY mode, root, size > 1) AS n, bool_or(URBAN_RURA = 'U') OVER (PARTITION BY mode, root, size > 1) AS u
+              FROM c, (SELECT unnest(['All', 'U', 'R', 'U+R']) AS mode) WHERE mode IN ('All', 'U+R') OR mode = URBAN_RURA),
+        k AS (SELECT *, size > 1 AND (mode <> 'U+R' OR u) AND (mode = 'All' OR n >= 2) AS inside,
+                size = 1 OR ((mode <> 'U+R' OR u) AND mode <> 'All' AND n = 1) AS outside FROM t),
+        m AS (SELECT mode, root, avg(Actual) AS Actual, avg(Prediction) AS Prediction, stddev_samp(Actual) AS sa, stddev_samp(Prediction) AS sp FROM k WHERE inside GROUP BY mode, root),
+        x AS (SELECT mode, {metric.format("clustered")}, {r("avg(sa)", 5)} AS actual_std_in_cluster, {r("avg(sp)", 5)} AS prediction_std_in_cluster FROM m GROUP BY mode),
+        y AS (SELECT mode, {metric.format("in_cluster")} FROM k WHERE inside GROUP BY mode), z AS (SELECT mode, {metric.format("out_of_cluster")} FROM k WHERE outside GROUP BY mode)
+        SELECT *, 150.0::DOUBLE AS distance FROM x FULL JOIN y USING (mode) FULL JOIN z USING (mode)"""
+
+
+@query("cluster_evaluation", ["AG-16", "ML-6"], _cluster_report_sql())
 def cluster_evaluation(t: Tables):
+    return rounded(ev.cluster_evaluation(t.clusters, ["cluster"], [_KM]), 5)
+
+
+@query("cluster_evaluation_by_year", ["AG-16", "ML-6"])
+def cluster_evaluation_by_year(t: Tables):
     return rounded(ev.cluster_evaluation(t.clusters, ["cluster"], [50.0, 150.0], by_year=True), 5)
 
 
