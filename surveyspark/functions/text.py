@@ -261,3 +261,43 @@ def closeness(a: Column | str, b: Column | str) -> Column:
 
 def close_match(a: Column | str, b: Column | str, at_least: float = 0.6) -> Column:
     return closeness(a, b) >= at_least
+
+
+# --- Fixed values: country names that differ from the code table, codes in reports ---------
+ISO3_SPECIAL = {
+    "Democratic Republic of Congo": "COD", "Cote d'Ivoire": "CIV", "Burkina Faso": "BFA", "Sierra Leone": "SLE", "Tanzania": "TZA",
+}
+REPORT_ISO3 = {
+    "CD": "COD", "ET": "ETH", "KE": "KEN", "MW": "MWI", "MZ": "MOZ", "RW": "RWA", "TZ": "TZA", "UG": "UGA", "ZM": "ZMB", "ZW": "ZWE",
+}
+REPORT_PERIODS = {
+    "kombiniert_2012_2014": "2012–2014", "kombiniert_2015_2015": "2015", "kombiniert_2016_2020": "2016–2020",
+}
+# ----------------------------------------------------------------------------------------
+
+
+def with_iso3(df: DataFrame, country: str, codes: DataFrame, out: str = "iso3") -> DataFrame:
+    """Three-letter code of a country name: special names first, else the table (name, code)."""
+    special = F.create_map(*[F.lit(x) for kv in ISO3_SPECIAL.items() for x in kv])
+    name = F.replace(F.col(country), F.lit("_"), F.lit(" "))
+    table = codes.select(F.col("name").alias("__name"), F.col("code").alias("__code"))
+    joined = df.withColumn("__n", name).join(table, F.col("__n") == F.col("__name"), "left")
+    return joined.withColumn(out, F.coalesce(F.try_element_at(special, F.col("__n")), "__code")).drop("__n", "__name", "__code")
+
+
+def country_names(responses: DataFrame, text: str) -> DataFrame:
+    """Country codes and names from the JSON listing of the survey service: code, country."""
+    schema = "Data ARRAY<STRUCT<DHS_CountryCode: STRING, CountryName: STRING>>"
+    items = responses.select(F.explode(F.from_json(F.col(text), schema)["Data"]).alias("c"))
+    return items.select(F.col("c.DHS_CountryCode").alias("code"), F.replace("c.CountryName", F.lit(" "), F.lit("_")).alias("country"))
+
+
+def report_label(country_year: Column | str) -> Column:
+    """``KE_2014`` to ``KEN 2014``; combined periods to their printed form."""
+    c = _c(country_year)
+    periods = F.create_map(*[F.lit(x) for kv in REPORT_PERIODS.items() for x in kv])
+    codes = F.create_map(*[F.lit(x) for kv in REPORT_ISO3.items() for x in kv])
+    iso = F.coalesce(F.try_element_at(codes, F.substring(c, 1, 2)), F.substring(c, 1, 2))
+    rest = F.replace(F.substring(c, F.lit(3), F.length(c)), F.lit("_"), F.lit(" "))
+    combined = F.concat(F.lit("Kombiniert "), F.replace(F.replace(c, F.lit("kombiniert_"), F.lit("")), F.lit("_"), F.lit("-")))
+    return F.coalesce(F.try_element_at(periods, c), F.when(c.startswith("kombiniert"), combined).otherwise(F.concat(iso, rest)))

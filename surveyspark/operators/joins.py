@@ -96,6 +96,25 @@ def factorise(df: DataFrame, col: str, order: str, out: str = "code") -> DataFra
     return df.join(category_rank(firsts, col, [F.col("__first").asc(), F.col(col).asc()], out), col)
 
 
+def tile_sources(
+    tiles: DataFrame, sources: DataFrame, correspondence: DataFrame, main: Sequence[str] | None = None, name: str = "name"
+) -> DataFrame:
+    """Tiles with the main source of their cluster and its code by first appearance: name, source, label.
+
+    ``sources``: survey, cluster, source; ``correspondence``: HR, GE. Survey and cluster are
+    read from the tile name, so tiles meet labels by equality. Tiles without a label, or with
+    one that is not among ``main``, are left out.
+    """
+    from surveyspark.functions.text import tile_survey_cluster
+
+    survey, cluster = tile_survey_cluster(name)
+    keyed = tiles.select(F.col(name).alias("name"), survey.alias("GE"), cluster.alias("cluster"))
+    labels = sources.join(correspondence.select(F.col("HR").alias("survey"), "GE"), "survey").select("GE", "cluster", "source")
+    if main is not None:
+        labels = labels.filter(F.col("source").isin(list(main)))
+    return factorise(keyed.join(labels, ["GE", "cluster"]).select("name", "source"), "source", "name", "label")
+
+
 def category_rank(table: DataFrame, col: str, order: Sequence[Column], out: str) -> DataFrame:
     """Rank of the categories of an already grouped table: sorted by range, numbered per partition.
 

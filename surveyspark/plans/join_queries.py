@@ -108,12 +108,18 @@ def tile_labels_by_coordinates(t: Tables):
     return rounded(jn.tile_labels(tiles, labels).select("tile", "cluster", "Actual"), 8)
 
 
+_MAIN_SOURCES = [
+    "piped into dwelling", "piped to yard/plot", "public tap/standpipe", "protected well", "unprotected well", "protected spring",
+    "unprotected spring", "spring", "public fountain", "water in plastic bag", "public borehole",
+]
+
+
 @query(
     "tile_labels_by_name",
     ["JN-8"],
     f"""{oracle_views('households')}, n AS (SELECT survey, cluster, source, count(*) AS n FROM households WHERE source IS NOT NULL GROUP BY ALL),
         m AS (SELECT survey, cluster, arg_min(source, (-n, source)) AS source FROM n GROUP BY ALL),
-        k AS (SELECT *, substr(survey, 1, 2) || 'GE' || substr(survey, 5) || lpad(CAST(cluster AS VARCHAR), 8, '0') || '.tif' AS name FROM m WHERE source LIKE '%p%'),
+        k AS (SELECT *, substr(survey, 1, 2) || 'GE' || substr(survey, 5) || lpad(CAST(cluster AS VARCHAR), 8, '0') || '.tif' AS name FROM m WHERE source IN ('piped into dwelling', 'piped to yard/plot', 'public tap/standpipe', 'protected well', 'unprotected well', 'protected spring', 'unprotected spring', 'spring', 'public fountain', 'water in plastic bag', 'public borehole')),
         f AS (SELECT source, row_number() OVER (ORDER BY min(name), source) - 1 AS label FROM k GROUP BY source)
         SELECT name, source, label FROM k JOIN f USING (source)""",
 )
@@ -121,11 +127,9 @@ def tile_labels_by_name(t: Tables):
     main = ag.majority(t.households, ["survey", "cluster"], "source").filter("source_max IS NOT NULL")
     survey_ge = F.concat(F.substring("survey", 1, 2), F.lit("GE"), F.expr("substring(survey, 5)"))
     tiles = main.select(F.concat(survey_ge, ql.zero_fill(F.col("cluster"), 8), F.lit(".tif")).alias("name"))
-    # names carry survey and cluster, so the match is by equality on the parsed parts
-    survey, cluster = tx.tile_survey_cluster("name")
-    keyed = tiles.withColumns({"GE": survey, "cluster": cluster})
-    labels = main.select(survey_ge.alias("GE"), "cluster", F.col("source_max").alias("source")).filter(F.contains("source", F.lit("p")))
-    return jn.factorise(keyed.join(labels, ["GE", "cluster"]).select("name", "source"), "source", "name", "label")
+    pairs = main.select(F.col("survey").alias("HR"), survey_ge.alias("GE")).distinct()
+    labels = main.select("survey", "cluster", F.col("source_max").alias("source"))
+    return jn.tile_sources(tiles, labels, pairs, _MAIN_SOURCES)
 
 
 @query(
