@@ -27,6 +27,7 @@ class Components:
     std: np.ndarray
     vectors: np.ndarray  # one row per component
     explained: np.ndarray  # share of variance per component
+    matrix: np.ndarray  # correlation or covariance matrix they come from
 
     def scores(self, n: int = 1) -> list[Column]:
         out = []
@@ -44,12 +45,13 @@ def _components(g: np.ndarray, cols: Sequence[str], standardise: bool) -> Compon
     cov = g[1:, 1:] / n - np.outer(mean, mean)
     std = np.sqrt(np.clip(np.diag(cov), 0, None)) if standardise else np.ones(len(cols))
     std = np.where(std > 0, std, 1.0)
-    ev, vec = np.linalg.eigh(cov / np.outer(std, std))
+    matrix = cov / np.outer(std, std)
+    ev, vec = np.linalg.eigh(matrix)
     order = np.argsort(ev)[::-1]
     ev, vec = np.clip(ev[order], 0, None), vec[:, order].T
     sign = np.sign(vec[np.arange(len(vec)), np.abs(vec).argmax(axis=1)])
     share = ev / ev.sum() if ev.sum() > 0 else ev
-    return Components(tuple(cols), mean, std, vec * sign[:, None], share)
+    return Components(tuple(cols), mean, std, vec * sign[:, None], share, matrix)
 
 
 def principal_components(df: DataFrame, cols: Sequence[str], standardise: bool = True) -> Components:
@@ -63,7 +65,7 @@ def principal_components(df: DataFrame, cols: Sequence[str], standardise: bool =
     _, g = gram(shifted, [f"c{i}" for i in range(len(cols))])
     comp = _components(g, cols, standardise)
     base = np.array([float(rough[i] or 0.0) for i in range(len(cols))])
-    return Components(comp.cols, comp.mean + base, comp.std, comp.vectors, comp.explained)
+    return Components(comp.cols, comp.mean + base, comp.std, comp.vectors, comp.explained, comp.matrix)
 
 
 def pca_index(
@@ -83,7 +85,10 @@ def pca_index(
         part = df.filter(cond & complete)
         comp = principal_components(part, cols)
         score = comp.scores(1)[0]
-        r = part.agg(correlation(score, F.col(q(orient))).alias("r")).first()["r"]
+        if orient in cols:
+            r = float(comp.matrix[list(cols).index(orient)] @ comp.vectors[0])
+        else:
+            r = part.agg(correlation(score, F.col(q(orient))).alias("r")).first()["r"]
         signed = -score if r is not None and r < 0 else score
         new[f"{out} {name}".strip()] = F.when(cond & complete, signed)
     return df.withColumns(new)

@@ -97,12 +97,12 @@ def _water(t: Tables):
     ["SF-14", "SF-15", "SF-16", "SF-18", "SF-19", "AG-6", "AG-8", "PF-20", "JN-2"],
     f"""{_TIME_SQL.replace(oracle_views('households'), oracle_views('households', 'clusters'))}, x AS (SELECT *, {_WEIGHT_SQL} AS w, {_CLASS_SQL} AS cls FROM g),
         n AS (SELECT cluster, cls, count(*) AS n FROM x WHERE cls IS NOT NULL GROUP BY ALL),
-        m AS (SELECT cluster, arg_min(cls, (-n, cls)) AS top, max(n) * 100.0 / sum(n) AS p FROM n GROUP BY cluster),
+        mj AS (SELECT cluster, arg_min(cls, (-n, cls)) AS top, max(n) * 100.0 / sum(n) AS p FROM n GROUP BY cluster),
         a AS (SELECT cluster, avg(w) AS w, stddev_samp(w) AS sd, avg(t) AS t, count(*) AS households FROM x GROUP BY cluster)
         SELECT CAST(a.cluster AS VARCHAR) AS "DHSID", {r('w')} AS weight, {r('sd')} AS weight_std, {r('t')} AS minutes, a.households, top AS class, {r('p')} AS class_percent,
           CASE WHEN t BETWEEN 0 AND 0 THEN '0 - 0 mins' WHEN t BETWEEN 1 AND 5 THEN '1 - 5 mins' WHEN t BETWEEN 6 AND 15 THEN '6 - 15 mins' WHEN t BETWEEN 16 AND 30 THEN '16 - 30 mins'
                WHEN t BETWEEN 31 AND 60 THEN '31 - 60 mins' WHEN t BETWEEN 61 AND 120 THEN '61 - 120 mins' WHEN t BETWEEN 121 AND 999 THEN '121 - 999 mins' END AS distance
-        FROM a JOIN m USING (cluster) JOIN clusters c USING (cluster) WHERE c.LATNUM NOT BETWEEN 0 AND 1e-8""",
+        FROM a JOIN mj USING (cluster) JOIN clusters c USING (cluster) WHERE c.LATNUM NOT BETWEEN 0 AND 1e-8""",
 )
 def water_cluster_labels(t: Tables):
     loc = t.clusters.select(F.col("cluster").cast("string").alias("DHSID"), "LATNUM", "LONGNUM")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.core.namespaces import quoted as q
+from surveyspark.core.session import cut_lineage
 from surveyspark.functions import recode as rc
 from surveyspark.functions.calendar import MINUTE_TEXTS
 from surveyspark.functions.text import null_tokens
@@ -64,7 +65,11 @@ def water_households(df: DataFrame) -> DataFrame:
 
 
 def water_indices(df: DataFrame, names: Sequence[str] = tuple(INDICES)) -> DataFrame:
-    """First-component indices for urban, rural and all households, rising with the source weight."""
+    """First-component indices for urban, rural and all households, rising with the source weight.
+
+    The recoded answers are written once, since every index reads them twice.
+    """
+    df = cut_lineage(df)
     urban, rural, everyone = F.col("URBAN_RURA") == "U", F.col("URBAN_RURA") == "R", F.lit(True)
     for name in names:
         df = pca_index(df, INDICES[name], WEIGHT, f"PCA {name}", [urban, rural, everyone], ["urban", "rural", "all"])
