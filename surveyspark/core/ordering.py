@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.core.session import cut_lineage
 
-RANGES = 256
+RANGES = 1024
 SMALL_GROUP = 1_000_000
 
 
@@ -73,24 +73,18 @@ def value_positions(
 def with_value_range(counts: DataFrame, value: str, ranges: int) -> DataFrame:
     """Column ``__range``: ranges in order of value that hold about equally many distinct values.
 
-    The bounds are one small array, found once and inlined; a value is placed by a coarse
-    and a fine comparison.
+    The bounds (at most ``ranges`` numbers) are found first; values are placed by binary search.
     """
-    coarse = max(2, math.isqrt(ranges))
-    ranges = coarse * coarse
+    from pyspark.ml.feature import Bucketizer
+
     cuts = [i / ranges for i in range(1, ranges)]
-    bounds = counts.select(value).distinct().agg(
-        F.coalesce(F.percentile_approx(F.col(value), cuts, 16 * ranges), F.array()).alias("b")
-    )
-    b, v = F.col("__bounds"), F.col(value)
-    marks = F.array(*[F.get(b, F.lit(i * coarse - 1)) for i in range(1, coarse)])
-    inside = F.size(F.filter(F.slice(b, F.col("__coarse") * coarse + 1, F.lit(coarse - 1)), lambda x: x < v))
-    return (
-        counts.withColumn("__bounds", bounds.scalar())
-        .withColumn("__coarse", F.size(F.filter(marks, lambda x: x < v)))
-        .withColumn("__range", F.col("__coarse") * coarse + inside)
-        .drop("__bounds", "__coarse")
-    )
+    v = F.col(value).cast("double")
+    bounds = counts.select(v.alias("v")).distinct().agg(F.percentile_approx("v", cuts, 16 * ranges).alias("b")).first()["b"]
+    splits = [-math.inf, *sorted({b for b in bounds or [] if math.isfinite(b)}), math.inf]
+    if len(splits) < 3:
+        return counts.withColumn("__range", F.lit(0.0))
+    place = Bucketizer(splits=splits, inputCol="__v", outputCol="__range", handleInvalid="keep")
+    return place.transform(counts.withColumn("__v", v)).drop("__v")
 
 
 def hash_positions(df: DataFrame, hash_col: str, span: float, ranges: int | None = None) -> DataFrame:

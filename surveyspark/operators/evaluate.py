@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.core.stats import correlation
-from surveyspark.operators.aggregates import regression_metrics
+from surveyspark.operators.aggregates import regression_metrics, split_statistics
 from surveyspark.operators.clustering import cluster_positions
-from surveyspark.operators.quality import moments_of
-from surveyspark.operators.transforms import Scaling
+from surveyspark.operators.quality import clip_sigma, moments_of, trim_sigma
+from surveyspark.operators.transforms import Scaling, fit_scaling, flip_sign
 
 LEVELS = {"adm2": ["adm2_name", "adm1_name", "adm0_name"], "adm1": ["adm1_name", "adm0_name"], "adm0": ["adm0_name"]}
 # Radii in kilometres of the cluster evaluation, and the year optical images begin.
@@ -240,3 +240,22 @@ def split_drift(stats: DataFrame, whole: str = "whole ds") -> DataFrame:
             ",",
         ),
     )
+
+
+def prepare_regression_labels(
+    df: DataFrame, label: str, split: str, reverse: bool = False, low: float | None = None, high: float | None = None,
+    drop: bool = False, transform: str | None = None, normalise: str | None = None,
+) -> tuple[DataFrame, Scaling, DataFrame]:
+    """Labels turned, trimmed or clipped, transformed and scaled: rows with ``label``, parameters, moments per split.
+
+    ``low`` / ``high`` are bounds in deviations from the mean; beyond them rows are dropped
+    (``drop``) or set to the bound. The moments can be passed to ``split_drift``.
+    """
+    rows = df.filter(F.col(label).isNotNull() & F.col(split).isNotNull()).withColumn("label", F.col(label).cast("double"))
+    if reverse:
+        rows = flip_sign(rows, "label")
+    if low is not None or high is not None:
+        rows = trim_sigma(rows, "label", low, high) if drop else clip_sigma(rows, "label", low, high)
+    scaling = fit_scaling(rows, "label", transform, normalise)
+    rows = rows.withColumn("label", scaling.apply(F.col("label")))
+    return rows, scaling, split_statistics(rows, split, "label")

@@ -153,12 +153,12 @@ def rows_with_file_id(t: Tables):
 @query(
     "catalogue_listing",
     ["SC-11"],
-    """SELECT CAST(doc_id AS VARCHAR) AS "Filename", lang AS "Title", source AS "Contact person Femoz intern Email", lang AS "coverage district", source AS "coverage province", text AS description FROM documents""",
+    """SELECT CAST(doc_id AS VARCHAR) AS "Filename", lang AS "Title", source AS "Contact person Email", lang AS "coverage district", source AS "coverage province", text AS description FROM documents""",
 )
 def catalogue_listing(t: Tables):
     d = t.documents
     rows = d.select(
-        "n_chars", F.col("doc_id").cast("string").alias("Filename"), F.col("lang").alias("Title"), F.col("source").alias("Contact person Femoz intern Email"),
+        "n_chars", F.col("doc_id").cast("string").alias("Filename"), F.col("lang").alias("Title"), F.col("source").alias("Contact person Email"),
         F.col("lang").alias("coverage district"), F.col("source").alias("coverage province"), F.col("text").alias("description"),
     )
     return fl.catalogue_columns(rows)

@@ -184,11 +184,10 @@ def train_val_test(t: Tables):
         SELECT cluster, split, {r('(y - m) / s', 8)} AS label FROM k, z""",
 )
 def prepared_regression_labels(t: Tables):
-    from surveyspark.operators.quality import trim_sigma
-    from surveyspark.operators.transforms import flip_sign, z_score
+    from surveyspark.operators.evaluate import prepare_regression_labels
 
-    rows = _split7(t).select("cluster", "split", F.col("Actual").alias("label"))
-    return rounded(z_score(trim_sigma(flip_sign(rows, "label"), "label", 2, 2), "label"), 8)
+    rows, _, _ = prepare_regression_labels(_split7(t), "Actual", "split", reverse=True, low=2, high=2, drop=True, normalise="Z")
+    return rounded(rows.select("cluster", "split", "label"), 8)
 
 
 _DRIFT_SQL = f"""{oracle_views('clusters')}, a AS (SELECT {_S} AS split, Actual AS x FROM clusters),

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from surveyspark.core.namespaces import quoted as q
 
-# Columns of the public catalogue listing.
-CATALOGUE_COLUMNS = [
-    "Filename", "Title", "Contact person Femoz intern Email", "coverage district", "coverage province", "description",
-]
+# Columns of the catalogue listing; the name of the contact column differs by database.
+CATALOGUE_COLUMNS = ["Filename", "Title", "coverage district", "coverage province", "description"]
+CONTACT_PREFIX = "Contact person"
 
 
 def read_csv(
@@ -180,7 +179,10 @@ def read_catalogue(spark: SparkSession, url: str, table: str = "public.metadata"
 
 
 def catalogue_columns(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(q(c)) for c in CATALOGUE_COLUMNS])
+    """File name, title, contact, coverage and description of every data set."""
+    contact = [c for c in df.columns if c.startswith(CONTACT_PREFIX)]
+    names = [*CATALOGUE_COLUMNS[:2], *contact, *CATALOGUE_COLUMNS[2:]]
+    return df.select(*[F.col(q(c)) for c in names])
 
 
 def route_points(points: DataFrame) -> DataFrame:
