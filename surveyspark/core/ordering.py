@@ -87,10 +87,13 @@ def with_value_range(counts: DataFrame, value: str, ranges: int) -> DataFrame:
     return place.transform(counts.withColumn("__v", v)).drop("__v")
 
 
-def hash_positions(df: DataFrame, hash_col: str, span: float, ranges: int | None = None) -> DataFrame:
-    """Rows with their 0-based position along a unique uniform hash, and the number of rows.
+def hash_positions(
+    df: DataFrame, hash_col: str, span: float, ranges: int | None = None, ties: Sequence[str] = ()
+) -> DataFrame:
+    """Rows with their 0-based position along a uniform hash, and the number of rows.
 
     A uniform hash needs no bounds: equal slices of its span hold about equally many rows.
+    ``ties`` order rows of equal hash, so that positions repeat on every run.
     There are several slices per shuffle partition, so slices grow with the cluster's setting.
     """
     if ranges is None:
@@ -103,7 +106,7 @@ def hash_positions(df: DataFrame, hash_col: str, span: float, ranges: int | None
         F.coalesce(F.sum("__m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"),
         F.sum("__m").over(Window.partitionBy(F.lit(0))).alias("total"),
     )
-    inside = Window.partitionBy("__slice").orderBy(hash_col)
+    inside = Window.partitionBy("__slice").orderBy(hash_col, *ties)
     return (
         rows.join(per, "__slice")
         .withColumn("position", F.row_number().over(inside) - 1 + F.col("__offset"))

@@ -13,6 +13,7 @@ from surveyspark.core.hashing import HASH_SPAN, seeded_hash
 from surveyspark.core.ordering import hash_positions
 from surveyspark.core.session import cut_lineage
 from surveyspark.functions.geo import chord_of_km, unit_vector
+from surveyspark.operators.joins import category_rank
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -144,9 +145,9 @@ def cluster_positions(
     """Density clusters of positions with at least two points within ``eps_km`` of each other.
 
     With two as the minimum every point that has a neighbour is a core point, so clusters
-    are the connected components of the neighbour graph. The label is the smallest position
-    hash in the cluster; noise is -1. ``noise="unique"`` adds a column with -1, -2, … for
-    noise points, ``noise="grouped"`` with the same label for ``noise_group`` of them.
+    are the connected components of the neighbour graph, numbered from 0; noise is -1.
+    ``noise="unique"`` adds a column with -1, -2, … for noise points, ``noise="grouped"``
+    one with the same label for ``noise_group`` of them.
     """
     x, y, z = unit_vector(F.col(lat).cast("double"), F.col(lon).cast("double"))
     placed = df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
@@ -161,10 +162,11 @@ def cluster_positions(
     comps = connected_components(edges)
     cells = points.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"))
     root = F.when(F.col("component").isNotNull(), F.col("component")).when(F.col("n") > 1, F.col("cell"))
-    label = F.conv(F.substring(F.md5(F.to_json(root)), 1, 12), 16, 10).cast("bigint")
-    comp = cells.join(comps, cells["cell"] == comps["node"], "left").select(
-        F.col("cell").alias("__cell"), F.when(root.isNotNull(), label).otherwise(F.lit(-1)).alias("__label")
-    )
+    comp = cells.join(comps, cells["cell"] == comps["node"], "left").select(F.col("cell").alias("__cell"), root.alias("__root"))
+    comp = cut_lineage(comp)
+    roots = comp.filter("__root IS NOT NULL").select("__root").distinct()
+    labels = category_rank(roots, "__root", [F.col("__root").asc()], "__label")
+    comp = comp.join(labels, "__root", "left").select("__cell", F.coalesce("__label", F.lit(-1)).alias("__label"))
     own_cell = F.struct(*[F.floor(c / side).cast("bigint").alias(n) for c, n in zip((x, y, z), "ijk")])
     result = (
         placed.withColumn("__cell", own_cell).join(comp, "__cell").withColumn(out, F.col("__label")).drop("__cell", "__label")
@@ -172,7 +174,7 @@ def cluster_positions(
     if noise is None:
         return result
     lone = result.filter(F.col(out) == -1).select(*ident).withColumn("__h", seeded_hash(seed, *ident))
-    pos = hash_positions(lone, "__h", HASH_SPAN)
+    pos = hash_positions(lone, "__h", HASH_SPAN, ties=ident)
     step = F.col("position") if noise == "unique" else F.floor(F.col("position") / noise_group)
     name = f"{out}: {'unique' if noise == 'unique' else 'grouped'} non-clustered"
     pos = pos.select(*ident, (-1 - step).cast("bigint").alias("__noise"))

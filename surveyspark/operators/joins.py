@@ -134,7 +134,7 @@ def category_rank(table: DataFrame, col: str, order: Sequence[Column], out: str)
     w = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__p", "__start", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__offset"))
     return numbered.join(F.broadcast(offsets), "__p").select(
-        col, (F.col("__id") - F.col("__start") + F.col("__offset")).cast("int").alias(out)
+        col, (F.col("__id") - F.col("__start") + F.col("__offset")).cast("bigint").alias(out)
     )
 
 

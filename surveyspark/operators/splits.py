@@ -20,7 +20,7 @@ MAX_GROUPS = 1_000_000
 def _ranked_keys(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Distinct keys with position and total along the seeded hash."""
     keys = df.filter(F.col(key).isNotNull()).select(key).distinct()
-    return hash_positions(keys.withColumn("__h", seeded_hash(seed, key)), "__h", HASH_SPAN).drop("__h")
+    return hash_positions(keys.withColumn("__h", seeded_hash(seed, key)), "__h", HASH_SPAN, ties=[key]).drop("__h")
 
 
 def even_part(position: Column, total: Column, parts: Column | int) -> Column:
@@ -87,7 +87,7 @@ def disjoint_fold_roles(df: DataFrame, key: str, n_folds: int = 5, val_size: flo
 
 def random_split(df: DataFrame, row_id: Sequence[str], k: int = 6, seed: int = 42, out: str = "split") -> DataFrame:
     """Random split into ``k`` parts of equal size; every row is assigned."""
-    pos = hash_positions(df.withColumn("__h", seeded_hash(seed, *row_id)), "__h", HASH_SPAN)
+    pos = hash_positions(df.withColumn("__h", seeded_hash(seed, *row_id)), "__h", HASH_SPAN, ties=row_id)
     part = F.floor(F.col("position") * k / F.col("total")).cast("int")
     return pos.withColumn(out, F.concat(F.lit("split "), part.cast("string"))).drop("__h", "position", "total")
 
@@ -101,7 +101,7 @@ def train_val_test(
     df: DataFrame, row_id: Sequence[str], sizes: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42
 ) -> DataFrame:
     """Exact shares: the first ``floor(train · n)`` rows along the hash, then val, then test."""
-    pos = hash_positions(df.withColumn("__h", seeded_hash(seed, *row_id)), "__h", HASH_SPAN)
+    pos = hash_positions(df.withColumn("__h", seeded_hash(seed, *row_id)), "__h", HASH_SPAN, ties=row_id)
     n_train = F.floor(F.lit(sizes[0]) * F.col("total"))
     n_val = F.floor(F.lit(validation_share(sizes[1], sizes[2])) * (F.col("total") - n_train))
     role = F.when(F.col("position") < n_train, "train").when(F.col("position") < n_train + n_val, "val").otherwise("test")
