@@ -113,13 +113,18 @@ def _near_cells(points: DataFrame, eps: float, depth: int = 30) -> DataFrame:
     e2 = eps * eps
     found = None
     for level in range(depth):
-        pairs = cut_lineage(pairs.filter(gap2() <= e2))
-        near = pairs.filter(dist2("a_rep", "b_rep") <= e2).select("a_cell", "b_cell").distinct()
-        near = cut_lineage(near)
+        # one table per level holds all that later steps need
+        open_pairs = pairs.filter(gap2() <= e2).select(
+            "a_cell", "b_cell", "a_box", "b_box", (dist2("a_rep", "b_rep") <= e2).alias("near"),
+            ((dist2("a_lo", "a_hi") == 0) & (dist2("b_lo", "b_hi") == 0)).alias("points"),
+        )
+        open_pairs = cut_lineage(open_pairs)
+        near = open_pairs.filter("near").select("a_cell", "b_cell").distinct()
         found = near if found is None else found.unionByName(near)
-        points_only = (dist2("a_lo", "a_hi") == 0) & (dist2("b_lo", "b_hi") == 0)
-        undecided = pairs.join(near, ["a_cell", "b_cell"], "left_anti").filter(~points_only)
-        undecided = cut_lineage(undecided.select("a_cell", "b_cell", "a_box", "b_box"))
+        undecided = (
+            open_pairs.join(near, ["a_cell", "b_cell"], "left_anti").filter(~F.col("points"))
+            .select("a_cell", "b_cell", "a_box", "b_box")
+        )
         if undecided.limit(1).count() == 0:
             break
         nxt = boxes(level + 1)
