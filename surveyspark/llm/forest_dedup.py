@@ -53,10 +53,10 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> list[np.ndar
         if n >= words:
             out.append(np.unique(joined[at[i] : at[i + 1] - words + 1]))
         elif n:
-            whole = h[at[i]]
-            for x in h[at[i] + 1 : at[i + 1]]:
-                whole = mix(np.array([whole * _U(0x9E3779B97F4A7C15) + x]))[0]
-            out.append(mix(np.array([whole + _U(n)], dtype=_U)))
+            whole = h[at[i] : at[i] + 1]
+            for j in range(at[i] + 1, at[i + 1]):
+                whole = mix(whole * _U(0x9E3779B97F4A7C15) + h[j : j + 1])
+            out.append(mix(whole + _U(n)))
         else:
             out.append(np.zeros(0, _U))
     return out

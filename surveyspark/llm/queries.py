@@ -24,6 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_SHARD_LIMIT = 1 << 20
+
+
+@query("op1_extendible_sharding", f"""
+    WITH i AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes,
+               ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+    d AS (SELECT i.*, t.d::INT AS depth, h >> (60 - t.d)::INT AS prefix FROM i, range(0, 61) t(d)),
+    s AS (SELECT depth, prefix, sum(n_bytes) AS b, count(*) AS n FROM d GROUP BY depth, prefix)
+    SELECT doc_id, any_value(n_bytes) AS n_bytes, min(depth) AS depth, arg_min(prefix, depth) AS prefix, 0::BIGINT AS page
+    FROM d JOIN s USING (depth, prefix) WHERE s.b <= {_SHARD_LIMIT} OR s.n = 1 GROUP BY doc_id
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of at most 1 MiB of text by extendible hashing of document ids."""
+    from pyspark.sql import functions as F
+
+    from surveyspark.llm.sharding import extendible_shards
+
+    return extendible_shards(table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"), _SHARD_LIMIT)
+
+
 @query("op2_toxicity_nbsvm")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; ids with crc32 mod 3 = 1 are held out of the fit."""
@@ -37,6 +57,47 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+@query("op3_adaptive_dimension_ann")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest embeddings of every hundredth one."""
+    from surveyspark.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
+@query("op4_multi_length_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in training sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    from surveyspark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_exact_inner_products", """
+    WITH x AS (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+    p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+          FROM x q JOIN x c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five largest integer inner products of every fiftieth embedding."""
+    from surveyspark.llm.topk import largest_products
+
+    return largest_products(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
+@query("op6_pfair_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in the mixture of its sources."""
+    from surveyspark.llm.mixing import mix_order
+
+    return mix_order(table(spark, sf_dir, "documents"))
+
+
 @query("op7_suffix_array_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes in 400-byte strings that occur more than once, cut from every document."""
