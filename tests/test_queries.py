@@ -24,10 +24,10 @@ def con():
 
 def test_oracles_belong_to_queries():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
-    assert set(OPERATORS) == set(entry_module.queries())
+    assert set(OPERATORS) <= set(entry_module.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_query(spark, con, name):
     status, _, _, message = compare.compare(spark, con, name, SF_DIR)
     assert status in ("ok", "rows-only"), message
