@@ -3,7 +3,9 @@
 Features are the distinct 3- to 5-grams of the lower-cased characters, known by 64-bit
 hashes. For each one the ratio of its document frequencies in both classes, smoothed
 towards 1, gives the scale ``r`` of its column; a logistic regression with an L2 penalty is
-fitted on the scaled presence of the strongest features.
+fitted on the scaled presence of the strongest features. Only ratios that speak for
+toxicity are used, with coefficients of at least 0, so that no amount of harmless text
+around an insult lowers the score of a very long document.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ ORDERS = (3, 4, 5)
 #: Labelled rows that the fit reads at most, and features it keeps at most.
 FIT_ROWS, FEATURES = 8000, 8192
 SMOOTHING, LEAST_RATIO, LEAST_ROWS = 4.0, 0.7, 3
+#: A feature must stand in more toxic rows than its clean rate explains, by so many deviations.
+LEAST_DEVIATIONS = 4.0
 _TABLE_BITS = 22
 
 
@@ -108,6 +112,8 @@ class ToxicityModel:
         return pairs // max(len(self.hashes), 1), pairs % max(len(self.hashes), 1)
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(texts))
         rows, features = self.presence(texts)
         z = np.bincount(rows, self.weights[features], len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
@@ -138,8 +144,8 @@ def _known(hashes: np.ndarray) -> np.ndarray:
 
 
 def _logistic(rows: np.ndarray, features: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Coefficients of scaled presence and bias, by Nesterov steps on the balanced loss."""
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    """Coefficients (none below 0) of scaled presence and bias, by projected Nesterov steps."""
+    weight = np.full(len(y), 1 / len(y))
     value = scale[features]
     per_row = np.bincount(rows, value * value, len(y))
     rate = 1 / (0.25 * (weight * (per_row + 1)).sum() + penalty)
@@ -151,6 +157,7 @@ def _logistic(rows: np.ndarray, features: np.ndarray, scale: np.ndarray, y: np.n
         nw = vw - rate * (np.bincount(features, value * g[rows], len(scale)) + penalty * vw)
         nb = vb - rate * g.sum()
         m = k / (k + 3)
+        nw = np.maximum(nw, 0)
         vw, vb, w, b = nw + m * (nw - w), nb + m * (nb - b), nw, nb
     return w, b
 
@@ -178,8 +185,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     counts = sample.mapInArrow(_count, "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     p = (F.col("pos") + SMOOTHING * share) / (positive + SMOOTHING * share)
     q = (F.col("neg") + SMOOTHING * (1 - share)) / (negative + SMOOTHING * (1 - share))
-    ratio = counts.filter(F.col("pos") >= LEAST_ROWS).withColumn("r", F.log(p / q)).filter(F.abs("r") >= LEAST_RATIO)
-    chosen = ratio.orderBy(F.desc(F.abs("r") * F.sqrt(F.col("pos") + F.col("neg"))), "gram").limit(features).collect()
+    ratio = counts.filter(F.col("pos") >= LEAST_ROWS).withColumn("r", F.log(p / q)).filter(F.col("r") >= LEAST_RATIO)
+    ratio = ratio.filter(F.col("pos") - q * positive >= LEAST_DEVIATIONS * F.sqrt(q * positive))
+    chosen = ratio.orderBy(F.desc(F.col("r") * F.sqrt(F.col("pos") + F.col("neg"))), "gram").limit(features).collect()
     if not chosen:
         return nothing
     hashes = np.array([c["gram"] for c in chosen], np.int64).view(_U)
