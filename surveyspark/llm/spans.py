@@ -3,12 +3,13 @@
 Every window of ``width`` symbols (bytes or words) has an anchor: the smallest-hashed k-mer
 inside it. Equal windows have the same anchor at the same place, so a window can only meet
 its copies among the stretches around equal anchors. Consecutive windows of one anchor make
-one stretch (its *context*), and 28 bytes of hashes stand for it in the shuffle:
+one stretch (its *context*), and 17 bytes stand for it in the shuffle (88 bits of hashes, to
+which the bucket adds some, place and length):
 
 1. While texts are read, equal contexts met in the same task are settled at once and one of
    them goes on, so a passage with many copies sends a row per task. An anchor with many
    different contexts in a task sends two of them; the others are known to need a look.
-2. Per anchor, equal contexts are settled by their 128 bits; contexts whose anchor has other
+2. Per anchor, equal contexts are settled by their hashes; contexts whose anchor has other
    contexts too are *contested*: parts of them may still repeat.
 3. Contested contexts are cut from their texts and given, in buckets of anchors, to the
    method at hand (suffix array or suffix automaton). Anchors with more contexts than one
@@ -29,7 +30,8 @@ from surveyspark.llm.common import BYTE_WORDS, SubHashes, batches_of, cut_lineag
 
 _U = np.uint64
 ROW = np.dtype([("anchor", "<u8"), ("ctx", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("s", "<i4"), ("n", "<i4"), ("c", "<i4")])
-ASK = np.dtype([("anchor", "<u8"), ("s", "<i4"), ("n", "<i4"), ("ask", "<i4")])
+ASK = np.dtype([("anchor", "<u8"), ("s", "<i4"), ("n", "<u2")])  # the highest bit of n: must be looked at
+ASKS = 1 << 15
 OUT = "bucket int, kind int, k1 long, k2 long, data binary"
 SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("data", pa.binary())])
 BLOB, SPANS, ASKED = 0, 1, 2
@@ -111,9 +113,8 @@ def _by_document(kind: int, rows: np.ndarray, width: int, buckets: int) -> dict[
             data = merged(np.stack([s, s + part["n"] - 1 + width], axis=1)).astype("<i4").tobytes()
         else:
             asked = np.zeros(len(part), ASK)
-            for f in ("anchor", "s", "n"):
-                asked[f] = part[f]
-            asked["ask"] = part["c"] < 2
+            asked["anchor"], asked["s"] = part["anchor"], part["s"]
+            asked["n"] = part["n"] | np.where(part["c"] < 2, ASKS, 0)
             data = asked.tobytes()
         out["bucket"].append(int(mix(part["k2"][:1].astype(_U))[0] % _U(buckets)))
         out["kind"].append(kind)
@@ -127,6 +128,41 @@ def _batch(cols: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in SCHEMA], schema=SCHEMA)
 
 
+def _write(rows: np.ndarray) -> bytes:
+    """Contexts of one bucket as bytes: documents with their number of contexts, then columns."""
+    rows = rows[np.lexsort((rows["s"], rows["k2"], rows["k1"]))]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows["k1"][1:] != rows["k1"][:-1]) | (rows["k2"][1:] != rows["k2"][:-1])
+    first = np.flatnonzero(new)
+    columns = [rows["k1"][first], rows["k2"][first], np.diff(np.append(first, len(rows))).astype("<u4"), rows["s"], (rows["n"] | np.where(rows["c"] > 1, ASKS, 0)).astype("<u2"),
+               rows["anchor"].copy().view(np.uint8).reshape(-1, 8)[:, :5], rows["ctx"].copy().view(np.uint8).reshape(-1, 8)[:, :6]]
+    return np.array([len(first), len(rows)], "<u4").tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+
+
+def _read_blob(data: bytes, bucket: int) -> np.ndarray:
+    docs, n = np.frombuffer(data, "<u4", 2).tolist()
+    at = 8
+
+    def take(kind: str, count: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, kind, count, at)
+        at += out.nbytes
+        return out
+
+    rows = np.zeros(n, ROW)
+    k1, k2, counts = take("<i8", docs), take("<i8", docs), take("<u4", docs)
+    rows["k1"], rows["k2"] = np.repeat(k1, counts), np.repeat(k2, counts)
+    rows["s"] = take("<i4", n)
+    flags = take("<u2", n)
+    rows["n"], rows["c"] = flags & (ASKS - 1), 1 + (flags >= ASKS)
+    for name, width in (("anchor", 5), ("ctx", 6)):
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = take("u1", n * width).reshape(n, width)
+        rows[name] = wide.view("<u8").ravel()
+    rows["anchor"] |= _U(bucket << 40)
+    return rows
+
+
 def settle(rows: np.ndarray, smaller: bool) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by (anchor, context), and which of them are copies by their hashes alone.
 
@@ -178,19 +214,20 @@ def _read(rule: Rule, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         crowded = count > LOCAL_CONTEXTS
         yield _batch(_by_document(ASKED, rows[crowded], rule.width, buckets))
         rows = rows[~crowded | (rank < 2)]
-        place = (rows["anchor"] % _U(buckets)).astype(np.int64)
+        place = (rows["anchor"] >> _U(40)).astype(np.int64)
         rows, place = rows[np.argsort(place, kind="stable")], np.sort(place)
         cut = np.searchsorted(place, np.arange(buckets + 1))
         full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
         yield _batch({"bucket": full, "kind": [BLOB] * len(full), "k1": [0] * len(full), "k2": [0] * len(full),
-                      "data": [rows[cut[b] : cut[b + 1]].tobytes() for b in full]})
+                      "data": [_write(rows[cut[b] : cut[b + 1]]) for b in full]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for part, data, offs in text_parts(batches, "text"):
             d, s, n, anchor, ctx = contexts(*rule.symbols(data, offs), rule)
             rows = np.zeros(len(d), ROW)
-            rows["anchor"], rows["ctx"], rows["s"], rows["n"], rows["c"] = anchor, ctx, s, n, 1
+            rows["anchor"] = ((anchor % _U(buckets)) << _U(40)) | (anchor >> _U(24))
+            rows["ctx"], rows["s"], rows["n"], rows["c"] = ctx >> _U(16), s, n, 1
             rows["k1"] = part.column("k1").to_numpy(zero_copy_only=False)[d]
             rows["k2"] = part.column("k2").to_numpy(zero_copy_only=False)[d]
             held.append(rows)
@@ -209,10 +246,10 @@ def _meet(rule: Rule, buckets: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
-        blobs = table.filter(pa.array(kind == BLOB)).column("data")
+        blobs = table.filter(pa.array(kind == BLOB)).select(["bucket", "data"]).to_pylist()
         out = [table.filter(pa.array(kind != BLOB)).select(SCHEMA.names).cast(SCHEMA)]
         if len(blobs):
-            rows = np.concatenate([np.frombuffer(b.as_py(), ROW) for b in blobs])
+            rows = np.concatenate([_read_blob(b["data"], b["bucket"]) for b in blobs])
             rows, done = settle(rows, rule.smaller)
             count, _ = _context_count(rows)
             look = _forward(rows, done, rule.smaller) & (count > 1)
@@ -241,13 +278,14 @@ def _cut(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             symbols, at = word_hashes(data, offs) if rule.words else (data, offs)
             cols: list[list] = [[] for _ in names]
             for i, (k1, k2, lists) in enumerate(zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "asked")))):
-                asked = np.sort(np.concatenate([np.frombuffer(x, ASK) for x in lists]), order=["anchor", "s", "n", "ask"])
+                asked = np.sort(np.concatenate([np.frombuffer(x, ASK) for x in lists]), order=["anchor", "s", "n"])
                 last = np.ones(len(asked), dtype=bool)  # asked twice: the need for a look wins
                 last[:-1] = (asked["anchor"][1:] != asked["anchor"][:-1]) | (asked["s"][1:] != asked["s"][:-1])
                 asked = asked[last]
                 own = symbols[at[i] : at[i + 1]]
-                for a, s, n, ask in asked.tolist():
-                    for col, v in zip(cols, (a - (1 << 64) if a >> 63 else a, k1, k2, s, n, ask, own[s : s + n - 1 + rule.width].tobytes())):
+                for a, s, n in asked.tolist():
+                    n, ask = n % ASKS, n // ASKS
+                    for col, v in zip(cols, (a, k1, k2, s, n, ask, own[s : s + n - 1 + rule.width].tobytes())):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=names)
 
@@ -345,7 +383,7 @@ def repeated_spans(df: DataFrame, rule: Rule, method: Method, crowd: int = 4096)
     """
     spark = df.sparkSession
     batches_of(spark)
-    buckets = 4 * partitions(spark)
+    buckets = 2 * partitions(spark)  # fewer buckets repeat a document's keys less often
     src = df.select("k1", "k2", "text")
     read = src.mapInArrow(_read(rule, buckets), OUT)
     met = cut_lineage(read.groupBy("bucket").applyInArrow(_meet(rule, buckets), OUT))
