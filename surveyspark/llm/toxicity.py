@@ -26,6 +26,8 @@ ORDERS = (3, 4, 5)
 #: Labelled rows that the fit reads at most, and features it keeps at most.
 FIT_ROWS, FEATURES = 8000, 8192
 SMOOTHING, LEAST_RATIO, LEAST_ROWS = 4.0, 0.7, 3
+#: N-grams of toxic rows (the most frequent) that the selection looks at.
+CANDIDATES = 1 << 18
 #: A feature must stand in more toxic rows than its clean rate explains, by so many deviations.
 LEAST_DEVIATIONS = 4.0
 _TABLE_BITS = 22
@@ -68,23 +70,34 @@ def _chunks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int
         yield first, texts[first:]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class that hold an n-gram; those in fewer than two toxic ones of the task are left out."""
-    found: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for batch in batches:
-        for t, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            own = [h for h in grams(_joined([t])[0])]
-            found[y].append(np.unique(np.concatenate(own)) if own else np.zeros(0, _U))
-    if found[1]:
-        hashes, pos = np.unique(np.concatenate(found[1]), return_counts=True)
-        hashes, pos = hashes[pos >= 2], pos[pos >= 2]
-        neg = np.zeros(len(hashes), np.int64)
-        for own in found[0]:
-            at = np.searchsorted(hashes, own)
-            at[at == len(hashes)] = 0
-            if len(hashes):
-                neg[at[hashes[at] == own]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(pos), pa.array(neg)], names=["gram", "pos", "neg"])
+def _distinct_grams(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """Distinct n-grams of each text."""
+    for t in texts:
+        own = list(grams(_joined([t])[0]))
+        yield np.unique(np.concatenate(own)) if own else np.zeros(0, _U)
+
+
+def _toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the task that hold an n-gram."""
+    found = [h for batch in batches for h in _distinct_grams(batch.column("text").to_pylist())]
+    if found:
+        hashes, n = np.unique(np.concatenate(found), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], names=["gram", "n"])
+
+
+def _clean_counts(hashes: np.ndarray):
+    """Rows of the task that hold one of the known n-grams (sorted)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(hashes), np.int64)
+        for batch in batches:
+            for own in _distinct_grams(batch.column("text").to_pylist()):
+                at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                n[at[hashes[at] == own]] += 1
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["place", "n"])
+
+    return run
 
 
 @dataclass
@@ -181,18 +194,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     nothing = ToxicityModel(np.zeros(0, _U), np.zeros(0), -500.0)
     if not positive or not negative:
         return nothing
-    share = positive / (positive + negative)
-    counts = sample.mapInArrow(_count, "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    p = (F.col("pos") + SMOOTHING * share) / (positive + SMOOTHING * share)
-    q = (F.col("neg") + SMOOTHING * (1 - share)) / (negative + SMOOTHING * (1 - share))
-    ratio = counts.filter(F.col("pos") >= LEAST_ROWS).withColumn("r", F.log(p / q)).filter(F.col("r") >= LEAST_RATIO)
-    ratio = ratio.filter(F.col("pos") - q * positive >= LEAST_DEVIATIONS * F.sqrt(q * positive))
-    chosen = ratio.orderBy(F.desc(F.col("r") * F.sqrt(F.col("pos") + F.col("neg"))), "gram").limit(features).collect()
-    if not chosen:
+    # n-grams of toxic rows first, then how many clean rows hold them; both lists are bounded by CANDIDATES
+    toxic, clean = sample.filter("label = 1").select("text"), sample.filter("label = 0").select("text")
+    counts = toxic.mapInArrow(_toxic_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    known = counts.filter(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "gram").limit(CANDIDATES).toArrow()
+    if not known.num_rows:
         return nothing
-    hashes = np.array([c["gram"] for c in chosen], np.int64).view(_U)
+    hashes, pos = known.column("gram").to_numpy().view(_U), known.column("n").to_numpy()
     order = np.argsort(hashes)
-    hashes, scale = hashes[order], np.array([c["r"] for c in chosen])[order]
+    hashes, pos, neg = hashes[order], pos[order], np.zeros(len(order))
+    seen = clean.mapInArrow(_clean_counts(hashes), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    neg[seen.column("place").to_numpy()] = seen.column("n").to_numpy()
+    share = positive / (positive + negative)
+    p = (pos + SMOOTHING * share) / (positive + SMOOTHING * share)
+    q = (neg + SMOOTHING * (1 - share)) / (negative + SMOOTHING * (1 - share))
+    ratio = np.log(p / q)
+    good = np.flatnonzero((ratio >= LEAST_RATIO) & (pos - q * positive >= LEAST_DEVIATIONS * np.sqrt(q * positive)))
+    good = np.sort(good[np.lexsort((good, -(ratio * np.sqrt(pos + neg))[good]))[:features]])
+    if not len(good):
+        return nothing
+    hashes, scale = hashes[good], ratio[good]
     empty = ToxicityModel(hashes, np.zeros(len(hashes)), 0.0)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
