@@ -1,15 +1,13 @@
 """Order statistics that never put an unbounded group into one task.
 
-The size of the largest group is looked up first. While it is within ``SMALL_GROUP`` rows,
-Spark's own percentile and plain windows are used. Beyond that the rows are counted per
-(keys, value) with map-side combining and the distinct values are cut into ranges: a window
-runs per (keys, range) only, and the running totals of the ranges connect the pieces. A
-group holding a third of all rows is thereby spread over as many tasks as there are ranges.
+Rows are counted per (keys, value) with map-side combining. The counts are dealt out in
+ranges of (keys, value), so a group with many values lies in several of them; a window runs
+per (keys, range) only, and the running totals of the ranges connect the pieces. This is
+the one way for groups of any size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,16 +15,6 @@ from pyspark.sql import functions as F
 
 from surveyspark.core.session import cut_lineage
 
-RANGES = 1024
-SMALL_GROUP = 1_000_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group; reads the key columns only."""
-    rows = F.count(F.lit(1)).alias("n")
-    sizes = df.groupBy(*keys).agg(rows).agg(F.max("n").alias("n")) if keys else df.agg(rows)
-    return sizes.first()["n"] or 0
-
 
 def known_rows(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     out = df.select(*keys, value).filter(F.col(value).isNotNull())
@@ -35,25 +23,19 @@ def known_rows(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return out
 
 
-def value_positions(
-    df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES, small: int = SMALL_GROUP
-) -> DataFrame:
+def value_positions(df: DataFrame, keys: Sequence[str], value: str, ranges: int | None = None) -> DataFrame:
     """Per distinct (keys, value): rows ``n``, rows ``before`` it in its group, ``total`` of the group.
 
-    ``value`` must be numeric; nulls and null keys take no part (as in a pandas groupby).
+    Nulls and null keys take no part (as in a pandas groupby). ``ranges`` defaults to the
+    number of shuffle partitions.
     """
     keys = list(keys)
-    src = known_rows(df, keys, value)
-    counts = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = known_rows(df, keys, value).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    # the number of the range is kept with the rows: both branches below must see the same
+    counts = cut_lineage(counts.repartitionByRange(ranges, *keys, value).withColumn("__range", F.spark_partition_id()))
     group = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
     lower = (Window.unboundedPreceding, -1)
-    if largest_group(src, keys) <= small:
-        return counts.select(
-            *keys, value, "n",
-            F.coalesce(F.sum("n").over(group.orderBy(value).rowsBetween(*lower)), F.lit(0)).alias("before"),
-            F.sum("n").over(group).alias("total"),
-        )
-    counts = with_value_range(cut_lineage(counts), value, ranges)
     per_range = counts.groupBy(*keys, "__range").agg(F.sum("n").alias("__m")).select(
         *keys,
         "__range",
@@ -70,23 +52,6 @@ def value_positions(
     )
 
 
-def with_value_range(counts: DataFrame, value: str, ranges: int) -> DataFrame:
-    """Column ``__range``: ranges in order of value that hold about equally many distinct values.
-
-    The bounds (at most ``ranges`` numbers) are found first; values are placed by binary search.
-    """
-    from pyspark.ml.feature import Bucketizer
-
-    cuts = [i / ranges for i in range(1, ranges)]
-    v = F.col(value).cast("double")
-    bounds = counts.select(v.alias("v")).distinct().agg(F.percentile_approx("v", cuts, 16 * ranges).alias("b")).first()["b"]
-    splits = [-math.inf, *sorted({b for b in bounds or [] if math.isfinite(b)}), math.inf]
-    if len(splits) < 3:
-        return counts.withColumn("__range", F.lit(0.0))
-    place = Bucketizer(splits=splits, inputCol="__v", outputCol="__range", handleInvalid="keep")
-    return place.transform(counts.withColumn("__v", v)).drop("__v")
-
-
 def hash_positions(
     df: DataFrame, hash_col: str, span: float, ranges: int | None = None, ties: Sequence[str] = ()
 ) -> DataFrame:
@@ -114,17 +79,12 @@ def hash_positions(
     )
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], ranges: int = RANGES,
-    small: int = SMALL_GROUP,
-) -> DataFrame:
-    """Exact quantiles per group with linear interpolation, one column per entry of ``probs``."""
-    src = known_rows(df, keys, value)
-    if largest_group(src, keys) <= small:
-        q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs.values()]))
-        out = src.groupBy(*keys).agg(q.alias("__q"))
-        return out.select(*keys, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(probs)])
-    pos = value_positions(src, keys, value, ranges, small=0)
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], ranges: int | None = None) -> DataFrame:
+    """Exact quantiles per group with linear interpolation, one column per entry of ``probs``.
+
+    Groups without a known value give no row; without keys there is always one row.
+    """
+    pos = value_positions(df, keys, value, ranges)
     aggs = []
     for name, p in probs.items():
         target = F.lit(float(p)) * (F.col("total") - 1)
@@ -142,17 +102,20 @@ def exact_quantiles(
     )
 
 
-def column_medians(
-    df: DataFrame, keys: Sequence[str], cols: Sequence[str], suffix: str = "_median", small: int = SMALL_GROUP
-) -> DataFrame:
-    """Exact medians of several columns at once."""
-    keys = list(keys)
-    if largest_group(df, keys) <= small:
-        return df.groupBy(*keys).agg(*[F.median(F.col(f"`{c}`").cast("double")).alias(f"{c}{suffix}") for c in cols])
-    med = exact_quantiles(melt(df, keys, cols), [*keys, "column"], "value", {"q": 0.5}, small=small)
-    return med.groupBy(*keys).agg(
+def column_medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], suffix: str = "_median") -> DataFrame:
+    """Exact medians of several columns at once, for every group: null keys and groups without values stay."""
+    return with_medians(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")), df, keys, cols, suffix).drop("__rows")
+
+
+def with_medians(groups: DataFrame, df: DataFrame, keys: Sequence[str], cols: Sequence[str], suffix: str) -> DataFrame:
+    """``groups`` (one row per group of ``df``) with the exact medians of columns."""
+    # keys as a struct compare equal where both are null
+    one = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    long = melt(df.withColumn("__g", one), ["__g"], cols)
+    med = exact_quantiles(long, ["__g", "column"], "value", {"q": 0.5}).groupBy("__g").agg(
         *[F.max(F.when(F.col("column") == c, F.col("q"))).alias(f"{c}{suffix}") for c in cols]
     )
+    return groups.withColumn("__g", one).join(med, "__g", "left").drop("__g")
 
 
 def melt(df: DataFrame, keys: Sequence[str], cols: Sequence[str], as_type: str = "double") -> DataFrame:

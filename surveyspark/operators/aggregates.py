@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.core.stats import correlation
 from surveyspark.core import namespaces as ns
-from surveyspark.core.ordering import SMALL_GROUP, average_ranks, column_medians, largest_group, melt
+from surveyspark.core.ordering import average_ranks, melt, with_medians
 from surveyspark.functions.text import answer_text, as_number
 
 q = ns.quoted
@@ -68,11 +68,8 @@ def _bundle(cols: Sequence[str], firsts: Mapping[str, str] | None) -> list[Colum
 
 
 def _with_medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], aggs: list[Column], suffix: str = "_median") -> DataFrame:
-    """Aggregates with medians: in the same grouping while groups are small, else joined on."""
-    if largest_group(df, keys) <= SMALL_GROUP:
-        medians = [F.median(F.col(q(c)).cast("double")).alias(f"{c}{suffix}") for c in cols]
-        return df.groupBy(*keys).agg(*aggs, *medians)
-    return df.groupBy(*keys).agg(*aggs).join(column_medians(df, keys, cols, suffix), list(keys), "left")
+    """Aggregates with exact medians joined on."""
+    return with_medians(df.groupBy(*keys).agg(*aggs), df, keys, cols, suffix)
 
 
 def first_known(col: str, order: str) -> Column:
@@ -142,7 +139,7 @@ def grouped_feature_table(
     df: DataFrame, keys: Sequence[str], nums: Sequence[str], categories: Mapping[str, Sequence[str]],
     firsts: Mapping[str, str] | None = None, namer=None,
 ) -> DataFrame:
-    """Statistic bundle of the numbers and shares of the categories, in one grouping while groups are small."""
+    """Statistic bundle of the numbers and shares of the categories."""
     df = _not_null(df, keys)
     return _with_medians(df, keys, nums, [*_bundle(nums, firsts), *share_columns(categories, namer)])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.core import namespaces as ns
 from surveyspark.core.bounded import collect_bounded
-from surveyspark.core.ordering import SMALL_GROUP, column_medians, largest_group, melt
+from surveyspark.core.ordering import melt, with_medians
 from surveyspark.functions.calendar import survey_date
 from surveyspark.functions.text import as_number, as_text_remainder
 from surveyspark.operators.aggregates import (
@@ -56,7 +56,7 @@ def survey_features(
     """One row per survey and area: statistics of the numbers, shares of the answers, encodings and dates.
 
     Which columns hold numbers and which answers is found in one aggregation, the categories
-    in one grouping; the table itself is then a single grouping while groups are small.
+    in one grouping; medians are joined on.
     """
     keys = list(keys)
     rows = located.filter(" AND ".join(f"`{p} of interview` IS NOT NULL" for p in ("day", "month", "year")))
@@ -110,11 +110,7 @@ def survey_features(
         aggs.append((1 - F.count(x) / F.count(F.lit(1))).alias(ns.build(ns.CATEGORICAL, c, "NaN")))
 
     middle = {"__date": "__date", **{f"__n{i}": ns.build(ns.NUMERIC, c, "median") for i, c in enumerate(nums)}}
-    if largest_group(base, keys) <= SMALL_GROUP:
-        out = base.groupBy(*keys).agg(*aggs, *[F.median(c).alias(n) for c, n in middle.items()])
-    else:
-        med = column_medians(base, keys, list(middle), "").withColumnsRenamed(middle)
-        out = base.groupBy(*keys).agg(*aggs).join(med, keys)
+    out = with_medians(base.groupBy(*keys).agg(*aggs), base, keys, list(middle), "").withColumnsRenamed(middle)
     when = F.timestamp_seconds(F.col("__date") * 86400)
     out = out.withColumns(
         {"Meta; date": when.cast("date"), "Meta; year": F.year(when), "Meta; month": F.month(when)}
