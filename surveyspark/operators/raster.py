@@ -25,26 +25,38 @@ def _unknown(v: Column) -> Column:
     return v.isNull() | F.isnan(v)
 
 
-def pixel_sums(px: Column) -> Column:
-    """Struct (n, s, q) of the known pixels: count, sum and sum of squares, in one pass over the array."""
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+def pixel_moments(px: Column) -> Column:
+    """Struct (n, mean, m2) of the known pixels: count, mean and squared deviations from it.
+
+    One pass over the array with running means, so a large offset doesn't cancel.
+    """
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
 
     def add(acc: Column, v: Column) -> Column:
-        x = F.when(_unknown(v), F.lit(0.0)).otherwise(v.cast("double"))
-        one = F.when(_unknown(v), F.lit(0.0)).otherwise(F.lit(1.0))
-        return F.struct((acc["n"] + one).alias("n"), (acc["s"] + x).alias("s"), (acc["q"] + x * x).alias("q"))
+        n = acc["n"] + F.lit(1.0)
+        d = v.cast("double") - acc["mean"]
+        mean = acc["mean"] + d / n
+        more = F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + d * (v.cast("double") - mean)).alias("m2"))
+        return F.when(_unknown(v), acc).otherwise(more)
 
     return F.aggregate(px, zero, add)
 
 
-def mean_of(sums: Column) -> Column:
-    return F.when(sums["n"] > 0, sums["s"] / sums["n"])
+def joined_moments(parts: Column) -> Column:
+    """Moments of a short array of moments (the bands of a tile) together."""
+    n = F.aggregate(parts, F.lit(0.0), lambda a, p: a + p["n"])
+    mean = F.aggregate(parts, F.lit(0.0), lambda a, p: a + p["n"] * p["mean"]) / F.nullif(n, F.lit(0.0))
+    m2 = F.aggregate(parts, F.lit(0.0), lambda a, p: a + p["m2"] + p["n"] * (p["mean"] - mean) * (p["mean"] - mean))
+    return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
+
+
+def mean_of(moments: Column) -> Column:
+    return F.when(moments["n"] > 0, moments["mean"])
 
 
-def std_of(sums: Column) -> Column:
+def std_of(moments: Column) -> Column:
     """Population deviation."""
-    m = sums["s"] / sums["n"]
-    return F.when(sums["n"] > 0, F.sqrt(F.greatest(sums["q"] / sums["n"] - m * m, F.lit(0.0))))
+    return F.when(moments["n"] > 0, F.sqrt(moments["m2"] / moments["n"]))
 
 
 def per_pixel(px: Column, fn, *values: Column) -> Column:
@@ -59,7 +71,7 @@ def per_pixel(px: Column, fn, *values: Column) -> Column:
 
 def fill_unknown(df: DataFrame, fill: float | dict[int, float] | str = "band mean") -> DataFrame:
     """Unknown pixels set to a constant, a value per band or the mean of the tile's band; adds ``nan_percent``."""
-    out = df.withColumn("__p", pixel_sums(F.col("px")))
+    out = df.withColumn("__p", pixel_moments(F.col("px")))
     if fill == "band mean":
         value = mean_of(F.col("__p"))
     elif isinstance(fill, dict):
@@ -81,14 +93,14 @@ def clip_pixels(df: DataFrame, low: float | None = None, high: float | None = No
 
     if sigmas is None:
         return df.withColumn("px", per_pixel(F.col("px"), limit, F.lit(float(low)), F.lit(float(high))))
-    out = df.withColumn("__p", pixel_sums(F.col("px")))
+    out = df.withColumn("__p", pixel_moments(F.col("px")))
     m, s = mean_of(F.col("__p")), std_of(F.col("__p"))
     return out.withColumn("px", per_pixel(F.col("px"), limit, m - sigmas * s, m + sigmas * s)).drop("__p")
 
 
 def _missing_share(df: DataFrame) -> DataFrame:
     """Percent of unknown pixels per tile over all its bands."""
-    part = df.select("tile_id", F.size("px").alias("size"), pixel_sums(F.col("px"))["n"].alias("n"))
+    part = df.select("tile_id", F.size("px").alias("size"), pixel_moments(F.col("px"))["n"].alias("n"))
     return part.groupBy("tile_id").agg(((F.sum("size") - F.sum("n")) / F.sum("size") * 100).alias("nan_percent"))
 
 
@@ -106,16 +118,19 @@ def nan_ledger(df: DataFrame) -> DataFrame:
 def corpus_statistics(df: DataFrame, keys: tuple[str, ...] = ("band",), per_file: bool = False) -> DataFrame:
     """Mean and population deviation per band over all pixels, or as mean over files.
 
-    One pass: every tile adds its count, sum and sum of squares; the pixels are not exploded.
+    Every tile adds its moments, the pixels are not exploded; means are found before the
+    deviations from them.
     """
-    part = df.select(*keys, pixel_sums(F.col("px")).alias("p"))
-    if not per_file:
-        sums = part.groupBy(*keys).agg(F.struct(*[F.sum(f"p.{c}").alias(c) for c in "nsq"]).alias("p"))
-        return sums.select(*keys, mean_of(F.col("p")).alias("mean"), std_of(F.col("p")).alias("std"))
-    # mean of (x - m)² per file, averaged, needs only the per-file first and second moments
-    one = part.filter("p.n > 0").select(*keys, (F.col("p.s") / F.col("p.n")).alias("m1"), (F.col("p.q") / F.col("p.n")).alias("m2"))
-    out = one.groupBy(*keys).agg(F.avg("m1").alias("mean"), F.avg("m2").alias("m2"))
-    return out.select(*keys, "mean", F.sqrt(F.greatest(F.col("m2") - F.col("mean") * F.col("mean"), F.lit(0.0))).alias("std"))
+    part = df.select(*keys, pixel_moments(F.col("px")).alias("p"))
+    if per_file:  # deviations inside a file and of its mean from the mean of all files
+        one = part.filter("p.n > 0").select(*keys, F.col("p.mean").alias("m"), (F.col("p.m2") / F.col("p.n")).alias("v"))
+        return one.groupBy(*keys).agg(F.avg("m").alias("mean"), F.sqrt(F.avg("v") + F.var_pop("m")).alias("std"))
+    part = part.withColumn("__g", F.struct(*keys))  # as a struct, null keys meet each other
+    total = F.nullif(F.sum("p.n"), F.lit(0.0))
+    centre = part.groupBy("__g").agg((F.sum(F.col("p.n") * F.col("p.mean")) / total).alias("mean"))
+    away = F.col("p.mean") - F.col("mean")
+    out = part.join(centre, "__g").groupBy(*keys, "mean").agg(F.sqrt(F.sum(F.col("p.m2") + F.col("p.n") * away * away) / total).alias("std"))
+    return out.select(*keys, "mean", "std")
 
 
 def normalise_tiles(df: DataFrame, mode: str = "Z", stats: DataFrame | None = None, keys: tuple[str, ...] = ("band",)) -> DataFrame:
@@ -123,12 +138,12 @@ def normalise_tiles(df: DataFrame, mode: str = "Z", stats: DataFrame | None = No
     the average of both; ``all channel``: one mean and deviation over all bands of the tile."""
     out = df
     if mode in ("Z local", "Z combined", "all channel"):
-        out = out.withColumn("__p", pixel_sums(F.col("px")))
+        out = out.withColumn("__p", pixel_moments(F.col("px")))
     if mode in ("Z", "Z combined"):
         stats = corpus_statistics(df, keys) if stats is None else stats
         out = out.join(stats.select(*keys, F.col("mean").alias("__cm"), F.col("std").alias("__cs")), list(keys))
     if mode == "all channel":
-        tile = out.groupBy("tile_id").agg(F.struct(*[F.sum(f"__p.{c}").alias(c) for c in "nsq"]).alias("__t"))
+        tile = out.groupBy("tile_id").agg(joined_moments(F.collect_list("__p")).alias("__t"))
         out = out.join(tile, "tile_id")
     if mode == "Z":
         m, s = F.col("__cm"), F.col("__cs")

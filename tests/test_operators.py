@@ -579,3 +579,17 @@ def test_tiles_match_numpy(spark):
     assert ledger["nan_percent"] == pytest.approx(100 / 96)
     with pytest.raises(Exception, match="tile too small"):
         rs.crop_centre(df, 10, 4).collect()
+
+
+def test_tile_moments_keep_small_spreads_on_large_offsets(spark):
+    from surveyspark.operators import raster as rs
+
+    rows = [(1, 0, [1e8, 1e8 + 1, None]), (1, 1, [1e8 + 3.0, float("nan")]), (2, 0, [1e8 + 2.0, 1e8 + 4.0]), (2, 1, [1e8 + 8.0])]
+    df = spark.createDataFrame(rows, "tile_id int, band int, px array<double>")
+    got = {r["band"]: (r["mean"], r["std"]) for r in rs.corpus_statistics(df).collect()}
+    for band, x in {0: [0, 1, 2, 4], 1: [3, 8]}.items():
+        assert got[band] == pytest.approx((1e8 + np.mean(x), np.std(x)), rel=1e-9)
+    files = {r["band"]: r["std"] for r in rs.corpus_statistics(df, per_file=True).collect()}
+    assert files[0] == pytest.approx(np.sqrt(np.mean([0.25, 1.0]) + np.var([0.5, 3.0])))
+    one = df.filter("tile_id = 1").groupBy("tile_id").agg(rs.joined_moments(F.collect_list(rs.pixel_moments(F.col("px")))).alias("t"))
+    assert one.select(rs.std_of(F.col("t")).alias("s")).first()["s"] == pytest.approx(np.std([0, 1, 3]))
