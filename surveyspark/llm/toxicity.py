@@ -147,7 +147,7 @@ _TABLES: dict[bytes, np.ndarray] = {}
 
 def _known(hashes: np.ndarray) -> np.ndarray:
     """Which table places hold a feature; a task builds it once for a model."""
-    key = hashes[:64].tobytes() + len(hashes).to_bytes(4, "little")
+    key = hashes.tobytes()
     if key not in _TABLES:
         _TABLES.clear()
         table = np.zeros(1 << _TABLE_BITS, bool)
