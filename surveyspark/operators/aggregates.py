@@ -202,10 +202,17 @@ def weighted_std(x: Column, w: Column) -> Column:
 
 
 def weighted_variance(x: Column, w: Column) -> Column:
-    both = x.isNotNull() & w.isNotNull()
-    sw = F.sum(F.when(both, w))
-    mean = F.sum(F.when(both, x * w)) / F.nullif(sw, F.lit(0.0))
-    return F.greatest(F.sum(F.when(both, x * x * w)) / F.nullif(sw, F.lit(0.0)) - mean * mean, F.lit(0.0))
+    """Variance around the weighted mean, from central moments around the plain mean ``m``.
+
+    ``cov(w·x, x) - m·cov(w, x)`` is the mean of ``w·(x - m)²`` and ``cov(w, x) / mean(w)`` the
+    distance of both means, so squares of a large offset are never subtracted. Null without weight.
+    """
+    x = F.when(x.isNotNull() & w.isNotNull(), x)
+    w = F.when(x.isNotNull(), w)
+    mean_w = F.nullif(F.avg(w), F.lit(0.0))
+    tilt = F.covar_pop(w, x)
+    variance = (F.covar_pop(w * x, x) - F.avg(x) * tilt) / mean_w - F.pow(tilt / mean_w, 2)
+    return F.when(variance.isNotNull(), F.greatest(variance, F.lit(0.0)))
 
 
 def weighted_means(df: DataFrame, keys: Sequence[str], pairs: Mapping[str, str], poison: bool = False) -> DataFrame:

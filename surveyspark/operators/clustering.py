@@ -58,7 +58,9 @@ def _near_cells(points: DataFrame, eps: float, depth: int = 30) -> DataFrame:
     within ``eps``, so pairs inside a cell need no check. For two cells the question is
     whether their closest points are near enough: boxes are compared, and only box pairs
     that could go either way are split into their parts, level by level, until each is
-    decided. A crowded cell is thus settled by its boxes, not by its point pairs.
+    decided. A crowded cell is thus settled by its boxes, not by its point pairs. Boxes still
+    open after ``depth`` levels are smaller than a rounding error of positions; their points
+    are compared.
     """
     side = eps / (3**0.5) * (1 - 1e-12)
 
@@ -140,6 +142,15 @@ def _near_cells(points: DataFrame, eps: float, depth: int = 30) -> DataFrame:
             )
             .select("a_cell", "b_cell", F.col("na").alias("a_box"), "a_lo", "a_hi", "a_rep", F.col("nb").alias("b_box"), "b_lo", "b_hi", "b_rep")
         )
+    else:
+        cell, box = at(0), at(depth - 1)
+        placed = points.select(
+            F.struct(*[c.alias(n) for c, n in zip(cell, "ijk")]).alias("cell"),
+            F.struct(*[c.alias(n) for c, n in zip(box, "ijk")]).alias("box"), F.struct("x", "y", "z").alias("at"),
+        )
+        sides = [placed.select(*[F.col(c).alias(f"{t}_{c}") for c in ("cell", "box", "at")]) for t in "ab"]
+        met = undecided.join(sides[0], ["a_cell", "a_box"]).join(sides[1], ["b_cell", "b_box"])
+        found = found.unionByName(met.filter(dist2("a_at", "b_at") <= e2).select("a_cell", "b_cell").distinct())
     return found.select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b")).distinct()
 
 

@@ -245,6 +245,13 @@ def impute_chained(
     flagged = df.withColumns({f"__gap_{c}": F.col(q(c)).isNull() for c in order})
     state = cut_lineage(impute_mean(flagged, cols))
     limit = tol * (miss["top"] or 1.0)
+    centre = state.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    centre = {c: float(centre[f"m{i}"] or 0.0) for i, c in enumerate(cols)}
+
+    def shifted(c: str) -> Column:
+        """A column without its offset, so that cross products don't cancel."""
+        return F.col(q(c)) - F.lit(centre[c])
+
     for nr in range(rounds):
         before = state
         for step, c in enumerate(order):
@@ -253,12 +260,12 @@ def impute_chained(
             others = [o for o in cols if o != c]
             gap = F.col(q(f"__gap_{c}"))
             if estimator in ("linear", "bayesian"):
-                _, g = gram(state.filter(~gap), [*others, c])
+                _, g = gram(state.filter(~gap).select(*[shifted(o).alias(o) for o in [*others, c]]), [*others, c])
                 fit = ridge_from_gram if estimator == "linear" else bayesian_ridge_from_gram
                 beta = fit(g, len(others) + 1, list(range(1, len(others) + 1)))
-                guess = F.lit(float(beta[0]))
+                guess = F.lit(centre[c] + float(beta[0]))
                 for o, b in zip(others, beta[1:]):
-                    guess = guess + F.col(q(o)) * F.lit(float(b))
+                    guess = guess + shifted(o) * F.lit(float(b))
                 state = state.withColumn(c, F.when(gap, guess).otherwise(F.col(q(c))))
             elif estimator == "forest":
                 state = _forest_step(state, others, c, gap, trees, seed + nr)

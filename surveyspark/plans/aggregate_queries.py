@@ -100,13 +100,15 @@ def category_shares_long(t: Tables):
     return rounded(ag.category_shares(t.households, ["adm2_name"], ["fuel", "location"]))
 
 
+_FUEL_SHARES = ", ".join(f"""{r(f"count(*) FILTER (fuel = '{p}') / nullif(count(fuel), 0)")} AS "DHS Cat; fuel: {p}" """ for p in PRIORITIES)
+
+
 @query(
     "category_shares_wide",
     ["AG-4", "AG-1"],
     f"""
     {oracle_views("households")}
-    SELECT adm2_name, {r("count(*) FILTER (fuel = '1-URGENT') / nullif(count(fuel), 0)")} AS "DHS Cat; fuel: 1-URGENT",
-           {r("count(*) FILTER (fuel = '2-HIGH') / nullif(count(fuel), 0)")} AS "DHS Cat; fuel: 2-HIGH",
+    SELECT adm2_name, {_FUEL_SHARES},
            {r("1 - count(fuel) / count(*)")} AS "DHS Cat; fuel: NaN", count(*) AS households,
            {r("avg(income)")} AS income_mean, {r("median(income)")} AS income_median
     FROM households GROUP BY adm2_name
@@ -115,7 +117,7 @@ def category_shares_long(t: Tables):
 def category_shares_wide(t: Tables):
     """Shares pivoted from the long form, beside the statistics of a number."""
     keys = ["adm2_name"]
-    shares = ag.shares_wide(ag.category_shares(t.households, keys, ["fuel"]), keys, {"fuel": PRIORITIES[:2]})
+    shares = ag.shares_wide(ag.category_shares(t.households, keys, ["fuel"]), keys, {"fuel": PRIORITIES})
     nums = ag.statistic_bundle(t.households, keys, ["income"]).select(*keys, "households", "income_mean", "income_median")
     return rounded(shares.join(nums, keys))
 
@@ -385,18 +387,21 @@ def coarse_source_counts(t: Tables):
     return wide.select("cluster", *ag.column_group_sums(groups, wide.columns))
 
 
+_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
 @query(
     "encodings",
     ["AG-19"],
     f"""
     {oracle_views("clusters")}, f AS (SELECT adm1_name, count(*) / sum(count(*)) OVER () AS f FROM clusters GROUP BY adm1_name)
-    SELECT cluster, CAST(adm0_name = 'AFRICA' AS INT) AS "Meta one-hot encoding; adm0_name: AFRICA",
-           CAST(adm0_name = 'ASIA' AS INT) AS "Meta one-hot encoding; adm0_name: ASIA", {r("f", 9)} AS "Meta frequency encoding; adm1_name"
+    SELECT cluster, {", ".join(f"""CAST(adm0_name = '{n}' AS INT) AS "Meta one-hot encoding; adm0_name: {n}" """ for n in _REGIONS)},
+           {r("f", 9)} AS "Meta frequency encoding; adm1_name"
     FROM clusters JOIN f USING (adm1_name)
     """,
 )
 def encodings(t: Tables):
-    rows = ag.one_hot(t.clusters.select("cluster", "adm0_name", "adm1_name"), "adm0_name", ["AFRICA", "ASIA"])
+    rows = ag.one_hot(t.clusters.select("cluster", "adm0_name", "adm1_name"), "adm0_name", _REGIONS)
     return rounded(ag.frequency_encoding(rows, "adm1_name").drop("adm0_name", "adm1_name"), 9)
 
 

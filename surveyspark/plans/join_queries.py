@@ -183,14 +183,14 @@ def polygon_overlay(t: Tables):
     return rounded(jn.largest_overlap(hits, ["area"], "area_ratio", "phase").drop("phase"))
 
 
-_MONTHS = ["011998", "021998", "031998", "041998"]
+_MONTHS = [f"{month:02d}{year}" for year in range(1992, 2002) for month in range(1, 13)]
 
 
 @query(
     "panel_wide",
     ["JN-11"],
     f"""{oracle_views('phase_panel')} SELECT adm2_name, """
-    + ", ".join(f"""max(CASE WHEN year = 1998 AND month = {int(m[:2])} THEN CS END) AS "CS_{m}", max(CASE WHEN year = 1998 AND month = {int(m[:2])} THEN HA0 END) AS "HA0_{m}" """ for m in _MONTHS)
+    + ", ".join(f"""max(CASE WHEN year = {m[2:]} AND month = {int(m[:2])} THEN CS END) AS "CS_{m}", max(CASE WHEN year = {m[2:]} AND month = {int(m[:2])} THEN HA0 END) AS "HA0_{m}" """ for m in _MONTHS)
     + " FROM phase_panel GROUP BY adm2_name",
 )
 def panel_wide(t: Tables):
@@ -235,7 +235,7 @@ def nearest_next_year(t: Tables):
     "best_answer_match",
     ["JN-14", "AG-34"],
     f"""WITH l AS (SELECT p_partkey, string_split(p_name || ' ' || lower(p_type) || ' ' || lower(p_brand), ' ') AS w FROM part),
-        b AS (SELECT DISTINCT p_name || ' ' || lower(p_type) || ' brand#7' AS answer FROM part WHERE p_brand = 'Brand#7'),
+        b AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS answer FROM part),
         bs AS (SELECT answer, string_split(answer, ' ') AS w FROM b),
         s AS (SELECT p_partkey, answer, len(list_intersect(l.w, bs.w)) / sqrt(len(list_distinct(l.w)) * len(list_distinct(bs.w))) AS sim FROM l, bs),
         m AS (SELECT p_partkey, arg_min(answer, (-sim, answer)) AS match, max(sim) AS sim FROM s WHERE sim > 0.85 GROUP BY ALL)
@@ -244,8 +244,8 @@ def nearest_next_year(t: Tables):
 def best_answer_match(t: Tables):
     words = F.split(F.concat_ws(" ", "p_name", F.lower("p_type"), F.lower("p_brand")), " ")
     left = t.part.select(F.col("p_partkey").cast("string").alias("id"), words.alias("tokens"))
-    answer = F.concat_ws(" ", "p_name", F.lower("p_type"), F.lit("brand#7"))
-    right = t.part.filter("p_brand = 'Brand#7'").select(answer.alias("id")).distinct().withColumn("tokens", F.split("id", " "))
+    answer = F.concat_ws(" ", "p_name", F.lower("p_type"))
+    right = t.part.select(answer.alias("id")).distinct().withColumn("tokens", F.split("id", " "))
     out = mt.best_answer_match(left, right, "id", "tokens", 0.85)
     return out.select(F.col("id").cast("bigint").alias("p_partkey"), "match", "similarity")
 

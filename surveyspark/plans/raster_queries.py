@@ -28,10 +28,10 @@ def _long(df):
 @query(
     "cropped_tiles",
     ["RS-1", "SC-13"],
-    f"{oracle_views('tiles')}, {_PX} SELECT tile_id, band, CAST((i // 8 - 2) * 4 + i % 8 - 2 AS INT) AS i, {r('CAST(v AS DOUBLE)')} AS v FROM x WHERE i // 8 BETWEEN 2 AND 5 AND i % 8 BETWEEN 2 AND 5 AND band = 1",
+    f"{oracle_views('tiles')}, {_PX} SELECT tile_id, band, CAST((i // 8 - 2) * 4 + i % 8 - 2 AS INT) AS i, {r('CAST(v AS DOUBLE)')} AS v FROM x WHERE i // 8 BETWEEN 2 AND 5 AND i % 8 BETWEEN 2 AND 5",
 )
 def cropped_tiles(t: Tables):
-    return rounded(_long(rs.crop_centre(t.tiles.filter("band = 1"), 4, 4)))
+    return rounded(_long(rs.crop_centre(t.tiles, 4, 4)))
 
 
 @query(

@@ -7,7 +7,8 @@ and more; its data are Parquet or CSV with column codes. Labels are two long tab
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import re
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,15 +108,25 @@ def answers_of(value_labels: DataFrame, survey: str) -> dict[str, dict[float, st
     return out
 
 
-def wanted_labels(labels: Sequence[str], ids: bool, numbered: bool = True) -> list[str]:
-    """Requested labels with those needed for keys and dates, and with their numbered repeats."""
+def wanted_labels(labels: Sequence[str], ids: bool, numbered: bool = True, known: Iterable[str] | None = None) -> list[str]:
+    """Requested labels with those needed for keys and dates, and with their numbered repeats.
+
+    Repeats are those among the ``known`` labels, or the first nine where these are not given.
+    """
     out = list(dict.fromkeys([*labels, PHASE]))
     if ids:
         out += [c for c in (CLUSTER, HOUSEHOLD, CASE) if c not in out]
     if any(d in out for d in DATE_LABELS):
         out += [d for d in DATE_LABELS if d not in out]
-    if numbered:
+    if numbered and known is None:
         out += [f"{c}_Nr{i}" for c in list(out) for i in range(1, 10)]
+    elif numbered:
+        repeats: dict[str, list[int]] = {}
+        for label in known:
+            base, mark, number = label.rpartition("_Nr")
+            if mark and re.fullmatch("[1-9][0-9]*", number):
+                repeats.setdefault(base, []).append(int(number))
+        out += [f"{c}_Nr{i}" for c in list(out) for i in sorted(repeats.get(c, ()))]
     return out
 
 
@@ -151,7 +162,7 @@ def decode_survey(
     by_label: dict[str, str] = {}
     for code in raw.columns:
         by_label.setdefault(column_labels.get(code, code.lower()), code)
-    names = wanted_labels(labels, make_ids or make_version) if labels is not None else list(by_label)
+    names = wanted_labels(labels, make_ids or make_version, known=by_label) if labels is not None else list(by_label)
     cols = []
     for name in names:
         if name in by_label:

@@ -74,6 +74,16 @@ def test_weighted_mean_poisoned_by_missing(spark):
     assert got["a"] == (2.5, 2.5, pytest.approx(math.sqrt(0.75))) and got["b"][:2] == (None, 2.0)
 
 
+def test_weighted_variance_far_from_zero(spark):
+    rows = [(off, off + x, w) for off in (0.0, 1e8, 1.6e9) for x, w in ((0.0, 1.0), (1.0, 2.0), (2.0, 5.0), (7.0, 0.5))]
+    df = spark.createDataFrame(rows + [(3.0, None, 1.0), (3.0, 4.0, None), (4.0, 1.0, 0.0)], "k double, x double, w double")
+    got = {r["k"]: r["v"] for r in df.groupBy("k").agg(ag.weighted_variance(F.col("x"), F.col("w")).alias("v")).collect()}
+    x, w = np.array([0, 1, 2, 7.0]), np.array([1, 2, 5, 0.5])
+    want = np.average((x - np.average(x, weights=w)) ** 2, weights=w)
+    assert got[0.0] == pytest.approx(want) and got[1e8] == pytest.approx(want, rel=1e-6) and got[1.6e9] == pytest.approx(want, rel=1e-5)
+    assert got[3.0] is None and got[4.0] is None
+
+
 def test_regression_metrics_on_fixture(spark):
     df = spark.createDataFrame(list(zip([1.0, 2.0, 3.0, 4.0, 5.0, 6.0], [1.0, 2.5, 2.5, 4.0, 5.0, 8.0])), "a double, p double")
     r = df.agg(*ag.regression_metrics("a", "p")).first()
@@ -455,6 +465,25 @@ def test_chained_imputation_recovers_a_line(spark):
         assert np.allclose(got["y"], 3 * x + 1, atol=tolerance)
 
 
+def test_chained_imputation_far_from_zero(spark):
+    x = 1.6e9 + np.arange(200) % 17
+    df = spark.createDataFrame(pd.DataFrame({"id": range(200), "x": x, "y": 2 * x + 1}))
+    holes = df.withColumn("y", F.when(F.col("id") % 5 != 0, F.col("y")))
+    for estimator in ("linear", "bayesian"):
+        got = im.impute_chained(holes, "id", ["x", "y"], estimator, rounds=2).toPandas().sort_values("id")
+        assert np.allclose(got["y"], 2 * x + 1, rtol=0, atol=1e-2)
+
+
+def test_near_cells_compare_points_of_the_last_level(spark):
+    rng = np.random.default_rng(3)
+    xyz = np.concatenate([rng.uniform(0, 2, (150, 3)), rng.normal(0.5, 0.01, (50, 3))])
+    points = spark.createDataFrame(pd.DataFrame(xyz, columns=list("xyz")))
+    got = {tuple(tuple(p[s]) for s in "ab") for p in cl._near_cells(points, 0.2, depth=1).collect()}
+    cell = [tuple(int(c) for c in np.floor(p / (0.2 / 3**0.5 * (1 - 1e-12)))) for p in xyz]
+    near = np.argwhere(np.linalg.norm(xyz[:, None] - xyz, axis=2) <= 0.2)
+    assert {frozenset(p) for p in got} == {frozenset((cell[i], cell[j])) for i, j in near if cell[i] != cell[j]}
+
+
 def test_hidden_values_and_rotation(spark):
     cols = ["DHS Num; a: mean", "DHS Cat; q: x", "DHS Cat; q: y"]
     assert im.rotated_columns(cols) == [["DHS Num; a: mean", "DHS Cat; q: x"], ["DHS Num; a: mean", "DHS Cat; q: y"]]

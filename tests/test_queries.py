@@ -16,6 +16,14 @@ from surveyspark.plans.registry import OPERATORS  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
+#: Queries that SQL can't express (seeded packing, models, iterative imputers, word similarity); fixtures test these.
+WITHOUT_ORACLE = {
+    "answer_word_similarity", "water_indices", "wealth_clusters", "packed_split_sizes", "packed_split", "year_disjoint_split",
+    "mean_balanced_split", "mean_balanced_year_split", "stratified_pca_index", "pca_reduction", "kmeans_labels", "unified_answers",
+    "unified_answer_shares", "integrated_columns", "chained_imputation", "chained_forest_imputation", "imputation_benchmark",
+    "cross_validated_linear", "cross_validated_boosting", "price_anomalies", "cluster_evaluation_by_year",
+}
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -30,4 +38,4 @@ def test_oracles_belong_to_queries():
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_query(spark, con, name):
     status, _, _, message = compare.compare(spark, con, name, SF_DIR)
-    assert status in ("ok", "rows-only"), message
+    assert status == ("rows-only" if name in WITHOUT_ORACLE else "ok"), message

@@ -59,6 +59,8 @@ def test_labels_and_picking():
     assert names == {"a": "time", "b": "time Time to the water source", "d": "region"}
     assert "cluster number" in sv.wanted_labels(["x"], ids=True, numbered=False)
     assert "x_Nr3" in sv.wanted_labels(["x"], ids=False)
+    some = sv.wanted_labels(["x"], ids=False, known=["x", "x_Nr12", "x_Nr2", "y_Nr1", "x_Nr"])
+    assert [c for c in some if c.startswith(("x", "y"))] == ["x", "x_Nr2", "x_Nr12"]
 
 
 def test_known_column_falls_back(spark):
