@@ -58,22 +58,16 @@ def as_text_remainder(col: Column | str) -> Column:
 def drop_brackets(col: Column | str) -> Column:
     """Cut from the first opening to the last closing bracket, round then square."""
     c = _c(col)
-    for opening, closing in (("(", ")"), ("[", "]")):
-        both = F.contains(c, F.lit(opening)) & F.contains(c, F.lit(closing))
-        head = F.substring_index(c, opening, 1)
-        tail = F.substring_index(c, closing, -1)
-        c = F.when(both, F.concat(head, tail)).otherwise(c)
+    for o, e in ((r"\(", r"\)"), (r"\[", r"\]")):
+        # only closed before it is opened: what stands between belongs to the head and to the tail
+        c = F.regexp_replace(c, rf"(?s)^([^{o}]*{e})([^{o}{e}]*)({o}[^{e}]*)$", "$1$2$2$3")
+        c = F.regexp_replace(c, rf"(?s)^([^{o}]*){o}.*{e}([^{e}]*)$", "$1$2")
     return c
 
 
 def after_separator(col: Column | str) -> Column:
     """Text after the first ``': '``, or else after the first ``' - '``."""
-    c = _c(col)
-    return (
-        F.when(F.contains(c, F.lit(": ")), F.regexp_extract(c, r"(?s)^.*?: (.*)$", 1))
-        .when(F.contains(c, F.lit(" - ")), F.regexp_extract(c, r"(?s)^.*? - (.*)$", 1))
-        .otherwise(c)
-    )
+    return F.regexp_replace(_c(col), r"(?s)^(?:.*?: |.*? - )", "")
 
 
 def normalise_label(col: Column | str, brackets: bool = True, question: bool = False) -> Column:
@@ -93,7 +87,8 @@ def remove_stop_words(col: Column | str, stop_words: Sequence[str] = STOP_WORDS)
     """Drop stop words and repeated words, keeping order; text of stop words only stays as it is."""
     c = _c(col)
     words = F.array_distinct(F.array_except(F.split(c, " "), F.array(*[F.lit(w) for w in stop_words])))
-    return F.when(F.contains(c, F.lit(" ")) & (F.size(words) > 0), F.array_join(words, " ")).otherwise(c)
+    some = F.transform(F.filter(F.array(words), lambda w: F.size(w) > 0), lambda w: F.array_join(w, " "))
+    return F.when(F.contains(c, F.lit(" ")), F.coalesce(F.get(some, 0), c)).otherwise(c)
 
 
 def answer_text(col: Column | str) -> Column:

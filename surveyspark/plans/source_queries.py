@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.core.session import ensure_checkpoint_dir
 from surveyspark.plans.registry import Tables, query, r, rounded
-from surveyspark.plans.views import oracle_views
+from surveyspark.plans.views import SOURCES, oracle_views
 from surveyspark.sources import files as fl
 from surveyspark.sources import surveys as sv
 
@@ -33,9 +33,14 @@ def survey_files(t: Tables):
     return sv.find_surveys(folders, "HR", 3, 6, ["AA", "BB"]).select("folder", "country", "version")
 
 
-@query("listed_files", ["SC-2"], "SELECT unnest(['customer.parquet', 'nation.parquet', 'region.parquet']) AS name")
+@query(
+    "listed_files", ["SC-2"],
+    " UNION ALL ".join(f"SELECT '{n}.parquet' AS name, count(*) AS rows FROM {n}" for n in SOURCES),
+)
 def listed_files(t: Tables):
-    return sv.list_files(t.spark, t.dir, "{customer,nation,region}.parquet").select("name")
+    """Files of the folder with the rows they hold."""
+    files = sv.list_files(t.spark, t.dir, "*.parquet").select("name")
+    return files.join(sv.rows_per_file(t.spark, t.dir), "name", "left").select("name", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
 def _raw(t: Tables):

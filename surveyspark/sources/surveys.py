@@ -47,6 +47,12 @@ def survey_parts(survey: Column | str) -> dict[str, Column]:
     }
 
 
+def rows_per_file(spark: SparkSession, root: str, pattern: str = "*.parquet", recursive: bool = True) -> DataFrame:
+    """Rows of every Parquet file under a folder, whatever its columns: name, rows. Empty files are not listed."""
+    reader = spark.read.schema("__none int").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern)
+    return reader.parquet(root).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def list_files(spark: SparkSession, root: str, pattern: str | None = None, recursive: bool = True) -> DataFrame:
     """Files under a folder: path, name, folder, length, modified. File contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())

@@ -171,3 +171,9 @@ def test_yes_no_direction(spark):
     rows = [("n", x) for x in ("0", "1", "1", "1", "1: yes")] + [("t", x) for x in ("0", "1", "yes", "yes", "no")] + [("two", x) for x in ("0", "1", "2", "yes", "yes", "yes", "yes")]
     got = {(r["column"], r["from"], r["to"]) for r in dc.yes_no_mapping(spark.createDataFrame(rows, "column string, value string")).collect()}
     assert got == {("n", "1: yes", "1"), ("t", "1", "yes"), ("t", "0", "no"), ("two", "yes", "1")}
+
+
+def test_brackets_in_any_order(spark):
+    rows = [("a (b) c", "a  c"), ("a) b (c", "a) b  b (c"), ("x) (a) y ( z", "x)  y ( z"), ("(", "("), ("(a) [b\nc] d", "  d"), ("", ""), (None, None)]
+    got = spark.createDataFrame(rows, "t string, want string").withColumn("got", tx.drop_brackets("t")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
