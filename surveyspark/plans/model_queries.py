@@ -196,7 +196,7 @@ def _gappy(t: Tables):
 
 @query("chained_imputation", ["ML-13"])
 def chained_imputation(t: Tables):
-    return rounded(im.impute_chained(_gappy(t), "cluster", ["Actual", "Prediction", "households"], "bayesian", rounds=5), 4)
+    return rounded(im.impute_chained(_gappy(t), "cluster", ["Actual", "Prediction", "households"], "bayesian", rounds=10), 4)
 
 
 @query("chained_forest_imputation", ["ML-13"])
@@ -355,12 +355,16 @@ def cluster_evaluation_by_year(t: Tables):
 @query(
     "split_evaluation",
     ["ML-21", "SF-29"],
-    f"""{oracle_views('clusters')}, p AS (SELECT Actual AS a, Prediction AS p, 0.5 * Actual + 3 AS ao, 0.5 * Prediction + 3 AS po FROM clusters WHERE cluster % 5 = 1)
-        SELECT 'scaled' AS units, {metrics_sql('a', 'p')} FROM p UNION ALL SELECT 'original', {metrics_sql('ao', 'po')} FROM p""",
+    f"""{oracle_views('clusters')}, p AS (SELECT CAST(cluster % 5 AS INT) AS split, Actual AS a, Prediction AS p, 0.5 * Actual + 3 AS ao, 0.5 * Prediction + 3 AS po FROM clusters)
+        SELECT split, 'scaled' AS units, {metrics_sql('a', 'p')} FROM p GROUP BY split UNION ALL SELECT split, 'original', {metrics_sql('ao', 'po')} FROM p GROUP BY split""",
 )
 def split_evaluation(t: Tables):
     from surveyspark.operators.transforms import Scaling
 
-    labels = t.clusters.filter("cluster % 5 = 1").select("cluster", F.col("Actual").alias("label"))
-    _, metrics = ev.evaluate_split(labels, t.clusters.select("cluster", "Prediction"), "cluster", Scaling(offset=3.0, scale=0.5))
-    return rounded(metrics)
+    labels, predictions = t.clusters.select("cluster", F.col("Actual").alias("label")), t.clusters.select("cluster", "Prediction")
+    out = None
+    for split in range(5):
+        _, metrics = ev.evaluate_split(labels.filter(F.col("cluster") % 5 == split), predictions, "cluster", Scaling(offset=3.0, scale=0.5))
+        metrics = metrics.withColumn("split", F.lit(split))
+        out = metrics if out is None else out.unionByName(metrics)
+    return rounded(out)
