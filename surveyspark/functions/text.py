@@ -57,12 +57,12 @@ def as_text_remainder(col: Column | str) -> Column:
 
 def drop_brackets(col: Column | str) -> Column:
     """Cut from the first opening to the last closing bracket, round then square."""
-    c = _c(col)
+    text = c = _c(col)
     for o, e in ((r"\(", r"\)"), (r"\[", r"\]")):
         # only closed before it is opened: what stands between belongs to the head and to the tail
-        c = F.regexp_replace(c, rf"(?s)^([^{o}]*{e})([^{o}{e}]*)({o}[^{e}]*)$", "$1$2$2$3")
-        c = F.regexp_replace(c, rf"(?s)^([^{o}]*){o}.*{e}([^{e}]*)$", "$1$2")
-    return c
+        c = F.regexp_replace(c, rf"(?s)^(?=[^{o}]*+{o}[^{e}]*+$)([^{o}]*{e})([^{o}{e}]*+)({o}[^{e}]*+)$", "$1$2$2$3")
+        c = F.regexp_replace(c, rf"(?s)^([^{o}]*+){o}.*{e}([^{e}]*+)$", "$1$2")
+    return F.when(F.contains(text, F.lit("(")) | F.contains(text, F.lit("[")), c).otherwise(text)
 
 
 def after_separator(col: Column | str) -> Column:
