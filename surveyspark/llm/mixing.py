@@ -15,6 +15,7 @@ import heapq
 import math
 from bisect import bisect_left
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +81,8 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], cycle: int = CYC
     return out
 
 
-_SCHEDULE = "s string, phase int, first_block long, end_block long, first_slot long, cycle long, units long, slots array<int>"
+_SCHEDULE = pa.schema([("s", pa.string()), ("phase", pa.int32()), ("first_block", pa.int64()), ("end_block", pa.int64()), ("first_slot", pa.int64()),
+                       ("cycle", pa.int64()), ("units", pa.int64()), ("slots", pa.list_(pa.int32()))])
 
 
 def mix_order(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, targets: dict[str, float] | None = None, temper: float = 0.7, block: int = BLOCK) -> DataFrame:
@@ -112,7 +114,8 @@ def mix_order(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
         weights = {s: targets.get(s) or least for s in totals}
     else:
         weights = {s: b**temper for s, b in totals.items()}
-    plan = spark.createDataFrame(schedule(blocks, weights), _SCHEDULE)  # at most sources squared rows, see MOST_SOURCES
+    phases = schedule(blocks, weights)  # at most sources squared rows, see MOST_SOURCES
+    plan = spark.createDataFrame(pa.table([pa.array([p[i] for p in phases], f.type) for i, f in enumerate(_SCHEDULE)], schema=_SCHEDULE))
 
     inside = Window.partitionBy("s", "slice").orderBy("h", "id").rowsBetween(*before)
     placed = units.withColumn("within", F.coalesce(F.sum("n_bytes").over(inside), F.lit(0))).join(ahead, ["s", "slice"])
