@@ -35,6 +35,8 @@ BLOCK = 1024
 NEIGHBOURS, PARTNERS = 4, 2
 LEAST = 0.62
 LOW, LOW_LEAST = 192, 0.69
+#: Bytes of text that are hashed at a time; a longer text alone, whole.
+PART_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20)
 _MUL = (_rng.integers(0, 1 << 31, SIZE, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -76,7 +78,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offs in text_parts(batches, "text"):
+        for part, data, offs in text_parts(batches, "text", PART_BYTES):
             sets = shingle_sets(data, offs, words)
             h1 = np.array([x.sum(dtype=_U) for x in sets], dtype=_U)
             h2 = np.array([np.bitwise_xor.reduce(mix(x)) if len(x) else 0 for x in sets], dtype=_U)

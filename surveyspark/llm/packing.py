@@ -28,6 +28,8 @@ TIERS = (2048, 1024, 512, 256)
 END = 1
 STEP_TOKENS = 1 << 16
 FLUSH_TOKENS = 1 << 21
+#: Characters that are encoded at a time; a longer text alone, whole.
+PART_CHARS = 1 << 18
 
 Piece = tuple[int, int, int]  # document, start, length
 
@@ -139,7 +141,7 @@ def _pack(path: str, tiers: tuple[int, ...], step_tokens: int, with_ids: bool):
             at = 0
             while at < len(texts):
                 to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) <= 1 << 20):
+                while to < len(texts) and (to == at or chars + len(texts[to]) <= PART_CHARS):
                     chars += len(texts[to])
                     to += 1
                 for key, own in zip(keys[at:to], vocabulary.encode(texts[at:to])):

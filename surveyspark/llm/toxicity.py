@@ -58,7 +58,7 @@ def grams(words: np.ndarray, orders: tuple[int, ...] = ORDERS) -> Iterator[np.nd
             yield h
 
 
-def _chunks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+def _chunks(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of rows with about ``limit`` characters; a longer text stands alone, whole."""
     at, size, first = 0, 0, 0
     for at, t in enumerate(texts):
