@@ -8,7 +8,8 @@ which the bucket adds some, place and length):
 
 1. While texts are read, equal contexts met in the same task are settled at once and one of
    them goes on, so a passage with many copies sends a row per task. An anchor with many
-   different contexts in a task sends two of them; the others are known to need a look.
+   different contexts in a task sends two of them, and the mark that it holds some back; the
+   others are known to need a look.
 2. Per anchor, equal contexts are settled by their hashes; contexts whose anchor has other
    contexts too are *contested*: parts of them may still repeat.
 3. Contested contexts are cut from their texts and given, in buckets of anchors, to the
@@ -128,18 +129,18 @@ def _batch(cols: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in SCHEMA], schema=SCHEMA)
 
 
-def _write(rows: np.ndarray) -> bytes:
-    """Contexts of one bucket as bytes: documents with their number of contexts, then columns."""
+def _write(rows: np.ndarray, held: np.ndarray) -> bytes:
+    """Contexts of one bucket as bytes: documents with their number of contexts, columns, then anchors with contexts held back."""
     rows = rows[np.lexsort((rows["s"], rows["k2"], rows["k1"]))]
     new = np.ones(len(rows), dtype=bool)
     new[1:] = (rows["k1"][1:] != rows["k1"][:-1]) | (rows["k2"][1:] != rows["k2"][:-1])
     first = np.flatnonzero(new)
     columns = [rows["k1"][first], rows["k2"][first], np.diff(np.append(first, len(rows))).astype("<u4"), rows["s"], (rows["n"] | np.where(rows["c"] > 1, ASKS, 0)).astype("<u2"),
-               rows["anchor"].copy().view(np.uint8).reshape(-1, 8)[:, :5], rows["ctx"].copy().view(np.uint8).reshape(-1, 8)[:, :6]]
+               rows["anchor"].copy().view(np.uint8).reshape(-1, 8)[:, :5], rows["ctx"].copy().view(np.uint8).reshape(-1, 8)[:, :6], held.astype("<u8")]
     return np.array([len(first), len(rows)], "<u4").tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
 
 
-def _read_blob(data: bytes, bucket: int) -> np.ndarray:
+def _read_blob(data: bytes, bucket: int) -> tuple[np.ndarray, np.ndarray]:
     docs, n = np.frombuffer(data, "<u4", 2).tolist()
     at = 8
 
@@ -160,7 +161,7 @@ def _read_blob(data: bytes, bucket: int) -> np.ndarray:
         wide[:, :width] = take("u1", n * width).reshape(n, width)
         rows[name] = wide.view("<u8").ravel()
     rows["anchor"] |= _U(bucket << 40)
-    return rows
+    return rows, np.frombuffer(data, "<u8", offset=at)
 
 
 def settle(rows: np.ndarray, smaller: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -213,13 +214,15 @@ def _read(rule: Rule, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         count, rank = _context_count(rows)
         crowded = count > LOCAL_CONTEXTS
         yield _batch(_by_document(ASKED, rows[crowded], rule.width, buckets))
+        held = np.unique(rows["anchor"][crowded])
+        held_cut = np.searchsorted(held >> _U(40), np.arange(buckets + 1, dtype=_U))
         rows = rows[~crowded | (rank < 2)]
         place = (rows["anchor"] >> _U(40)).astype(np.int64)
         rows, place = rows[np.argsort(place, kind="stable")], np.sort(place)
         cut = np.searchsorted(place, np.arange(buckets + 1))
         full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
         yield _batch({"bucket": full, "kind": [BLOB] * len(full), "k1": [0] * len(full), "k2": [0] * len(full),
-                      "data": [_write(rows[cut[b] : cut[b + 1]]) for b in full]})
+                      "data": [_write(rows[cut[b] : cut[b + 1]], held[held_cut[b] : held_cut[b + 1]]) for b in full]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -249,15 +252,16 @@ def _meet(rule: Rule, buckets: int) -> Callable[[pa.Table], pa.Table]:
         blobs = table.filter(pa.array(kind == BLOB)).select(["bucket", "data"]).to_pylist()
         out = [table.filter(pa.array(kind != BLOB)).select(SCHEMA.names).cast(SCHEMA)]
         if len(blobs):
-            rows = np.concatenate([_read_blob(b["data"], b["bucket"]) for b in blobs])
-            rows, done = settle(rows, rule.smaller)
+            read = [_read_blob(b["data"], b["bucket"]) for b in blobs]
+            held = np.unique(np.concatenate([h for _, h in read]))
+            rows, done = settle(np.concatenate([r for r, _ in read]), rule.smaller)
             count, _ = _context_count(rows)
             look = _forward(rows, done, rule.smaller) & (count > 1)
-            if rule.smaller:  # the smallest document of an anchor has nothing before it
+            if rule.smaller:  # the smallest document of an anchor has nothing before it, if all of them are here
                 new = np.ones(len(rows), dtype=bool)
                 new[1:] = rows["anchor"][1:] != rows["anchor"][:-1]
                 low = np.minimum.reduceat(rows["k1"], np.flatnonzero(new))
-                rows["c"][rows["k1"] == low[np.cumsum(new) - 1]] = 2
+                rows["c"][(rows["k1"] == low[np.cumsum(new) - 1]) & ~np.isin(rows["anchor"], held)] = 2
             # an anchor all of whose contexts are settled needs no look
             anchors = np.unique(rows["anchor"][look & (rows["c"] < 2)])
             look &= np.isin(rows["anchor"], anchors)

@@ -127,6 +127,39 @@ def test_few_local_contexts_and_small_flushes_change_nothing(spark, documents, m
     assert rule.smaller and sorted(got, key=str) == brute_words(rows, 8)
 
 
+def in_tasks(spark, *tasks):
+    """A table whose tasks read the given rows (id, text), so each task is one flush."""
+    rdd = spark.sparkContext.parallelize(tasks, len(tasks)).flatMap(lambda rows: rows)
+    return spark.createDataFrame(rdd, "doc_id long, text string")
+
+
+def rare_phrase(g, words, k):
+    """The ``k`` symbols (words or lower-case letters) of the smallest hash among many: the anchor of all windows around it."""
+    stream = ["".join(g.choices("abcdefghij", k=6 if words else 1)) for _ in range(200000)]
+    data = (" " if words else "").join(stream).encode()
+    data = np.frombuffer(data, np.uint8)
+    symbols, _ = spans.Rule(k, k, words, False).symbols(data, np.array([0, len(data)]))
+    at = np.arange(len(symbols) - k + 1)
+    i = int(spans.SubHashes(symbols).of(at, at + k).argmin())
+    return stream[i : i + k]
+
+
+def test_smallest_document_held_back_by_a_crowded_flush(spark):
+    g = random.Random(4)
+    phrase = rare_phrase(g, True, 5)
+
+    def text():
+        side = ["".join(g.choices("klmnopqrst", k=7)) for _ in range(16)]
+        return " ".join(side[:8] + phrase + side[8:])
+
+    shared = [text() for _ in range(4)]
+    crowded = [(50 + i, t) for i, t in enumerate(shared)] + [(900 + i, text()) for i in range(2 * spans.LOCAL_CONTEXTS)]
+    other = [(500, t) for t in shared[:1]] + [(600, shared[1] + " more"), (700, text())]
+    got = [tuple(r) for r in remove_seen(in_tasks(spark, crowded, other)).collect()]
+    assert sorted(got, key=str) == brute_words(crowded + other, 13)
+    assert {r[0]: r[2] for r in got}[500] == 21
+
+
 def test_repeats_on_hard_rows(spark, documents, hard_rows):
     rows = [r for r in hard_rows if r[0] != 10]
     got = [tuple(r) for r in remove_repeats(documents(rows), width=60, k=12).collect()]
