@@ -262,8 +262,8 @@ def _meet(rule: Rule, buckets: int) -> Callable[[pa.Table], pa.Table]:
                 new[1:] = rows["anchor"][1:] != rows["anchor"][:-1]
                 low = np.minimum.reduceat(rows["k1"], np.flatnonzero(new))
                 rows["c"][(rows["k1"] == low[np.cumsum(new) - 1]) & ~np.isin(rows["anchor"], held)] = 2
-            # an anchor all of whose contexts are settled needs no look
-            anchors = np.unique(rows["anchor"][look & (rows["c"] < 2)])
+            # an anchor all of whose contexts are settled needs no look; contexts held back are open
+            anchors = np.union1d(rows["anchor"][look & (rows["c"] < 2)], held)
             look &= np.isin(rows["anchor"], anchors)
             out.append(pa.Table.from_batches([_batch(_by_document(SPANS, rows[done], rule.width, buckets))]))
             out.append(pa.Table.from_batches([_batch(_by_document(ASKED, rows[look], rule.width, buckets))]))

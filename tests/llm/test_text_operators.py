@@ -160,6 +160,23 @@ def test_smallest_document_held_back_by_a_crowded_flush(spark):
     assert {r[0]: r[2] for r in got}[500] == 21
 
 
+def test_settled_copies_meet_contexts_held_back_elsewhere(spark):
+    g = random.Random(5)
+    phrase = "".join(rare_phrase(g, False, 12))
+
+    def text():
+        side = g.choices("klmnopqrst", k=96)
+        return "".join(side[:48]) + phrase + "".join(side[48:])
+
+    shared = [text() for _ in range(3)]
+    copies = [(100 + 2 * i + j, t) for i, t in enumerate(text() for _ in range(2 * spans.LOCAL_CONTEXTS)) for j in range(2)]
+    crowded = [(i, t[:-1] + "!") for i, t in enumerate(shared)] + copies
+    other = [(900 + 2 * i + j, t) for i, t in enumerate(shared) for j in range(2)]
+    got = [tuple(r) for r in remove_repeats(in_tasks(spark, crowded, other), width=60, k=12).collect()]
+    assert sorted(got, key=str) == brute_bytes(crowded + other, 60)
+    assert [r[2] for r in sorted(got)][:3] == [107] * 3
+
+
 def test_repeats_on_hard_rows(spark, documents, hard_rows):
     rows = [r for r in hard_rows if r[0] != 10]
     got = [tuple(r) for r in remove_repeats(documents(rows), width=60, k=12).collect()]
