@@ -3,10 +3,16 @@
 A source is a stream of blocks of equal size. With a target weight w, its block j may be
 placed from slot floor(j / w) on and must be placed before slot ceil((j + 1) / w); the
 earliest deadline among released blocks goes first, which keeps every source within one
-block of its target at any time. Weights are whole parts of a cycle of slots, so one cycle
-is scheduled for the sources (a small table) and the place of any block follows by
-arithmetic, joined to documents by source. When a source is used up, the others go on with
-their weights rescaled: a new phase.
+block of its target at any time. Weights are whole numbers over their sum, exactly as given,
+so a phase has no cycle. When a source is used up, the others go on with their weights
+rescaled: a new phase.
+
+A phase is scheduled in stretches of slots, each in a task of its own. At any slot T a source
+has placed floor(w T) or ceil(w T) blocks. A run that begins at T with the earliest deadlines
+counted as placed meets all deadlines after T. Two such runs take the least of two queues of
+equal size with equal arrivals, so their queues differ only in blocks up to the latest
+deadline open at T, and are equal from there on: a lead of 1 / (smallest weight) slots gives
+a stretch the very slots of one run over the whole phase.
 """
 
 from __future__ import annotations
@@ -14,6 +20,8 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +33,7 @@ from surveyspark.llm.common import partitions, small_join, cut_lineage
 BLOCK = 1 << 15
 CYCLE = 1000
 MOST_SOURCES = 1000
+STRETCH = 1 << 16
 _NO_SOURCE, _NO_ID = "\0", "\0"
 
 
@@ -41,25 +50,97 @@ def cycle_units(weights: list[float], cycle: int) -> list[int]:
     return units
 
 
-def edf_cycle(units: list[int]) -> list[list[int]]:
-    """Slots of each source in one cycle: earliest deadline first among released blocks."""
-    cycle = sum(units)
-    slots: list[list[int]] = [[] for _ in units]
-    waiting = [(0, i) for i in range(len(units))]  # release, source
+def state_at(units: list[int], t: int) -> list[int]:
+    """Blocks placed per source before slot ``t``: of those that may be, the earliest deadlines are."""
+    total = sum(units)
+    placed = [u * t // total for u in units]
+    begun = sorted((-(-(p + 1) * total // u), i) for i, (u, p) in enumerate(zip(units, placed)) if u * t % total)
+    for _, i in begun[: t - sum(placed)]:
+        placed[i] += 1
+    return placed
+
+
+def edf(units: list[int], begin: int = 0) -> Iterator[tuple[int, int, int]]:
+    """Slot, source and block from slot ``begin`` on without end: earliest deadline first among released blocks."""
+    total, placed = sum(units), state_at(units, begin)
+    waiting = [(p * total // u, i) for i, (u, p) in enumerate(zip(units, placed))]  # release, source
+    heapq.heapify(waiting)
     ready: list[tuple[int, int]] = []  # deadline, source
-    for t in range(cycle):
+    t = begin
+    while True:
         while waiting and waiting[0][0] <= t:
             _, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(len(slots[i]) + 1) * cycle // units[i]), i))
+            heapq.heappush(ready, (-(-(placed[i] + 1) * total // units[i]), i))
         _, i = heapq.heappop(ready)
+        yield t, i, placed[i]
+        placed[i] += 1
+        heapq.heappush(waiting, (placed[i] * total // units[i], i))
+        t += 1
+
+
+def lead(units: list[int]) -> int:
+    """Slots after which a run begun anywhere equals the run from slot 0."""
+    return -(-sum(units) // min(units))
+
+
+def stretch(units: list[int], begin: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """Slots ``begin`` to ``end`` (without) of the run from slot 0."""
+    for t, i, block in edf(units, max(0, begin - lead(units))):
+        if t >= end:
+            return
+        if t >= begin:
+            yield t, i, block
+
+
+def edf_cycle(units: list[int]) -> list[list[int]]:
+    """Slots of each source in one cycle of as many slots as units."""
+    slots: list[list[int]] = [[] for _ in units]
+    for t, i, _ in stretch(units, 0, sum(units)):
         slots[i].append(t)
-        if len(slots[i]) < units[i]:
-            heapq.heappush(waiting, (len(slots[i]) * cycle // units[i], i))
     return slots
 
 
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    exact = [Fraction(w) for w in weights]
+    common = math.lcm(*(x.denominator for x in exact))
+    out = [int(x * common) for x in exact]
+    divisor = math.gcd(*out)
+    return [x // divisor for x in out]
+
+
+def phase_end(units: list[int], left: list[int]) -> tuple[int, list[int]]:
+    """The slot after which a first source has no block left, and the blocks placed by then."""
+    total = sum(units)
+    latest = min(-(-n * total // u) for u, n in zip(units, left))
+    first = min(r for u, n in zip(units, left) if (r := (n - 1) * total // u) < latest)
+    begin = max(0, first - lead(units))
+    placed = state_at(units, begin)
+    for t, i, block in edf(units, begin):
+        placed[i] = block + 1
+        if placed[i] == left[i]:
+            return t + 1, placed
+    raise AssertionError("a run has no end")
+
+
+def exact_phases(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple]:
+    """Phases: sources, their units, their first blocks, first slot, number of slots."""
+    left, start, out = {s: n for s, n in blocks.items() if n}, 0, []
+    while left:
+        names = sorted(left)
+        units = whole([weights[s] for s in names])
+        end, placed = phase_end(units, [left[s] for s in names])
+        out.append((names, units, [blocks[s] - left[s] for s in names], start, end))
+        left = {s: left[s] - p for s, p in zip(names, placed) if left[s] > p}
+        start += end
+    return out
+
+
 def schedule(blocks: dict[str, int], weights: dict[str, float], cycle: int = CYCLE) -> list[tuple]:
-    """Phases: (source, phase, first block, end block, first slot, cycle, units, slots in the cycle)."""
+    """Phases of weights rounded to a cycle: (source, phase, first block, end block, first slot, cycle, units, slots in the cycle).
+
+    ``mix_order`` does not round; see ``exact_phases``.
+    """
     left, done, start, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
     phase = 0
     while left:
@@ -81,8 +162,31 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], cycle: int = CYC
     return out
 
 
-_SCHEDULE = pa.schema([("s", pa.string()), ("phase", pa.int32()), ("first_block", pa.int64()), ("end_block", pa.int64()), ("first_slot", pa.int64()),
-                       ("cycle", pa.int64()), ("units", pa.int64()), ("slots", pa.list_(pa.int32()))])
+_STRETCHES = pa.schema([("phase", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())])
+_PLAN = pa.schema([("s", pa.string()), ("block", pa.int64()), ("phase", pa.int32()), ("release", pa.int64()), ("deadline", pa.int64()), ("slot", pa.int64())])
+
+
+def _place(phases: list[tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every block of the given stretches with its window and slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                names, units, done, start, _ = phases[row["phase"]]
+                total, held = sum(units), []
+
+                def rows() -> pa.RecordBatch:
+                    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _PLAN)], schema=_PLAN)
+
+                for t, i, k in stretch(units, row["begin"], row["end"]):
+                    held.append((names[i], done[i] + k, row["phase"], start + k * total // units[i], start - (-(k + 1) * total // units[i]), start + t))
+                    if len(held) == 1 << 14:
+                        yield rows()
+                        held = []
+                if held:
+                    yield rows()
+
+    return run
 
 
 def mix_order(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, targets: dict[str, float] | None = None, temper: float = 0.7, block: int = BLOCK) -> DataFrame:
@@ -114,22 +218,18 @@ def mix_order(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
         weights = {s: targets.get(s) or least for s in totals}
     else:
         weights = {s: b**temper for s, b in totals.items()}
-    phases = schedule(blocks, weights)  # at most sources squared rows, see MOST_SOURCES
-    plan = spark.createDataFrame(pa.table([pa.array([p[i] for p in phases], f.type) for i, f in enumerate(_SCHEDULE)], schema=_SCHEDULE))
+    phases = exact_phases(blocks, weights)
+    # the lead of a stretch is run again, so it is no longer than the stretch
+    begins = [(p, at, size, step) for p, (_, units, _, _, size) in enumerate(phases) for step in [max(STRETCH, lead(units))] for at in range(0, size, step)]
+    stretches = spark.createDataFrame(pa.table([[p for p, *_ in begins], [at for _, at, *_ in begins], [min(at + step, size) for _, at, size, step in begins]], schema=_STRETCHES))
+    plan = cut_lineage(stretches.mapInArrow(_place(phases), "s string, block long, phase int, release long, deadline long, slot long"))
 
     inside = Window.partitionBy("s", "slice").orderBy("h", "id").rowsBetween(*before)
     placed = units.withColumn("within", F.coalesce(F.sum("n_bytes").over(inside), F.lit(0))).join(ahead, ["s", "slice"])
     placed = placed.withColumn("begin", F.col("ahead") + F.col("within")).withColumn("block", F.floor(F.col("begin") / block))
-    on = (F.col("plan.s") == F.col("placed.s")) & (F.col("block") >= F.col("first_block")) & (F.col("block") < F.col("end_block"))
-    both = placed.alias("placed").join(F.broadcast(plan).alias("plan"), on)
-    k = F.col("block") - F.col("first_block")
-    lap = F.floor(k / F.col("units"))
-    return both.select(
-        F.col("placed.id").alias(id_col), F.col("placed.source").alias(source_col), "n_bytes", "phase", "block",
-        (F.col("first_slot") + F.expr("(block - first_block) * cycle div units")).alias("release"),
-        (F.col("first_slot") + F.expr("((block - first_block + 1) * cycle + units - 1) div units")).alias("deadline"),
-        (F.col("first_slot") + lap * F.col("cycle") + F.get("slots", (k - lap * F.col("units")).cast("int"))).alias("slot"),
-        (F.col("begin") - F.col("block") * block).alias("at"))
+    both = small_join(placed, plan, ["s", "block"], "inner", 64)
+    return both.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "n_bytes", "phase", "block", "release", "deadline", "slot",
+                       (F.col("begin") - F.col("block") * block).alias("at"))
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", **settings) -> DataFrame:

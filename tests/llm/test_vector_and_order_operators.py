@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import sys
+from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pytest
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.llm import ann, mixing, topk
 from surveyspark.llm.ann import nearest
-from surveyspark.llm.mixing import cycle_units, edf_cycle, mix_order, mixed, schedule
+from surveyspark.llm.mixing import cycle_units, edf, edf_cycle, exact_phases, lead, mix_order, mixed, schedule, stretch, whole
 from surveyspark.llm.sharding import extendible_shards
 from surveyspark.llm.topk import largest_products
 
@@ -188,6 +190,51 @@ def test_schedule_equals_the_simulation(sources):
     assert sorted(got.values()) == list(range(sum(blocks.values())))
 
 
+@given(st.lists(st.floats(0.001, 100), min_size=1, max_size=8), st.integers(0, 3000))
+@settings(max_examples=100, deadline=None)
+def test_stretches_equal_one_run(weights, begin):
+    units = whole(weights)
+    assert [Fraction(u, units[0]) for u in units] == [Fraction(w) / Fraction(weights[0]) for w in weights]
+    assert list(stretch(units, begin, begin + 300)) == list(islice(edf(units), begin, begin + 300))
+
+
+def test_stretches_join_after_their_lead():
+    units = whole([0.1, 0.2, 0.03, 0.6699, 0.0001])
+    assert lead(units) in (10000, 10001)
+    assert list(stretch(units, 15000, 31000)) == list(islice(edf(units), 15000, 31000))
+
+
+@given(st.lists(st.tuples(st.integers(0, 300), st.floats(0.001, 5)), min_size=1, max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_exact_phases_end_where_one_run_does(sources):
+    blocks = {f"s{i}": n for i, (n, _) in enumerate(sources)}
+    weights = {f"s{i}": w for i, (_, w) in enumerate(sources)}
+    left, t0 = {s: n for s, n in blocks.items() if n}, 0
+    for names, units, done, start, size in exact_phases(blocks, weights):
+        assert names == sorted(left) and start == t0 and done == [blocks[s] - left[s] for s in names]
+        for t, i, _ in islice(edf(units), size):
+            assert all(left.values())
+            left[names[i]] -= 1
+        assert not all(left.values())
+        left, t0 = {s: n for s, n in left.items() if n}, t0 + size
+    assert not left and t0 == sum(blocks.values())
+
+
+def test_mixing_stays_within_a_block_of_exact_weights(spark, documents, monkeypatch):
+    monkeypatch.setattr(mixing, "STRETCH", 700)
+    sizes, weights = {"a": 2600, "b": 1500, "c": 40}, {"a": 0.6337, "b": 0.3658, "c": 0.0005}
+    docs = documents([(i, "t" * 8, s) for j, s in enumerate(sizes) for i in range(j * 10000, j * 10000 + sizes[s])])
+    rows = sorted(mix_order(docs, targets=weights, block=8).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(sum(sizes.values())))
+    assert all(r.release <= r.slot < r.deadline for r in rows)
+    total, count = sum(map(Fraction, weights.values())), dict.fromkeys(sizes, 0)
+    first = [r for r in rows if r.phase == 0]
+    assert len(first) > 4000
+    for t, r in enumerate(first, 1):
+        count[r.source] += 1
+        assert all(abs(count[s] - t * Fraction(w) / total) < 1 for s, w in weights.items())
+
+
 def test_mixing_places_every_document(spark, documents):
     rows = [(i, "t" * (i % 50), f"s{i % 3 if i % 2 else 0}") for i in range(600)] + [(None, "n", "s1"), (700, "q", None), (5, "again", "s2"), (5, "again", "s2")]
     docs = documents(rows)
