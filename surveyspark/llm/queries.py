@@ -153,3 +153,71 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surveyspark.llm.forest_dedup import near_components
 
     return near_components(table(spark, sf_dir, "documents"), words=2)
+
+
+@query("op11_frequency_trie_spelling", r"""
+    WITH RECURSIVE g AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS t),
+    r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+    c AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 5 GROUP BY doc_id, run),
+    x AS (SELECT doc_id, run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS b FROM c),
+    y AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(b), 2), lambda i: ('0x' || substr(b, i, 2))::BIGINT)),
+                 lambda h, v: xor(h >> 8, g.t[(xor(h, v) & 255) + 1])), 4294967295) AS h FROM x, g),
+    z AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM y),
+    w AS (SELECT word, sum(n)::BIGINT AS n, length(word) AS len FROM z WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    v AS (SELECT word, n, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS holed FROM (SELECT word, n, unnest(range(1, len + 1)) AS i FROM w)),
+    s AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM v),
+    p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM v a JOIN v b ON a.holed = b.holed AND a.word <> b.word
+          UNION SELECT s.word, w.word, w.n FROM s JOIN w ON w.word = s.cut UNION SELECT w.word, s.word, s.n FROM s JOIN w ON w.word = s.cut),
+    q AS (SELECT word, count(*) AS n_near, max(near_n) AS top, arg_min(near, (-near_n, encode(near))) AS best FROM p GROUP BY word),
+    f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * w.n THEN best END AS form, CASE WHEN top >= 2 * w.n THEN top END::BIGINT AS form_n
+          FROM w LEFT JOIN q USING (word)),
+    u AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT u.word, f.word, f.form FROM u JOIN f ON f.word = u.next)
+    SELECT f.word, form, root, n, n_near, form_n FROM f JOIN u ON u.word = f.word WHERE u.next IS NULL
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, the form each is a variant of, and its root."""
+    from surveyspark.llm.spelling import spelling_forms
+
+    return spelling_forms(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_filter_decontamination", r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+    i AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[s:s + least(10, len(ws)) - 1], ' ') AS win
+          FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS s FROM b WHERE len(ws) > 0)),
+    o AS (SELECT doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') AS win FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM i) WHERE len(ws) >= n)),
+    h AS (SELECT doc_id, item_id, s, o.n FROM o JOIN i ON o.win = i.win AND o.n = i.n),
+    k AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
+    SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in ten-word windows of benchmark items."""
+    from surveyspark.llm.decontamination import digest, find_leaks
+
+    return digest(find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op13_secondary_sort_negatives", """
+    WITH x AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+    p AS (SELECT q.vec_id AS anchor_id, c.vec_id AS id, q.label = c.label AS same, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+          FROM x q JOIN x c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+    g AS (SELECT anchor_id, id, score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+    n AS (SELECT g.anchor_id, g.id AS positive_id, g.score AS positive_score, p.id AS negative_id, p.score AS negative_score,
+                 row_number() OVER (PARTITION BY g.anchor_id, g.id ORDER BY p.score DESC, p.id)::INT AS rank
+          FROM g JOIN p ON p.anchor_id = g.anchor_id AND NOT p.same AND 80 * g.score <= 100 * p.score AND 100 * p.score <= 100 * g.score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, with some labels moved on by one."""
+    from pyspark.sql import functions as F
+
+    from surveyspark.llm.negatives import mine_negatives
+
+    x = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(x.withColumn("label", moved))
