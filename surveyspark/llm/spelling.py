@@ -117,6 +117,11 @@ def vectors_of(codes: np.ndarray, offs: np.ndarray, groups: np.ndarray) -> np.nd
     return np.bincount(word * GROUPS + groups[codes], minlength=n * GROUPS).reshape(n, GROUPS)
 
 
+def unions(counts: np.ndarray, cut: int) -> np.ndarray:
+    """Counts in ``cut`` unions of neighbouring groups."""
+    return counts.reshape(len(counts), cut, counts.shape[1] // cut).sum(axis=2)
+
+
 def prefix_key(counts: np.ndarray, cut: int) -> np.ndarray:
     """64-bit name of the subtree of each row of counts."""
     key = np.full(len(counts), cut, dtype=_U)
@@ -152,14 +157,13 @@ class Trie:
         """Whether subtrees of this level exist: all above them are crowded."""
         ok = np.ones(len(counts), bool)
         for i in range(level):
-            above = counts.reshape(len(counts), CUTS[i], -1).sum(axis=2)
-            ok[ok] = np.isin(prefix_key(above[ok], CUTS[i]), self.crowded[i])
+            ok[ok] = np.isin(prefix_key(unions(counts[ok], CUTS[i]), CUTS[i]), self.crowded[i])
         return ok
 
     def routes(self, vectors: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """(words, names of subtrees, whether they live there) at one level."""
         cut = CUTS[level]
-        own = vectors.reshape(len(vectors), cut, -1).sum(axis=2)
+        own = unions(vectors, cut)
         for i, d in enumerate([np.zeros(cut, np.int64), *moves(cut)]):
             at = np.flatnonzero((own >= -d)[:, d < 0].all(axis=1)) if i else np.arange(len(own))
             to = own[at] + d
