@@ -1,19 +1,16 @@
-"""Connected components, density clusters of positions and of vectors, k-means."""
+"""Connected components, groups of vectors, k-means."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyspark.core.hashing import HASH_SPAN, seeded_hash
-from surveyspark.core.ordering import hash_positions
+from surveyspark.core.hashing import seeded_hash
 from surveyspark.core.session import cut_lineage
-from surveyspark.functions.geo import chord_of_km, unit_vector
-from surveyspark.operators.joins import category_rank
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -51,154 +48,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _near_cells(points: DataFrame, eps: float, depth: int = 30) -> DataFrame:
-    """Pairs of cells (a, b) that hold two points at most ``eps`` apart.
-
-    ``points``: distinct x, y, z. Points share a cell of side ``eps / √3`` only if they are
-    within ``eps``, so pairs inside a cell need no check. For two cells the question is
-    whether their closest points are near enough: boxes are compared, and only box pairs
-    that could go either way are split into their parts, level by level, until each is
-    decided. A crowded cell is thus settled by its boxes, not by its point pairs. Boxes still
-    open after ``depth`` levels are smaller than a rounding error of positions; their points
-    are compared.
-    """
-    side = eps / (3**0.5) * (1 - 1e-12)
-
-    def at(level: int) -> list[Column]:
-        s = side / (2**level)
-        return [F.floor(F.col(c) / s).cast("bigint") for c in ("x", "y", "z")]
-
-    def boxes(level: int) -> DataFrame:
-        i, j, k = at(level)
-        pi, pj, pk = at(level - 1) if level else at(0)
-        ci, cj, ck = at(0)
-        return points.groupBy(
-            F.struct(ci.alias("i"), cj.alias("j"), ck.alias("k")).alias("cell"),
-            F.struct(pi.alias("i"), pj.alias("j"), pk.alias("k")).alias("parent"),
-            F.struct(i.alias("i"), j.alias("j"), k.alias("k")).alias("box"),
-        ).agg(
-            F.struct(*[F.min(c).alias(c) for c in ("x", "y", "z")]).alias("lo"),
-            F.struct(*[F.max(c).alias(c) for c in ("x", "y", "z")]).alias("hi"),
-            F.min(F.struct("x", "y", "z")).alias("rep"),
-        )
-
-    def dist2(p: str, r: str) -> Column:
-        return sum((F.pow(F.col(f"{p}.{c}") - F.col(f"{r}.{c}"), 2) for c in ("x", "y", "z")), F.lit(0.0))
-
-    def gap2() -> Column:
-        total = F.lit(0.0)
-        for c in ("x", "y", "z"):
-            d = F.greatest(
-                F.col(f"a_lo.{c}") - F.col(f"b_hi.{c}"), F.col(f"b_lo.{c}") - F.col(f"a_hi.{c}"), F.lit(0.0)
-            )
-            total = total + d * d
-        return total
-
-    def side_of(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"{tag}_{c}") for c in ("cell", "parent", "box", "lo", "hi", "rep")])
-
-    top = boxes(0)
-    offsets = F.expr(
-        "filter(flatten(transform(sequence(-2, 2), p -> flatten(transform(sequence(-2, 2), q -> "
-        "transform(sequence(-2, 2), r -> struct(p, q, r)))))), "
-        "o -> o.p > 0 OR (o.p = 0 AND o.q > 0) OR (o.p = 0 AND o.q = 0 AND o.r > 0))"
-    )
-    left = side_of(top, "a").withColumn("o", F.explode(offsets)).withColumn(
-        "b_cell",
-        F.struct(
-            (F.col("a_cell.i") + F.col("o.p")).alias("i"),
-            (F.col("a_cell.j") + F.col("o.q")).alias("j"),
-            (F.col("a_cell.k") + F.col("o.r")).alias("k"),
-        ),
-    )
-    pairs = left.drop("o").join(side_of(top, "b"), "b_cell")
-    e2 = eps * eps
-    found = None
-    for level in range(depth):
-        # one table per level holds all that later steps need
-        open_pairs = pairs.filter(gap2() <= e2).select(
-            "a_cell", "b_cell", "a_box", "b_box", (dist2("a_rep", "b_rep") <= e2).alias("near"),
-            ((dist2("a_lo", "a_hi") == 0) & (dist2("b_lo", "b_hi") == 0)).alias("points"),
-        )
-        open_pairs = cut_lineage(open_pairs)
-        near = open_pairs.filter("near").select("a_cell", "b_cell").distinct()
-        found = near if found is None else found.unionByName(near)
-        undecided = (
-            open_pairs.join(near, ["a_cell", "b_cell"], "left_anti").filter(~F.col("points"))
-            .select("a_cell", "b_cell", "a_box", "b_box")
-        )
-        if undecided.limit(1).count() == 0:
-            break
-        nxt = boxes(level + 1)
-        a, b = side_of(nxt, "a"), side_of(nxt, "b")
-        pairs = (
-            undecided.join(
-                a.withColumnsRenamed({"a_parent": "pa", "a_cell": "ca"}).withColumnRenamed("a_box", "na"),
-                (F.col("a_box") == F.col("pa")) & (F.col("a_cell") == F.col("ca")),
-            )
-            .join(
-                b.withColumnsRenamed({"b_parent": "pb", "b_cell": "cb"}).withColumnRenamed("b_box", "nb"),
-                (F.col("b_box") == F.col("pb")) & (F.col("b_cell") == F.col("cb")),
-            )
-            .select("a_cell", "b_cell", F.col("na").alias("a_box"), "a_lo", "a_hi", "a_rep", F.col("nb").alias("b_box"), "b_lo", "b_hi", "b_rep")
-        )
-    else:
-        cell, box = at(0), at(depth - 1)
-        placed = points.select(
-            F.struct(*[c.alias(n) for c, n in zip(cell, "ijk")]).alias("cell"),
-            F.struct(*[c.alias(n) for c, n in zip(box, "ijk")]).alias("box"), F.struct("x", "y", "z").alias("at"),
-        )
-        sides = [placed.select(*[F.col(c).alias(f"{t}_{c}") for c in ("cell", "box", "at")]) for t in "ab"]
-        met = undecided.join(sides[0], ["a_cell", "a_box"]).join(sides[1], ["b_cell", "b_box"])
-        found = found.unionByName(met.filter(dist2("a_at", "b_at") <= e2).select("a_cell", "b_cell").distinct())
-    return found.select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b")).distinct()
-
-
-def cluster_positions(
-    df: DataFrame, ident: Sequence[str], eps_km: float, lat: str = "LATNUM", lon: str = "LONGNUM",
-    noise: str | None = None, noise_group: int = 30, seed: int = 42, out: str = "clustered",
-) -> DataFrame:
-    """Density clusters of positions with at least two points within ``eps_km`` of each other.
-
-    With two as the minimum every point that has a neighbour is a core point, so clusters
-    are the connected components of the neighbour graph, numbered from 0; noise is -1.
-    ``noise="unique"`` adds a column with -1, -2, … for noise points, ``noise="grouped"``
-    one with the same label for ``noise_group`` of them.
-    """
-    x, y, z = unit_vector(F.col(lat).cast("double"), F.col(lon).cast("double"))
-    placed = df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    points = cut_lineage(
-        placed.groupBy(F.col(lat).alias("la"), F.col(lon).alias("lo")).agg(F.count(F.lit(1)).alias("n"))
-        .withColumns(dict(zip("xyz", unit_vector(F.col("la").cast("double"), F.col("lo").cast("double")))))
-    )
-    eps = chord_of_km(eps_km)
-    side = eps / (3**0.5) * (1 - 1e-12)
-    cell = F.struct(*[F.floor(F.col(c) / side).cast("bigint").alias(n) for c, n in zip("xyz", "ijk")])
-    edges = _near_cells(points.select("x", "y", "z").distinct(), eps)
-    comps = connected_components(edges)
-    cells = points.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"))
-    root = F.when(F.col("component").isNotNull(), F.col("component")).when(F.col("n") > 1, F.col("cell"))
-    comp = cells.join(comps, cells["cell"] == comps["node"], "left").select(F.col("cell").alias("__cell"), root.alias("__root"))
-    comp = cut_lineage(comp)
-    roots = comp.filter("__root IS NOT NULL").select("__root").distinct()
-    labels = category_rank(roots, "__root", [F.col("__root").asc()], "__label")
-    comp = comp.join(labels, "__root", "left").select("__cell", F.coalesce("__label", F.lit(-1)).alias("__label"))
-    own_cell = F.struct(*[F.floor(c / side).cast("bigint").alias(n) for c, n in zip((x, y, z), "ijk")])
-    result = (
-        placed.withColumn("__cell", own_cell).join(comp, "__cell").withColumn(out, F.col("__label")).drop("__cell", "__label")
-    )
-    if noise is None:
-        return result
-    lone = result.filter(F.col(out) == -1).select(*ident).withColumn("__h", seeded_hash(seed, *ident))
-    pos = hash_positions(lone, "__h", HASH_SPAN, ties=ident)
-    step = F.col("position") if noise == "unique" else F.floor(F.col("position") / noise_group)
-    name = f"{out}: {'unique' if noise == 'unique' else 'grouped'} non-clustered"
-    pos = pos.select(*ident, (-1 - step).cast("bigint").alias("__noise"))
-    return (
-        result.join(pos, list(ident), "left").withColumn(name, F.coalesce("__noise", out)).drop("__noise")
-    )
-
-
 def standardise_vectors(df: DataFrame, vec: str, size: int) -> DataFrame:
     """Every component standardised over all rows (population deviation)."""
     stats = df.agg(

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surveyspark.core.session import cut_lineage
 from surveyspark.core.stats import correlation
 from surveyspark.operators.aggregates import regression_metrics, split_statistics
-from surveyspark.operators.clustering import cluster_positions
+from surveyspark.operators.positions import position_levels
 from surveyspark.operators.quality import clip_sigma, moments_of, trim_sigma
 from surveyspark.operators.transforms import Scaling, fit_scaling, flip_sign
 
@@ -143,52 +144,43 @@ def _metric_set(prefix: str) -> list[Column]:
     ]
 
 
-def cluster_evaluation(
-    df: DataFrame, ident: Sequence[str], radii: Sequence[float] = RADII_KM, by_year: bool = False, year: str = "DHSYEAR"
-) -> DataFrame:
+def cluster_evaluation(df: DataFrame, radii: Sequence[float] = RADII_KM, by_year: bool = False, year: str = "DHSYEAR") -> DataFrame:
     """Metrics of cluster means, clustered rows and other rows, per radius and region mode.
 
     Modes: All; U and R (rows of that type, groups of at least two); U+R (all rows of
     groups with an urban row). Also the mean deviation inside clusters, and between the
-    years of a cluster when clusters are split by year.
+    years of a cluster when clusters are split by year. All radii are clustered and
+    evaluated together, ``distance`` being one more key.
     """
-    keys = ["clustered", year] if by_year else ["clustered"]
-    out = None
-    for km in radii:
-        placed = cluster_positions(df, ident, km)
-        modes = F.array_compact(
-            F.array(F.lit("All"), F.when(F.col("URBAN_RURA").isin("U", "R"), F.col("URBAN_RURA")), F.lit("U+R"))
-        )
-        tagged = placed.withColumn("mode", F.explode(modes))
-        inside = tagged.filter("clustered <> -1")
-        sizes = inside.groupBy("mode", *keys).agg(
-            F.count(F.lit(1)).alias("__n"), F.max((F.col("URBAN_RURA") == "U").cast("int")).alias("__u")
-        )
-        counted = tagged.join(sizes, ["mode", *keys], "left")
-        lone = F.col("clustered") == -1
-        urban_group = (F.col("mode") != "U+R") | (F.coalesce(F.col("__u"), F.lit(0)) == 1)
-        grouped = ~lone & urban_group & ((F.col("mode") == "All") | (F.col("__n") >= 2))
-        outside = lone | (~lone & urban_group & (F.col("mode") != "All") & (F.col("__n") == 1))
-        marked = counted.withColumn("__in", grouped).withColumn("__out", outside)
-        in_rows, out_rows = marked.filter("__in"), marked.filter("__out")
-        means = in_rows.groupBy("mode", *keys).agg(
-            F.avg("Actual").alias("Actual"), F.avg("Prediction").alias("Prediction"),
-            F.stddev_samp("Actual").alias("__sa"), F.stddev_samp("Prediction").alias("__sp"),
-        )
-        agg = means.groupBy("mode").agg(
-            *_metric_set("clustered"), F.avg("__sa").alias("actual_std_in_cluster"), F.avg("__sp").alias("prediction_std_in_cluster")
-        )
-        part = agg.join(in_rows.groupBy("mode").agg(*_metric_set("in_cluster")), "mode", "full").join(
-            out_rows.groupBy("mode").agg(*_metric_set("out_of_cluster")), "mode", "full"
-        )
-        if by_year:
-            years = means.groupBy("mode", "clustered").agg(F.stddev_samp("Actual").alias("a"), F.stddev_samp("Prediction").alias("p"))
-            part = part.join(
-                years.groupBy("mode").agg(F.avg("a").alias("actual_std_between_years"), F.avg("p").alias("prediction_std_between_years")),
-                "mode", "left",
-            )
-        part = part.withColumn("distance", F.lit(float(km)))
-        out = part if out is None else out.unionByName(part)
+    per = ["distance", "mode"]
+    keys = [*per, "clustered", year] if by_year else [*per, "clustered"]
+    area = F.col("URBAN_RURA")
+    modes = F.array_compact(F.array(F.lit("All"), F.when(area.isin("U", "R"), area), F.lit("U+R")))
+    cols = {"URBAN_RURA", "Actual", "Prediction", "LATNUM", "LONGNUM", *([year] if by_year else [])}
+    tagged = cut_lineage(position_levels(df.select(*[c for c in df.columns if c in cols]), radii).withColumn("mode", F.explode(modes)))
+    inside = tagged.filter("clustered IS NOT NULL")
+    sizes = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max((area == "U").cast("int")).alias("__u"))
+    counted = tagged.join(sizes, keys, "left")
+    lone = F.col("clustered").isNull()
+    urban_group = (F.col("mode") != "U+R") | (F.coalesce(F.col("__u"), F.lit(0)) == 1)
+    grouped = ~lone & urban_group & ((F.col("mode") == "All") | (F.col("__n") >= 2))
+    outside = lone | (~lone & urban_group & (F.col("mode") != "All") & (F.col("__n") == 1))
+    marked = cut_lineage(counted.select(*keys, "Actual", "Prediction", grouped.alias("__in"), outside.alias("__out")))
+    in_rows, out_rows = marked.filter("__in"), marked.filter("__out")
+    means = in_rows.groupBy(*keys).agg(
+        F.avg("Actual").alias("Actual"), F.avg("Prediction").alias("Prediction"),
+        F.stddev_samp("Actual").alias("__sa"), F.stddev_samp("Prediction").alias("__sp"),
+    )
+    agg = means.groupBy(*per).agg(
+        *_metric_set("clustered"), F.avg("__sa").alias("actual_std_in_cluster"), F.avg("__sp").alias("prediction_std_in_cluster")
+    )
+    out = agg.join(in_rows.groupBy(*per).agg(*_metric_set("in_cluster")), per, "full").join(
+        out_rows.groupBy(*per).agg(*_metric_set("out_of_cluster")), per, "full"
+    )
+    if by_year:
+        years = means.groupBy(*per, "clustered").agg(F.stddev_samp("Actual").alias("a"), F.stddev_samp("Prediction").alias("p"))
+        between = years.groupBy(*per).agg(F.avg("a").alias("actual_std_between_years"), F.avg("p").alias("prediction_std_between_years"))
+        out = out.join(between, per, "left")
     return out
 
 

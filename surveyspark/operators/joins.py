@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +34,24 @@ def span_months(start: int, end: int, unit: str) -> tuple[int, int]:
     return start * k, end * k
 
 
+def _month_number(date: Column) -> Column:
+    return F.year(date) * 12 + F.month(date) - 1
+
+
+def _span_statistics(values: Column, place: Callable[[Column], Column], spans: Column) -> Column:
+    """For every span (lo, hi in months) mean, max, min and rounded median of the values between its places; null if it has none."""
+    known = F.transform(spans, lambda s: F.sort_array(F.filter(F.slice(values, place(s["lo"]) + 1, place(s["hi"]) - place(s["lo"])), lambda v: v.isNotNull())))
+
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        total = F.aggregate(s, F.lit(0.0), lambda a, v: a + v.cast("double"))
+        middle = (F.get(s, F.floor((n - 1) / 2).cast("int")).cast("double") + F.get(s, F.floor(n / 2).cast("int")).cast("double")) / 2
+        stats = F.struct((total / n).alias("mean"), F.get(s, n - 1).alias("max"), F.get(s, F.lit(0)).alias("min"), F.bround(middle, 0).alias("median"))
+        return F.when(n > 0, stats)
+
+    return F.transform(known, of)
+
+
 def interval_aggregate(
     anchors: DataFrame,
     panel: DataFrame,
@@ -48,37 +66,37 @@ def interval_aggregate(
 
     ``panel`` holds one row per (area, month) with ``panel_month`` the first day of the
     month; ``measures`` maps a panel column to its name in the output columns
-    ``FS; <name>: <start>-<end><unit>: <stat>``.
+    ``FS; <name>: <start>-<end><unit>: <stat>``. Empty spans stay null.
 
-    The answer depends only on (area, date), so the anchors are reduced to these first and
-    each is spread over its months; the panel is then met by equality on (area, month),
-    where no key holds more than one panel row. Empty spans stay null.
+    An area's panel is a list in the order of months, no longer than the calendar, with the
+    place where each month begins. An anchor needs nothing but the first month its date leads
+    to, so anchors are reduced to distinct (area, first month); each meets its area's list
+    once, and any number of spans are stretches of it found by their places.
     """
     months = [span_months(*s) for s in spans]
-    first, last = min(m[0] for m in months), max(m[1] for m in months)
-    distinct = anchors.select(*area, F.col(date).cast("date").alias("__d")).distinct()
+    rows = panel.select(*area, _month_number(F.col(panel_month).cast("date")).alias("m"), *[F.col(q(c)).alias(f"__v{n}") for n, c in enumerate(measures)])
+    entry = F.struct("m", *[f"__v{n}" for n in range(len(measures))])
+    lists = rows.filter("m IS NOT NULL").groupBy(*area).agg(F.sort_array(F.collect_list(entry)).alias("__l"))
+    begins = "transform(sequence(__l[0].m, element_at(__l, -1).m + 1), x -> size(filter(__l, e -> e.m < x)))"
+    lists = lists.withColumn("__begins", F.expr(begins))
     # a month belongs to [d + start, d + end) when its first day does
-    lead = F.when(F.dayofmonth("__d") > 1, 1).otherwise(0)
-    spread = distinct.withColumn("__off", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn(
-        "__month", F.add_months(F.trunc("__d", "month"), F.col("__off")).cast("date")
-    )
-    rows = panel.select(*area, F.col(panel_month).cast("date").alias("__month"), *[F.col(q(m)) for m in measures])
-    met = spread.join(rows, [*area, "__month"], "inner").withColumn("__lead", lead)
-    aggs = []
-    for (s, e, unit), (lo, hi) in zip(spans, months):
-        inside = (F.col("__off") >= lo + F.col("__lead")) & (F.col("__off") < hi + F.col("__lead"))
-        for m, name in measures.items():
-            v = F.when(inside, F.col(q(m)))
-            label = f"FS; {name}: {s}-{e}{unit}"
-            aggs += [
-                F.avg(v).alias(f"{label}: mean"),
-                F.max(v).alias(f"{label}: max"),
-                F.min(v).alias(f"{label}: min"),
-                F.bround(F.median(v), 0).alias(f"{label}: median"),
-            ]
-    per = met.groupBy(*area, "__d").agg(*aggs)
-    keyed = anchors.withColumn("__d", F.col(date).cast("date"))
-    return keyed.join(per, [*area, "__d"], "left").drop("__d")
+    day = F.col(date).cast("date")
+    first = _month_number(day) + F.when(F.dayofmonth(day) > 1, 1).otherwise(0)
+    keyed = anchors.withColumn("__first", first)
+
+    def place(offset: Column) -> Column:
+        at = F.col("__first") + offset - F.col("__l")[0]["m"] + 1
+        return F.element_at("__begins", F.greatest(F.lit(1), F.least(F.size("__begins"), at)))
+
+    ranges = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in months])
+    met = keyed.select(*area, "__first").distinct().join(lists, list(area))
+    per = met.select(*area, "__first", *[_span_statistics(F.col(f"__l.__v{n}"), place, ranges).alias(f"__s{n}") for n in range(len(measures))])
+    out = keyed.join(per, [*area, "__first"], "left")
+    named = [
+        F.col(f"__s{n}")[i][stat].alias(f"FS; {name}: {s}-{e}{unit}: {stat}")
+        for i, (s, e, unit) in enumerate(spans) for n, name in enumerate(measures.values()) for stat in ("mean", "max", "min", "median")
+    ]
+    return out.select(*[F.col(q(c)) for c in anchors.columns], *named)
 
 
 def tile_labels(tiles: DataFrame, labels: DataFrame, digits: int = 4) -> DataFrame:

@@ -11,6 +11,7 @@ from surveyspark.plans import harmonise as hm
 from surveyspark.plans import water_labels as wl
 from surveyspark.plans.aggregate_queries import moments_sql
 from surveyspark.plans.function_queries import _CLASS_SQL, _TIME_SQL, _WEIGHT_SQL
+from surveyspark.plans.join_queries import span_sql
 from surveyspark.plans.registry import Tables, query, r, rounded
 from surveyspark.plans.views import oracle_views
 
@@ -65,25 +66,24 @@ def survey_feature_table(t: Tables):
     ["JN-4", "JN-5", "AG-9", "PF-28"],
     f"""{oracle_views('households', 'phase_panel', 'clusters')}, {_HH_SQL},
         f AS (SELECT *, CAST(DATE '1970-01-01' + CAST(floor(md) AS INT) AS DATE) AS date, year(DATE '1970-01-01' + CAST(floor(md) AS INT)) AS yr FROM g),
-        p AS (SELECT *, make_date(year, month, 1) AS pd FROM phase_panel),
+        p AS (SELECT *, CS AS IPC, CS + COALESCE(HA0, 0) AS FH, make_date(year, month, 1) AS date FROM phase_panel),
+        s AS (SELECT a.adm2_name, {span_sql()} FROM f a LEFT JOIN p ON p.adm2_name = a.adm2_name AND p.adm1_name = a.adm1_name AND p.adm0_name = a.adm0_name GROUP BY a.adm2_name),
         e AS (SELECT adm2_name, DHSYEAR - 15 AS y, avg(Actual) AS edu FROM clusters WHERE cluster % 4 <> 0 GROUP BY ALL),
         i AS (SELECT adm2_name, DHSYEAR - 15 AS y, sum(Prediction * households) / sum(households) AS idx FROM clusters GROUP BY ALL)
-        SELECT f.adm2_name AS "Meta; adm2_gaul", {r('(SELECT avg(p.CS) FROM p WHERE p.adm2_name = f.adm2_name AND p.pd >= f.date AND p.pd < f.date + INTERVAL 2 YEAR)')} AS "FS; IPC: 0-2y: mean",
-          (SELECT max(p.CS + COALESCE(p.HA0, 0)) FROM p WHERE p.adm2_name = f.adm2_name AND p.pd >= f.date + INTERVAL 6 MONTH AND p.pd < f.date + INTERVAL 12 MONTH) AS "FS; IPC + FH: 6-12m: max",
-          {r('e.edu', 8)} AS "DHS Education; edu", {r('i.idx', 8)} AS "DHS Sustainbench; asset_index"
-        FROM f LEFT JOIN e ON e.adm2_name = f.adm2_name AND e.y = f.yr LEFT JOIN i ON i.adm2_name = f.adm2_name AND i.y = f.yr""",
+        SELECT f.adm2_name AS "Meta; adm2_gaul", s.* EXCLUDE (adm2_name), {r('e.edu')} AS "DHS Education; edu", {r('i.idx')} AS "DHS Sustainbench; asset_index"
+        FROM f JOIN s USING (adm2_name) LEFT JOIN e ON e.adm2_name = f.adm2_name AND e.y = f.yr LEFT JOIN i ON i.adm2_name = f.adm2_name AND i.y = f.yr""",
 )
 def enriched_feature_table(t: Tables):
     area = ["adm0_name", "adm1_name", "adm2_name"]
     year = (F.col("DHSYEAR") - 15).alias("year")
     out = hm.survey_features(_located(t))
-    out = hm.add_phases(out, ql.prepare_panel(t.phase_panel), [(0, 2, "y"), (6, 12, "m")])
+    out = hm.add_phases(out, ql.prepare_panel(t.phase_panel))
     edu = t.clusters.select(*area, year, F.col("Actual").alias("edu"), (F.col("cluster") % 4 == 0).alias("Imputed"))
     out = hm.add_education(out, edu, ["edu"], "year")
     index = t.clusters.select(*area, year, F.col("Prediction").alias("asset_index"), F.col("households").alias("n_asset"))
     out = hm.add_area_indices(out, index)
-    cols = ["Meta; adm2_gaul", "FS; IPC: 0-2y: mean", "FS; IPC + FH: 6-12m: max", "DHS Education; edu", "DHS Sustainbench; asset_index"]
-    return rounded(out.select(*[F.col(f"`{c}`") for c in cols]), 8).withColumn("FS; IPC: 0-2y: mean", F.round(F.col("`FS; IPC: 0-2y: mean`"), 6))
+    cols = ["Meta; adm2_gaul", *[c for c in out.columns if c.startswith("FS; ")], "DHS Education; edu", "DHS Sustainbench; asset_index"]
+    return rounded(out.select(*[F.col(f"`{c}`") for c in cols]))
 
 
 def _water(t: Tables):

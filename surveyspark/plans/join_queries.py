@@ -57,13 +57,13 @@ def multi_key_join(t: Tables):
     return rounded(hh.join(index, [*keys, "year15"], "left").select("household", "idx"), 8)
 
 
-_SPANS = [(0, 5, "m"), (6, 12, "m"), (0, 1, "y"), (1, 2, "y"), (0, 2, "y"), (2, 4, "y")]
 _AREA = ["adm0_name", "adm1_name", "adm2_name"]
 
 
-def _span_sql() -> str:
+def span_sql() -> str:
+    """Statistics of all spans from anchors ``a`` (date) and months ``p`` (date, IPC, FH)."""
     parts = []
-    for s, e, u in _SPANS:
+    for s, e, u in jn.SPANS:
         unit = "MONTH" if u == "m" else "YEAR"
         for col, name in (("IPC", "IPC"), ("FH", "IPC + FH")):
             cond = f"p.date >= a.date + INTERVAL {s} {unit} AND p.date < a.date + INTERVAL {e} {unit}"
@@ -80,13 +80,13 @@ def _span_sql() -> str:
     ["JN-5", "PF-28"],
     f"""{oracle_views('phase_panel', 'households')}, p AS (SELECT *, CS AS IPC, CS + COALESCE(HA0, 0) AS FH, make_date(year, month, 1) AS date FROM phase_panel),
         a AS (SELECT survey, adm0_name, adm1_name, adm2_name, min(make_date(year, month, day)) AS date FROM households GROUP BY ALL)
-        SELECT a.survey, a.adm2_name, {_span_sql()} FROM a LEFT JOIN p ON a.adm2_name = p.adm2_name AND a.adm1_name = p.adm1_name AND a.adm0_name = p.adm0_name
+        SELECT a.survey, a.adm2_name, {span_sql()} FROM a LEFT JOIN p ON a.adm2_name = p.adm2_name AND a.adm1_name = p.adm1_name AND a.adm0_name = p.adm0_name
         GROUP BY a.survey, a.adm2_name""",
 )
 def interval_aggregate(t: Tables):
     panel = ql.prepare_panel(t.phase_panel).withColumn("date", F.make_date("year", "month", F.lit(1)))
     anchors = t.households.groupBy("survey", *_AREA).agg(F.min(F.make_date("year", "month", "day")).alias("date"))
-    out = jn.interval_aggregate(anchors, panel, _AREA, "date", "date", {"IPC": "IPC", "IPC + food help": "IPC + FH"}, _SPANS)
+    out = jn.interval_aggregate(anchors, panel, _AREA, "date", "date", {"IPC": "IPC", "IPC + food help": "IPC + FH"})
     return rounded(out.drop("adm0_name", "adm1_name", "date"))
 
 

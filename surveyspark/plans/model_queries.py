@@ -9,6 +9,7 @@ from surveyspark.operators import evaluate as ev
 from surveyspark.operators import impute as im
 from surveyspark.operators import matching as mt
 from surveyspark.operators import models as md
+from surveyspark.operators import positions as po
 from surveyspark.operators import splits as sp
 from surveyspark.operators.aggregates import regression_metrics
 from surveyspark.plans.registry import Tables, query, r, rounded
@@ -66,7 +67,7 @@ def _components_sql(view: str, edge: str) -> str:
     + " SELECT id AS cluster, CASE WHEN size > 1 THEN root ELSE -1 END AS first_member FROM comp",
 )
 def spatial_clusters(t: Tables):
-    out = cl.cluster_positions(t.clusters, ["cluster"], _KM)
+    out = po.cluster_positions(t.clusters, ["cluster"], _KM)
     heads = out.filter("clustered <> -1").groupBy("clustered").agg(F.min("cluster").alias("first_member"))
     return out.join(heads, "clustered", "left").select("cluster", F.coalesce("first_member", F.lit(-1)).alias("first_member"))
 
@@ -82,7 +83,7 @@ def spatial_clusters(t: Tables):
 )
 def noise_groups(t: Tables):
     """Points without a neighbour, put into groups of thirty."""
-    out = cl.cluster_positions(t.clusters, ["cluster"], 40.0, noise="grouped")
+    out = po.cluster_positions(t.clusters, ["cluster"], 40.0, noise="grouped")
     heads = out.filter("clustered <> -1").groupBy("clustered").agg(F.min("cluster").alias("head"))
     grp = F.coalesce("head", F.col("clustered: grouped non-clustered"))
     return out.join(heads, "clustered", "left").select("cluster", (F.col("clustered") == -1).alias("noise"), grp.alias("grp"))
@@ -326,30 +327,41 @@ def report_row(t: Tables):
     return rounded(ev.report_row(ev.slice_report(t.clusters, None, "AFRICA"), ["Test", "Urban STD None"], ["rmse"]))
 
 
-def _cluster_report_sql() -> str:
-    """Metrics per region mode of one clustering with 150 km."""
+_RADII = [*ev.RADII_KM, 50.0, _KM]
+
+
+def _cluster_report_sql(by_year: bool) -> str:
+    """Metrics per radius and region mode, of clusters or of their years."""
     metric = "count(*) AS {0}_size, " + r("sqrt(avg(power(Prediction - Actual, 2)))", 5) + " AS {0}_rmse, " + r("corr(Actual, Prediction)", 5) + " AS {0}_corr"
+    year, between = ", DHSYEAR" if by_year else "", ""
+    if by_year:
+        between = f""", v AS (SELECT distance, mode, root, stddev_samp(Actual) AS a, stddev_samp(Prediction) AS p FROM m GROUP BY ALL),
+            w AS (SELECT distance, mode, {r("avg(a)", 5)} AS actual_std_between_years, {r("avg(p)", 5)} AS prediction_std_between_years FROM v GROUP BY ALL)"""
     return f"""{oracle_views("clusters").replace("WITH", "WITH RECURSIVE", 1)}, p AS (SELECT cluster AS id, LATNUM AS la, LONGNUM AS lo FROM clusters),
-        {_components_sql("p", f"SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND abs(a.la - b.la) < 3 AND {_HAV} <= {_KM}")},
-        c AS (SELECT clusters.*, root, size FROM clusters JOIN comp ON comp.id = cluster),
-        t AS (SELECT c.*, mode, count(*) OVER (PARTITION BY mode, root, size > 1) AS n, bool_or(URBAN_RURA = 'U') OVER (PARTITION BY mode, root, size > 1) AS u
+        d AS (SELECT unnest({[float(km) for km in _RADII]}) AS distance),
+        g AS (SELECT a.id AS a, b.id AS b, {_HAV} AS km FROM p a JOIN p b ON a.id <> b.id AND abs(a.la - b.la) < 3 AND {_HAV} <= {_KM}),
+        reach(distance, x, y) AS (SELECT distance, id, id FROM p, d UNION SELECT reach.distance, reach.x, g.b FROM reach JOIN g ON reach.y = g.a AND g.km <= reach.distance),
+        comp AS (SELECT distance, x AS id, min(y) AS root, count(*) AS size FROM reach GROUP BY distance, x),
+        c AS (SELECT clusters.*, distance, root, size FROM clusters JOIN comp ON comp.id = cluster),
+        t AS (SELECT c.*, mode, count(*) OVER (PARTITION BY distance, mode, root, size > 1{year}) AS n, bool_or(URBAN_RURA = 'U') OVER (PARTITION BY distance, mode, root, size > 1{year}) AS u
               FROM c, (SELECT unnest(['All', 'U', 'R', 'U+R']) AS mode) WHERE mode IN ('All', 'U+R') OR mode = URBAN_RURA),
         k AS (SELECT *, size > 1 AND (mode <> 'U+R' OR u) AND (mode = 'All' OR n >= 2) AS inside,
                 size = 1 OR ((mode <> 'U+R' OR u) AND mode <> 'All' AND n = 1) AS outside FROM t),
-        m AS (SELECT mode, root, avg(Actual) AS Actual, avg(Prediction) AS Prediction, stddev_samp(Actual) AS sa, stddev_samp(Prediction) AS sp FROM k WHERE inside GROUP BY mode, root),
-        x AS (SELECT mode, {metric.format("clustered")}, {r("avg(sa)", 5)} AS actual_std_in_cluster, {r("avg(sp)", 5)} AS prediction_std_in_cluster FROM m GROUP BY mode),
-        y AS (SELECT mode, {metric.format("in_cluster")} FROM k WHERE inside GROUP BY mode), z AS (SELECT mode, {metric.format("out_of_cluster")} FROM k WHERE outside GROUP BY mode)
-        SELECT *, 150.0::DOUBLE AS distance FROM x FULL JOIN y USING (mode) FULL JOIN z USING (mode)"""
+        m AS (SELECT distance, mode, root{year}, avg(Actual) AS Actual, avg(Prediction) AS Prediction, stddev_samp(Actual) AS sa, stddev_samp(Prediction) AS sp FROM k WHERE inside GROUP BY distance, mode, root{year}),
+        x AS (SELECT distance, mode, {metric.format("clustered")}, {r("avg(sa)", 5)} AS actual_std_in_cluster, {r("avg(sp)", 5)} AS prediction_std_in_cluster FROM m GROUP BY distance, mode),
+        y AS (SELECT distance, mode, {metric.format("in_cluster")} FROM k WHERE inside GROUP BY distance, mode),
+        z AS (SELECT distance, mode, {metric.format("out_of_cluster")} FROM k WHERE outside GROUP BY distance, mode){between}
+        SELECT * FROM x FULL JOIN y USING (distance, mode) FULL JOIN z USING (distance, mode){" LEFT JOIN w USING (distance, mode)" if by_year else ""}"""
 
 
-@query("cluster_evaluation", ["AG-16", "ML-6"], _cluster_report_sql())
+@query("cluster_evaluation", ["AG-16", "ML-6"], _cluster_report_sql(False))
 def cluster_evaluation(t: Tables):
-    return rounded(ev.cluster_evaluation(t.clusters, ["cluster"], [_KM]), 5)
+    return rounded(ev.cluster_evaluation(t.clusters, _RADII), 5)
 
 
-@query("cluster_evaluation_by_year", ["AG-16", "ML-6"])
+@query("cluster_evaluation_by_year", ["AG-16", "ML-6"], _cluster_report_sql(True))
 def cluster_evaluation_by_year(t: Tables):
-    return rounded(ev.cluster_evaluation(t.clusters, ["cluster"], [50.0, 150.0], by_year=True), 5)
+    return rounded(ev.cluster_evaluation(t.clusters, _RADII, by_year=True), 5)
 
 
 @query(

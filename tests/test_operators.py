@@ -17,6 +17,7 @@ from surveyspark.operators import integration as ig
 from surveyspark.operators import joins as jn
 from surveyspark.operators import matching as mt
 from surveyspark.operators import models as md
+from surveyspark.operators import positions as po
 from surveyspark.operators import quality as ql
 from surveyspark.operators import raster as rs
 from surveyspark.operators import sets as st
@@ -400,7 +401,8 @@ def test_connected_components_on_chains_and_stars(spark):
     assert got == {n: want[n] for n in nodes}
 
 
-def test_position_clusters_against_brute_force(spark):
+@pytest.mark.parametrize("task_edges", [po.TASK_EDGES, 0])
+def test_position_clusters_against_brute_force(spark, task_edges):
     rng = np.random.default_rng(6)
     lat = np.concatenate([rng.normal(5, 0.02, 120), rng.uniform(-60, 60, 60), [0.0, 0.0, 89.99, 89.99], [5.0, 5.0]])
     lon = np.concatenate([rng.normal(9, 0.02, 120), rng.uniform(-180, 180, 60), [179.9999, -179.9999, 10.0, 170.0], [30.0, 30.0]])
@@ -411,7 +413,7 @@ def test_position_clusters_against_brute_force(spark):
     d = 2 * 6371.0088 * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
     want = brute_components(len(lat), [(i, j) for i, j in zip(*np.where(d <= km)) if i < j])
     sizes = pd.Series(want).value_counts()
-    got = cl.cluster_positions(spark.createDataFrame(pdf), ["id"], km, noise="grouped", noise_group=10).toPandas().set_index("id").sort_index()
+    got = po.cluster_positions(spark.createDataFrame(pdf), ["id"], km, noise="grouped", noise_group=10, task_edges=task_edges).toPandas().set_index("id").sort_index()
     assert ((got["clustered"] == -1).to_numpy() == np.array([sizes[w] == 1 for w in want])).all()
     inside = got[got["clustered"] != -1]
     pairs = set(zip(inside["clustered"], [want[i] for i in inside.index]))
@@ -474,14 +476,43 @@ def test_chained_imputation_far_from_zero(spark):
         assert np.allclose(got["y"], 2 * x + 1, rtol=0, atol=1e-2)
 
 
-def test_near_cells_compare_points_of_the_last_level(spark):
+@pytest.mark.parametrize("depth", [1, 15])
+def test_near_cells_of_every_level(spark, depth):
     rng = np.random.default_rng(3)
     xyz = np.concatenate([rng.uniform(0, 2, (150, 3)), rng.normal(0.5, 0.01, (50, 3))])
     points = spark.createDataFrame(pd.DataFrame(xyz, columns=list("xyz")))
-    got = {tuple(tuple(p[s]) for s in "ab") for p in cl._near_cells(points, 0.2, depth=1).collect()}
-    cell = [tuple(int(c) for c in np.floor(p / (0.2 / 3**0.5 * (1 - 1e-12)))) for p in xyz]
-    near = np.argwhere(np.linalg.norm(xyz[:, None] - xyz, axis=2) <= 0.2)
-    assert {frozenset(p) for p in got} == {frozenset((cell[i], cell[j])) for i, j in near if cell[i] != cell[j]}
+    eps = [0.2, 0.05]
+    side = [e / 3**0.5 * (1 - 1e-12) for e in eps]
+    levels = F.array(*[F.struct(F.lit(n).alias("level"), F.lit(e).alias("eps"), F.lit(s).alias("side")) for n, (e, s) in enumerate(zip(eps, side))])
+    placed = points.withColumn("l", F.explode(levels)).select("x", "y", "z", "l.*").withColumn("cell", po._cell(F.col("side")))
+    got = [tuple(tuple(p[t]) for t in "ab") for p in po.near_cells(placed, depth).collect()]
+    assert len(got) == len(set(got))
+    want = set()
+    for n, (e, s) in enumerate(zip(eps, side)):
+        cell = [(n, *(int(c) for c in np.floor(p / s))) for p in xyz]
+        near = np.argwhere(np.linalg.norm(xyz[:, None] - xyz, axis=2) <= e)
+        want |= {frozenset((cell[i], cell[k])) for i, k in near if cell[i] != cell[k]}
+    assert {frozenset(p) for p in got} == want
+
+
+def test_positions_at_many_radii(spark):
+    rng = np.random.default_rng(16)
+    lat = np.concatenate([rng.normal(5, 0.05, 150), rng.uniform(4, 6, 80), rng.uniform(-80, 80, 40), [10.0, 10.0]])
+    lon = np.concatenate([rng.normal(9, 0.05, 150), rng.uniform(8, 10, 80), rng.uniform(-180, 180, 40), [50.0, 50.0]])
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(lat)), "LATNUM": lat, "LONGNUM": lon}))
+    df = df.unionByName(spark.createDataFrame([(9999, None, 1.0)], "id long, LATNUM double, LONGNUM double"))
+    la, lo = np.radians(lat), np.radians(lon)
+    h = np.sin((la[:, None] - la) / 2) ** 2 + np.cos(la[:, None]) * np.cos(la) * np.sin((lo[:, None] - lo) / 2) ** 2
+    d = 2 * 6371.0088 * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
+    got = po.position_levels(df, [0.5, 20.0, 3.0]).toPandas()
+    assert len(got) == 3 * len(lat)
+    for km, rows in got.groupby("distance"):
+        want = pd.Series(brute_components(len(lat), [(i, k) for i, k in zip(*np.where(d <= km)) if i < k]))
+        sizes = want.map(want.value_counts())
+        rows = rows.set_index("id").sort_index()
+        assert (rows["clustered"].isna() == (sizes == 1)).all()
+        named = rows["clustered"].dropna().map(str)
+        assert len(set(zip(named, want[named.index]))) == named.nunique() == want[named.index].nunique()
 
 
 def test_hidden_values_and_rotation(spark):
@@ -571,7 +602,7 @@ def test_report_names_and_values(spark):
 
 def test_cluster_evaluation_counts_every_row_once(spark):
     pdf, df = predictions(spark)
-    out = {r["mode"]: r for r in ev.cluster_evaluation(df, ["id"], [0.6]).collect()}
+    out = {r["mode"]: r for r in ev.cluster_evaluation(df, [0.6]).collect()}
     assert set(out) == {"All", "U", "R", "U+R"}
     assert out["All"]["in_cluster_size"] + out["All"]["out_of_cluster_size"] == 300
     n_u = int((pdf.URBAN_RURA == "U").sum())
