@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.core.session import cut_lineage
 
-__all__ = ["batches_of", "cut_lineage", "edge_bytes", "mix", "row_hash", "small_join", "text_parts", "partitions"]
+__all__ = ["batches_of", "cut_lineage", "edge_bytes", "mix", "release", "released", "row_hash", "small_join", "text_parts", "partitions"]
 
 #: A side is sent whole to every executor only up to this many bytes; beyond it the join shuffles.
 SMALL_SIDE = 32 << 20
@@ -28,6 +29,31 @@ def batches_of(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library: nothing to give back by hand
+    _TRIM = None
+
+
+def release() -> None:
+    """Give free memory back: Python workers wait for the next stage with all they have ever taken."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task, with its memory given back at the end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyspark.llm.common import ASCII_LOWER, batches_of, cut_lineage, edge_bytes, mix, partitions, small_join, text_parts, word_hashes
+from surveyspark.llm.common import ASCII_LOWER, batches_of, cut_lineage, edge_bytes, mix, partitions, released, small_join, text_parts, word_hashes
 from surveyspark.operators.clustering import connected_components
 
 _U = np.uint64
@@ -204,7 +204,7 @@ def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     known = small_join(texts, ids, ["doc_id"], "left_semi", 16)
     one = pairs.join(known.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     two = one.join(known.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return cut_lineage(two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(words, percent), "a long, b long").distinct())
+    return cut_lineage(two.select("a", "b", "text_a", "text_b").mapInArrow(released(_confirm(words, percent)), "a long, b long").distinct())
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -217,10 +217,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are not read.
     """
     spark = docs.sparkSession
-    batches_of(spark)
+    batches_of(spark, 250)
     buckets = 4 * partitions(spark)
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    signed = cut_lineage(src.mapInArrow(_sign(words), "doc_id long, n_shingles long, h1 long, h2 long, sig binary, low binary"))
+    signed = cut_lineage(src.mapInArrow(released(_sign(words)), "doc_id long, n_shingles long, h1 long, h2 long, sig binary, low binary"))
     nodes = signed.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(
         F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     nodes = cut_lineage(nodes)

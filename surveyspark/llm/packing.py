@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.llm.bpe import Vocabulary
-from surveyspark.llm.common import batches_of
+from surveyspark.llm.common import batches_of, released
 
 TIERS = (2048, 1024, 512, 256)
 END = 1
@@ -174,4 +174,4 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int, step_group long"
-    return src.mapInArrow(_pack(path, tiers, step_tokens, with_ids), schema + ", ids array<long>" * with_ids)
+    return src.mapInArrow(released(_pack(path, tiers, step_tokens, with_ids)), schema + ", ids array<long>" * with_ids)

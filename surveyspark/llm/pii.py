@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyspark.llm.common import batches_of, cut_lineage, edge_bytes
+from surveyspark.llm.common import batches_of, cut_lineage, edge_bytes, released
 from surveyspark.llm.tagger import KINDS, WINDOW, Tagger, char_ids
 
 Span = tuple[str, int, int]
@@ -294,7 +294,7 @@ def find_personal_data(docs: DataFrame, tagger: Tagger | None, id_col: str = "do
 
 def redact(docs: DataFrame, tagger: Tagger | None, text_col: str = "text") -> DataFrame:
     """The rows with every span replaced by its kind in capitals and brackets; all columns stay."""
-    batches_of(docs.sparkSession)
+    batches_of(docs.sparkSession, 250)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,4 +310,4 @@ def redact(docs: DataFrame, tagger: Tagger | None, text_col: str = "text") -> Da
             at = batch.schema.get_field_index(text_col)
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, column.type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -1,11 +1,13 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the distinct 3- to 5-grams of the lower-cased characters, known by 64-bit
-hashes. For each one the ratio of its document frequencies in both classes, smoothed
-towards 1, gives the scale ``r`` of its column; a logistic regression with an L2 penalty is
-fitted on the scaled presence of the strongest features. Only ratios that speak for
-toxicity are used, with coefficients of at least 0, so that no amount of harmless text
-around an insult lowers the score of a very long document.
+hashes. A text is read in windows of bounded length, so that presence means the same in short
+and in long texts. For each n-gram the log ratio of its window frequencies in both classes,
+smoothed towards 1, gives the scale ``r`` of its column; a logistic regression with an L2
+penalty is fitted on the scaled presence of the n-grams that stand apart most, whichever
+class they speak for. A document's odds are the mean of its windows' odds: harmless text
+around an insult divides its odds by the number of windows, and does so to chance hits too,
+whose expected odds thereby do not grow with the length of a text.
 """
 
 from __future__ import annotations
@@ -14,22 +16,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyspark.llm.common import BASE, batches_of, cut_lineage, mix
+from surveyspark.llm.common import BASE, batches_of, cut_lineage, mix, release
 
 _U = np.uint64
 ORDERS = (3, 4, 5)
-#: Labelled rows that the fit reads at most, and features it keeps at most.
-FIT_ROWS, FEATURES = 8000, 8192
-SMOOTHING, LEAST_RATIO, LEAST_ROWS = 4.0, 0.7, 3
-#: N-grams of toxic rows (the most frequent) that the selection looks at.
-CANDIDATES = 1 << 18
-#: A feature must stand in more toxic rows than its clean rate explains, by so many deviations.
-LEAST_DEVIATIONS = 4.0
+#: Labelled rows and windows of them that the fit reads at most, and features it keeps at most.
+FIT_ROWS, FIT_WINDOWS, FEATURES = 8000, 24_000, 8192
+#: Characters of a window, and those it shares with the next.
+WINDOW, SHARED = 1200, 64
+SMOOTHING, LEAST_ROWS = 4.0, 3
+#: A feature must stand in more or fewer toxic windows than the share of these explains, by so many deviations.
+LEAST_DEVIATIONS = 3.0
+#: N-grams that a task counts before it folds them.
+FOLD = 4_000_000
+_SEEN_BITS = 22
 _TABLE_BITS = 22
 
 
@@ -70,36 +74,70 @@ def _chunks(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[int
         yield first, texts[first:]
 
 
-def _distinct_grams(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """Distinct n-grams of each text."""
-    for t in texts:
-        own = list(grams(_joined([t])[0]))
-        yield np.unique(np.concatenate(own)) if own else np.zeros(0, _U)
+def windows_of(text: str | None) -> list[str]:
+    """A text in windows; the empty one is a window too."""
+    text = text or ""
+    return [text[s : s + WINDOW + SHARED] for s in range(0, max(1, len(text) - SHARED), WINDOW)]
 
 
-def _toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the task that hold an n-gram."""
-    found = [h for batch in batches for h in _distinct_grams(batch.column("text").to_pylist())]
-    if found:
-        hashes, n = np.unique(np.concatenate(found), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], names=["gram", "n"])
+def _distinct_grams(text: str) -> np.ndarray:
+    own = list(grams(_joined([text])[0]))
+    return np.unique(np.concatenate(own)) if own else np.zeros(0, _U)
 
 
-def _clean_counts(hashes: np.ndarray):
-    """Rows of the task that hold one of the known n-grams (sorted)."""
+class _Counts:
+    """In how many toxic and clean windows n-grams stand, folded whenever many are held."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, own: np.ndarray, toxic: bool) -> None:
+        n = np.ones(len(own), np.int64)
+        self.held.append((own, n * toxic, n * (not toxic)))
+        self.size += len(own)
+        if self.size >= FOLD:
+            self.held = [self.folded()]
+            self.size = len(self.held[0][0]) // 2  # what is folded already counts half
+
+    def folded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        names, to = np.unique(np.concatenate([h[0] for h in self.held]), return_inverse=True)
+        return names, *(np.bincount(to, np.concatenate([h[k] for h in self.held]), len(names)).astype(np.int64) for k in (1, 2))
+
+
+COUNTS_DDL = "gram long, pos long, neg long"
+
+
+def _count(often: int, seen: np.ndarray | None):
+    """Counts of the task's n-grams: all of toxic windows and what clean ones hold ``often``; with ``seen``, all that it may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(hashes), np.int64)
+        counts = _Counts()
         for batch in batches:
-            for own in _distinct_grams(batch.column("text").to_pylist()):
-                at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-                n[at[hashes[at] == own]] += 1
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["place", "n"])
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                own = _distinct_grams(text)
+                counts.add(own if seen is None else own[seen[own >> _U(64 - _SEEN_BITS)]], label == 1)
+        names, pos, neg = counts.folded()
+        if seen is None:
+            some = (pos > 0) | (neg >= often)
+            names, pos, neg = names[some], pos[some], neg[some]
+        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(pos), pa.array(neg)], names=["gram", "pos", "neg"])
+        del counts, names, pos, neg
+        release()
 
     return run
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmap of the first bits of the task's n-grams."""
+    seen = np.zeros(1 << _SEEN_BITS, bool)
+    for batch in batches:
+        seen[batch.column("gram").to_numpy().view(_U) >> _U(64 - _SEEN_BITS)] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()])], names=["bits"])
+
+
 @dataclass
 class ToxicityModel:
     """Sorted feature hashes, their weights (ratio times coefficient) and the bias."""
@@ -124,20 +162,29 @@ class ToxicityModel:
         pairs = np.unique(np.concatenate(rows) * max(len(self.hashes), 1) + np.concatenate(features))
         return pairs // max(len(self.hashes), 1), pairs % max(len(self.hashes), 1)
 
+    def window_logits(self, windows: list[str]) -> np.ndarray:
+        rows, features = self.presence(windows)
+        return np.bincount(rows, self.weights[features], len(windows)) + self.bias
+
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         if not len(self.hashes):
             return np.zeros(len(texts))
-        rows, features = self.presence(texts)
-        z = np.bincount(rows, self.weights[features], len(texts)) + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        parts = [windows_of(t) for t in texts]
+        counts = np.array([len(p) for p in parts])
+        row = np.repeat(np.arange(len(parts)), counts)
+        z = self.window_logits([w for p in parts for w in p])
+        odds = np.bincount(row, np.exp(np.clip(z, -50, 50)), len(parts)) / np.maximum(counts, 1)
+        return odds / (1 + odds)
 
     def score(self, text: str) -> Column:
         """Score in 0..1 as a column; null is scored as the empty text."""
         model = self
 
-        @F.pandas_udf("double")
-        def scored(texts: pd.Series) -> pd.Series:
-            return pd.Series(model.probabilities([None if t is None else t for t in texts.tolist()]))
+        @F.arrow_udf("double")
+        def scored(texts: pa.Array) -> pa.Array:
+            out = pa.array(model.probabilities(texts.to_pylist()))
+            release()
+            return out
 
         return scored(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
@@ -157,7 +204,7 @@ def _known(hashes: np.ndarray) -> np.ndarray:
 
 
 def _logistic(rows: np.ndarray, features: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Coefficients (none below 0) of scaled presence and bias, by projected Nesterov steps."""
+    """Coefficients of scaled presence and bias, by Nesterov steps."""
     weight = np.full(len(y), 1 / len(y))
     value = scale[features]
     per_row = np.bincount(rows, value * value, len(y))
@@ -170,17 +217,38 @@ def _logistic(rows: np.ndarray, features: np.ndarray, scale: np.ndarray, y: np.n
         nw = vw - rate * (np.bincount(features, value * g[rows], len(scale)) + penalty * vw)
         nb = vb - rate * g.sum()
         m = k / (k + 3)
-        nw = np.maximum(nw, 0)
         vw, vb, w, b = nw + m * (nw - w), nb + m * (nb - b), nw, nb
     return w, b
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, features: int = FEATURES, tasks: int = 4) -> ToxicityModel:
-    """Fit on at most ``rows`` labelled documents (those with the smallest hash of their id).
+def _features(sample: DataFrame, positive: int, negative: int, tasks: int, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and ratios of the n-grams that stand apart most; counts stay in Spark but for the chosen ones."""
+    share = positive / (positive + negative)
+    # a clean n-gram can stand apart only if it is frequent, so in one task at least it is frequent
+    often = max(1, int(LEAST_DEVIATIONS**2 / share / tasks))
+    first = sample.mapInArrow(_count(often, None), COUNTS_DDL).groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    maps = first.filter((F.col("pos") >= LEAST_ROWS) | (F.col("neg") >= often)).select("gram").coalesce(tasks).mapInArrow(_marks, "bits binary").collect()
+    seen = np.zeros(1 << _SEEN_BITS, bool)
+    for m in maps:
+        seen |= np.unpackbits(np.frombuffer(m["bits"], np.uint8)).astype(bool)
+    exact = sample.mapInArrow(_count(often, seen), COUNTS_DDL).groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    n = F.col("pos") + F.col("neg")
+    apart = (F.col("pos") - n * share) / F.sqrt(n * share * (1 - share))
+    p = (F.col("pos") + SMOOTHING * share) / (positive + 2 * SMOOTHING * share)
+    q = (F.col("neg") + SMOOTHING * (1 - share)) / (negative + 2 * SMOOTHING * (1 - share))
+    chosen = exact.filter(n >= LEAST_ROWS).select("gram", F.abs(apart).alias("apart"), F.log(p / q).alias("ratio")).filter(F.col("apart") >= LEAST_DEVIATIONS)
+    got = chosen.orderBy(F.desc("apart"), "gram").limit(features).toArrow()
+    hashes, ratio = got.column("gram").to_numpy().view(_U), got.column("ratio").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], ratio[order]
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, windows: int = FIT_WINDOWS, features: int = FEATURES, tasks: int = 4) -> ToxicityModel:
+    """Fit on at most ``rows`` labelled documents (smallest hash of their id) and ``windows`` windows of them.
 
     ``labels`` are the rows to learn from; a null label or id is no label, several labels of
-    an id count as the largest. Null texts are empty ones. Without both classes the model
-    has no features and scores every text 0.
+    an id count as the largest. Null texts are empty ones. Without both classes, or without
+    an n-gram that tells them apart, the model has no features and scores every text 0.
     """
     batches_of(docs.sparkSession)
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
@@ -188,32 +256,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     known = cut_lineage(known.orderBy(F.xxhash64("id"), "id").limit(rows))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(known), "id").select("text", "label")  # ``rows`` bounds the broadcast side
+    cut = f"transform(sequence(0, cast(greatest(0, ceil((length(text) - {SHARED}) / {WINDOW}) - 1) as int)), i -> substring(text, i * {WINDOW} + 1, {WINDOW + SHARED}))"
+    sample = sample.select("label", F.explode(F.expr(cut)).alias("text")).orderBy(F.xxhash64("text"), "text", "label").limit(windows)
     sample = cut_lineage(sample.repartition(tasks, F.xxhash64("text")))
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     positive, negative = sizes.get(1, 0), sizes.get(0, 0)
     nothing = ToxicityModel(np.zeros(0, _U), np.zeros(0), -500.0)
     if not positive or not negative:
         return nothing
-    # n-grams of toxic rows first, then how many clean rows hold them; both lists are bounded by CANDIDATES
-    toxic, clean = sample.filter("label = 1").select("text"), sample.filter("label = 0").select("text")
-    counts = toxic.mapInArrow(_toxic_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    known = counts.filter(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "gram").limit(CANDIDATES).toArrow()
-    if not known.num_rows:
-        return nothing
-    hashes, pos = known.column("gram").to_numpy().view(_U), known.column("n").to_numpy()
-    order = np.argsort(hashes)
-    hashes, pos, neg = hashes[order], pos[order], np.zeros(len(order))
-    seen = clean.mapInArrow(_clean_counts(hashes), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    neg[seen.column("place").to_numpy()] = seen.column("n").to_numpy()
-    share = positive / (positive + negative)
-    p = (pos + SMOOTHING * share) / (positive + SMOOTHING * share)
-    q = (neg + SMOOTHING * (1 - share)) / (negative + SMOOTHING * (1 - share))
-    ratio = np.log(p / q)
-    good = np.flatnonzero((ratio >= LEAST_RATIO) & (pos - q * positive >= LEAST_DEVIATIONS * np.sqrt(q * positive)))
-    good = np.sort(good[np.lexsort((good, -(ratio * np.sqrt(pos + neg))[good]))[:features]])
-    if not len(good):
+    hashes, scale = _features(sample, positive, negative, tasks, features)
+    if not len(hashes):
         return nothing
-    hashes, scale = hashes[good], ratio[good]
     empty = ToxicityModel(hashes, np.zeros(len(hashes)), 0.0)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,9 +277,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), pa.array([feature[a:b].astype("<i4").tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["label", "features"])
 
-    got = sample.mapInArrow(present, "label int, features binary").orderBy("label", "features").collect()  # at most ``rows`` lists of features
-    lists = [np.frombuffer(g["features"], "<i4") for g in got]
-    y = np.array([g["label"] for g in got], float)
+    got = sample.mapInArrow(present, "label int, features binary").collect()  # at most ``windows`` lists of features
+    got = sorted((g["label"], bytes(g["features"])) for g in got)
+    lists = [np.frombuffer(g, "<i4") for _, g in got]
+    y = np.array([label for label, _ in got], float)
     at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    w, b = _logistic(at, np.concatenate(lists).astype(np.int64), scale, y, penalty=1e-4, steps=300)
+    w, b = _logistic(at, np.concatenate(lists).astype(np.int64), scale, y, penalty=3e-4, steps=300)
     return ToxicityModel(hashes, w * scale, b)

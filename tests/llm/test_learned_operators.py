@@ -190,3 +190,37 @@ def test_redacted_pipeline_stage_keeps_columns(spark, documents):
     assert out.schema.simpleString() == docs.schema.simpleString()
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[1].text == "write to [EMAIL]" and rows[1].n_chars == 16 and rows[2].text is None
+
+
+def test_toxicity_does_not_grow_with_length(spark, labelled):
+    docs, labels = labelled
+    model = fit_toxicity(docs, labels.filter(~held_out("doc_id")))
+    rows = docs.join(labels, "doc_id").filter(held_out("doc_id")).filter("toxic = 0").select("text").collect()
+    g = random.Random(5)
+    for size, n in ((2400, 200), (48_000, 60), (480_000, 8)):
+        texts = []
+        for _ in range(n):
+            text = ""
+            while len(text) < size:
+                text += g.choice(rows).text + "\n"
+            texts.append(text[:size])
+        assert (model.probabilities(texts) >= 0.7).mean() <= 0.02
+
+
+def test_toxicity_weighs_both_signs(spark, documents):
+    g = random.Random(2)
+    rows = [(i, " ".join(g.choices(["salt", "bread", "river", "stone"], k=30) + (["badword"] * 2 if i % 3 == 0 else ["kindly"]))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = fit_toxicity(documents(rows), labels)
+    assert (model.weights > 0).any() and (model.weights < 0).any()
+    both, bad, kind, none = model.probabilities(["bread badword kindly", "bread badword", "bread kindly", "bread stone"])
+    assert bad > both > kind and bad > none > kind
+
+
+def test_windows_cover_the_text():
+    from surveyspark.llm.toxicity import SHARED, WINDOW, windows_of
+
+    for n in (0, 1, WINDOW, WINDOW + SHARED, WINDOW + SHARED + 1, 5 * WINDOW + 7):
+        text = "".join(chr(97 + i % 23) for i in range(n))
+        parts = windows_of(text)
+        assert all(len(p) <= WINDOW + SHARED for p in parts) and "".join(p[:WINDOW] for p in parts[:-1]) + parts[-1] == text
