@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveyspark.operators import clustering as cl
+from surveyspark.operators import density as de
 from surveyspark.operators import evaluate as ev
 from surveyspark.operators import impute as im
 from surveyspark.operators import matching as mt
@@ -100,6 +101,30 @@ def vector_clusters(t: Tables):
     return cl.cluster_vectors(t.embeddings, "vec_id", "embedding", 0.95).select("vec_id", "similar")
 
 
+@query(
+    "reachability_edges",
+    ["ML-7"],
+    f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+        n AS (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS d FROM v a JOIN v b ON a.id <> b.id
+              QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) <= 8),
+        c AS (SELECT a, d AS core FROM n QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 2),
+        t AS (SELECT id AS a, min(id) OVER (PARTITION BY v) AS b, 0.0 AS d FROM v QUALIFY a <> b),
+        p AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(d) AS d FROM (SELECT * FROM n UNION ALL SELECT * FROM t) GROUP BY ALL)
+        SELECT p.a, p.b, {r('greatest(d, x.core, y.core)')} AS w FROM p JOIN c x ON x.a = p.a JOIN c y ON y.a = p.b""",
+)
+def reachability_edges(t: Tables):
+    """Mutual reachability of all embeddings and their eight nearest."""
+    rows = t.embeddings.filter("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return rounded(de.reachability_edges(rows, 8, 2))
+
+
+@query("density_clusters", ["ML-7"])
+def density_clusters(t: Tables):
+    """Density clusters of all embeddings, standardised first."""
+    vectors = cl.standardise_vectors(t.embeddings.filter("embedding IS NOT NULL"), "embedding", 64)
+    return de.density_clusters(vectors, "vec_id", "embedding").select("vec_id", "similar")
+
+
 @query("kmeans_labels", ["ML-8"])
 def kmeans_labels(t: Tables):
     return cl.kmeans_labels(t.embeddings, "embedding", 64, 3).select("vec_id", "cluster")
