@@ -5,14 +5,14 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyspark.core.bounded import collect_bounded
 from surveyspark.core.hashing import HASH_SPAN, seeded_hash, seeded_unit
 from surveyspark.core.ordering import hash_positions, value_positions
+from surveyspark.core.session import cut_lineage
 
 MAX_GROUPS = 1_000_000
 
@@ -165,105 +165,116 @@ def packed_split(df: DataFrame, group: str, k: int = 6, seed: int = 42, out: str
     return df.join(placed, group, "left")
 
 
-def year_disjoint_split(df: DataFrame, unit: str, year: str, country: str, k: int = 6, out: str = "split") -> DataFrame:
-    """Groups (unit, year) by size into the smallest split that holds no other year of the unit in that country."""
-    groups = df.filter(F.col(unit).isNotNull()).groupBy(unit, year).agg(
-        F.count(F.lit(1)).alias("n"), F.min(country).alias("__c")
-    )
-    rows = collect_bounded(groups, MAX_GROUPS, "groups of unit and year")
-    loads = [[0, b] for b in range(k)]
-    holds: list[set[tuple]] = [set() for _ in range(k)]
-    plan = []
-    for r in sorted(rows, key=lambda r: (-r["n"], str(r[unit]), str(r[year]))):
-        for slot in sorted(loads):
-            if (r[unit], r["__c"]) not in holds[slot[1]]:
-                break
-        else:
-            raise ValueError(f"more years of {r[unit]} than splits; raise the number of splits")
-        slot[0] += r["n"]
-        holds[slot[1]].add((r[unit], r["__c"]))
-        plan.append((r[unit], r[year], f"split {slot[1]}"))
-    schema = groups.select(unit, year).schema.add(out, "string")
-    return df.join(df.sparkSession.createDataFrame(plan, schema), [unit, year], "left")
-
-
-@dataclass
-class _Bin:
-    diff_sum: float = 0.0
-    groups: int = 0
-    rows: int = 0
-    units: set = field(default_factory=set)
-
-    def mean(self) -> float:
-        return self.diff_sum / self.groups if self.groups else 0.0
-
-
-def _same_side_or_zero(a: float, b: float) -> bool:
-    return a <= 0 <= b or b <= 0 <= a
-
-
-def balanced_plan(groups: Sequence[dict], parent_std: float, bins: int, disjoint: bool) -> list[int]:
-    """Bin of every group, in the given order of importance.
-
-    ``groups``: diff (weighted distance of the group mean), rows, unit (country and unit,
-    kept apart when ``disjoint``). A group prefers the bin whose mean it draws back towards
-    the overall mean, with a growing penalty for bins that already hold many rows.
+#: Fractional part of the golden ratio: multiples of it fall evenly into [0, 1) whatever number is taken.
+GOLDEN = 0.6180339887498949
+#: Split totals closer than this share of their mean are even.
+EVEN = 0.02
+
+
+def _dealt(groups: DataFrame, unit: Sequence[str], within: Sequence[str], k: int) -> DataFrame:
+    """Groups (n rows, d pull) with ``__bin``: the groups of a unit lie in different ones of ``k``.
+
+    Units are ranked by the order of their size, then by their pull for each row; rank j
+    starts at the golden multiple of j, and its groups follow each other from there, largest
+    first. So each bin gets its share of units of any size and pull, whatever the number of
+    groups they have.
+    """
+    units = groups.groupBy(*unit).agg(F.sum("n").alias("__n"), (F.sum("d") / F.sum("n")).alias("__d"), F.count(F.lit(1)).alias("__m"))
+    units = cut_lineage(units)
+    most = units.agg(F.max("__m").alias("m")).first()["m"] or 0
+    if most > k:
+        raise ValueError(f"a unit has {most} groups that must not share a split; raise the number of splits above {k}")
+    order = F.struct((-F.floor(F.log2("__n"))).alias("size"), "__d", *unit)
+    ranked = units.withColumn("__o", order)
+    rank = value_positions(ranked, [], "__o").select("__o", F.col("before").alias("__j"))
+    start = F.floor((F.col("__j") * F.lit(GOLDEN) - F.floor(F.col("__j") * F.lit(GOLDEN))) * k)
+    starts = ranked.join(rank, "__o").select(*unit, start.alias("__start"))
+    place = F.row_number().over(Window.partitionBy(*unit).orderBy(F.desc("n"), *within)) - 1  # at most ``k`` rows
+    return groups.join(starts, list(unit)).withColumn("__bin", F.pmod(F.col("__start") + place, F.lit(k)).cast("int")).drop("__start")
+
+
+def even_moves(sizes: Sequence[tuple[int, int, int]], room: dict[int, float]) -> list[tuple[int, int, int]]:
+    """How many groups of each size to move per pair of bins, largest first, into half the gap between them.
+
+    ``sizes``: (pair, size, how many can move); ``room``: half the gap of each pair.
+    """
+    left, out = dict(room), []
+    for pair, size, many in sorted(sizes, key=lambda r: (r[0], -r[1])):
+        take = min(many, int(left[pair] // size))
+        if take:
+            left[pair] -= take * size
+            out.append((pair, size, take))
+    return out
+
+
+def _evened(groups: DataFrame, unit: Sequence[str], keys: Sequence[str], k: int, rounds: int, seed: int) -> DataFrame:
+    """Rounds in which each large bin gives groups to a small one that holds none of their unit.
+
+    A pair of bins exchanges at most half of its gap. Groups whose pull the receiver lacks go
+    first. What the driver sees is a total for each bin and a histogram of group sizes.
+    """
+    for _ in range(rounds):
+        totals = {r["__bin"]: (r["n"], r["d"]) for r in groups.groupBy("__bin").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).collect()}  # k rows
+        loads = sorted((totals.get(b, (0, 0.0))[0], b) for b in range(k))
+        mean = sum(n for n, _ in loads) / k
+        pairs = [(loads[-1 - i][1], loads[i][1], (loads[-1 - i][0] - loads[i][0]) / 2) for i in range(k // 2)]
+        pairs = [(h, low, gap) for h, low, gap in pairs if 2 * gap > EVEN * mean]
+        if not pairs:
+            break
+        pull = {b: (d / n if n else 0.0) for b, (n, d) in totals.items()}
+        table = [(i, h, low, gap, 1.0 if pull.get(h, 0.0) >= pull.get(low, 0.0) else -1.0) for i, (h, low, gap) in enumerate(pairs)]
+        small = groups.sparkSession.createDataFrame(table, "__pair int, __bin int, __to int, __room double, __sign double")
+        there = groups.select(*unit, F.col("__bin").alias("__to")).distinct()
+        can = groups.join(F.broadcast(small), "__bin").filter(F.col("n") <= F.col("__room")).join(there, [*unit, "__to"], "left_anti")
+        can = cut_lineage(can)
+        hist = collect_bounded(can.groupBy("__pair", "n").agg(F.count(F.lit(1)).alias("m")), MAX_GROUPS, "distinct group sizes")
+        plan = even_moves([(r["__pair"], r["n"], r["m"]) for r in hist], {i: gap for i, (_, _, gap) in enumerate(pairs)})
+        if not plan:
+            break
+        taken = groups.sparkSession.createDataFrame(plan, "__pair int, __size long, __take long")
+        rank = F.struct((-F.col("__sign") * F.col("d")).alias("pull"), seeded_hash(seed, *keys).alias("h"), *keys)
+        asked = can.withColumn("__size", F.col("n")).join(taken, ["__pair", "__size"]).withColumn("__o", rank)
+        place = value_positions(asked, ["__pair", "__size"], "__o").select("__pair", "__size", "__o", F.col("before").alias("__place"))
+        moved = asked.join(place, ["__pair", "__size", "__o"]).filter(F.col("__place") < F.col("__take"))
+        # two groups of a unit may be asked to the same bin in a round: the first goes
+        first = moved.groupBy(*unit, "__to").agg(F.min(F.struct("__o", *keys)).alias("r")).select("__to", *[F.col(f"r.{c}").alias(c) for c in keys])
+        groups = cut_lineage(groups.join(first, list(keys), "left").withColumn("__bin", F.coalesce("__to", "__bin")).drop("__to"))
+    return groups
+
+
+def _placed(df: DataFrame, groups: DataFrame, unit: Sequence[str], within: Sequence[str], k: int, rounds: int, seed: int, out: str) -> DataFrame:
+    keys = [*unit, *within]
+    dealt = cut_lineage(_dealt(groups, unit, within, k))
+    chosen = _evened(dealt, unit, keys, k, rounds, seed)
+    return df.join(chosen.select(*keys, F.concat(F.lit("split "), F.col("__bin").cast("string")).alias(out)), keys, "left")
+
+
+def year_disjoint_split(df: DataFrame, unit: str, year: str, country: str, k: int = 6, out: str = "split", rounds: int = 6, seed: int = 42) -> DataFrame:
+    """Groups (unit, year) in splits of even size, none of which holds two years of a unit in one country.
+
+    The country of a unit and year is its smallest. Rows without unit or year get no split.
     """
-    state = [_Bin() for _ in range(bins)]
-    total = len(groups)
-    plan = []
-    for pos, g in enumerate(groups):
-        best, best_score = None, math.inf
-        fewest = min(b.rows for b in state) + g["rows"]
-        for nr, b in enumerate(state):
-            old, new = b.mean(), (b.diff_sum + g["diff"]) / (b.groups + 1)
-            if b.groups == 0:
-                score = 0.0
-            elif _same_side_or_zero(old, g["diff"]):
-                score = abs(new) if _same_side_or_zero(old, new) else -abs(new)
-            else:
-                score = 2 * abs(new)
-            rows = b.rows + g["rows"]
-            score += max(parent_std, abs(new)) * (rows - fewest) / rows * (total + pos) / 2 / total
-            if score < best_score and not (disjoint and g["unit"] in b.units):
-                best, best_score = nr, score
-        if best is None:
-            raise ValueError(f"no bin left for {g['unit']}; raise the number of splits")
-        chosen = state[best]
-        chosen.diff_sum += g["diff"]
-        chosen.groups += 1
-        chosen.rows += g["rows"]
-        chosen.units.add(g["unit"])
-        plan.append(best)
-    return plan
+    known = df.filter(F.col(unit).isNotNull() & F.col(year).isNotNull())
+    groups = known.groupBy(unit, year).agg(F.count(F.lit(1)).alias("n"), F.min(country).alias("__c"), F.lit(0.0).alias("d"))
+    dealt = cut_lineage(_dealt(groups.withColumn("__c", F.coalesce(F.col("__c").cast("string"), F.lit(""))), [unit, "__c"], [year], k))
+    chosen = _evened(dealt, [unit, "__c"], [unit, year], k, rounds, seed)
+    return df.join(chosen.select(unit, year, F.concat(F.lit("split "), F.col("__bin").cast("string")).alias(out)), [unit, year], "left")
 
 
 def mean_balanced_split(
-    df: DataFrame, unit: str, value: str, country: str, year: str | None = None, k: int = 6, out: str = "split"
+    df: DataFrame, unit: str, value: str, country: str, year: str | None = None, k: int = 6, out: str = "split", rounds: int = 6, seed: int = 42
 ) -> DataFrame:
-    """Whole groups per split, balanced in mean and size; with ``year`` no split holds two years of a unit."""
-    keys = [unit] + ([year] if year else []) + ([country] if country != unit else [])
-    data = df.dropna(subset=[value, *keys])
-    stats = data.groupBy(*keys).agg(F.avg(value).alias("__mean"), F.count(F.lit(1)).alias("__n"))
-    overall = data.agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s")).first()
-    rows = collect_bounded(stats, MAX_GROUPS, "groups to split")
-    n_mean = sum(r["__n"] for r in rows) / len(rows)
-    diffs = [(r["__mean"] - overall["m"]) * r["__n"] / n_mean for r in rows]
-
-    def std(xs: Sequence[float]) -> float:
-        m = sum(xs) / len(xs)
-        return math.sqrt(sum((x - m) ** 2 for x in xs) / (len(xs) - 1)) if len(xs) > 1 else 0.0
-
-    sd_abs, sd_n = std([abs(d) for d in diffs]) or 1.0, std([r["__n"] for r in rows]) or 1.0
-    ranked = sorted(
-        zip(rows, diffs),
-        key=lambda p: (-(abs(p[1]) / sd_abs + (p[0]["__n"] - n_mean) / sd_n), [str(p[0][c]) for c in keys]),
-    )
-    groups = [{"diff": d, "rows": r["__n"], "unit": (r[country], r[unit])} for r, d in ranked]
-    plan = balanced_plan(groups, overall["s"] or 0.0, k, bool(year))
-    table = [(*[r[c] for c in keys], f"split {b}") for (r, _), b in zip(ranked, plan)]
-    schema = stats.select(*keys).schema.add(out, "string")
-    return df.join(df.sparkSession.createDataFrame(table, schema), keys, "left")
+    """Whole groups per split, balanced in mean and size; with ``year`` no split holds two years of a unit.
+
+    A group's pull is the sum of its rows' distances from the overall mean. Rows without a
+    value or key get no split.
+    """
+    units = [unit] + ([country] if country != unit else [])
+    within = [year] if year else []
+    data = df.dropna(subset=[value, *units, *within])
+    mean = data.agg(F.avg(value).alias("m")).first()["m"] or 0.0
+    groups = data.groupBy(*units, *within).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value) - F.lit(mean)).alias("d"))
+    return _placed(df, groups, units, within, k, rounds, seed, out)
 
 
 def split_scores(df: DataFrame, split: str, value: str) -> DataFrame:

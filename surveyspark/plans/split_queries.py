@@ -112,6 +112,46 @@ def mean_balanced_year_split(t: Tables):
     return out.select("cluster", "split")
 
 
+def _balance(split, unit: str, year: str | None, value: str | None, spread: float):
+    """One row: rows, rows without a split, splits, units with two years in one split, and whether sizes and means are even."""
+    keys = [unit, year] if year else [unit]
+    group = split.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("split").alias("parts"))
+    same = split.groupBy(unit, "split").agg(F.countDistinct(year or unit).alias("years"))
+    per = split.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg(value or F.lit(0.0)).alias("m"))
+    whole = split.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("split").isNull()).alias("without"), F.stddev_samp(value or F.lit(0.0)).alias("s"))
+    sizes = per.agg(F.count(F.lit(1)).alias("splits"), (F.max("n") - F.min("n")).alias("gap"), F.avg("n").alias("mean"), (F.max("m") - F.min("m")).alias("drift"))
+    top = group.agg(F.max("n").alias("largest"), F.count_if(F.col("parts") > 1).alias("divided"))
+    shared = same.agg(F.count_if(F.col("years") > 1).alias("shared"))
+    one = whole.join(sizes, F.lit(True)).join(top, F.lit(True)).join(shared, F.lit(True))  # one row each
+    return one.select(
+        "rows", "without", "splits", "divided", "shared", (F.col("gap") <= F.greatest("largest", 0.1 * F.col("mean"))).alias("even_sizes"),
+        (F.col("drift") <= spread * F.col("s")).alias("even_means") if value else F.lit(True).alias("even_means"),
+    )
+
+
+def _balance_sql(splits: int) -> str:
+    return f"{oracle_views('clusters')} SELECT count(*) AS rows, 0 AS without, {splits} AS splits, 0 AS divided, 0 AS shared, TRUE AS even_sizes, TRUE AS even_means FROM clusters"
+
+
+@query("year_disjoint_split_balance", ["ML-5"], _balance_sql(12))
+def year_disjoint_split_balance(t: Tables):
+    """No split holds two years of a unit, and sizes differ by a group or a tenth at most."""
+    return _balance(sp.year_disjoint_split(t.clusters, "adm1_name", "DHSYEAR", "adm0_name", 12), "adm1_name", "DHSYEAR", None, 0)
+
+
+@query("mean_balanced_split_balance", ["ML-5b"], _balance_sql(5))
+def mean_balanced_split_balance(t: Tables):
+    """Whole areas per split, sizes even, means within three tenths of a deviation."""
+    return _balance(sp.mean_balanced_split(t.clusters, "adm2_name", "Actual", "adm0_name", k=5), "adm2_name", None, "Actual", 0.3)
+
+
+@query("mean_balanced_year_split_balance", ["ML-5b"], _balance_sql(12))
+def mean_balanced_year_split_balance(t: Tables):
+    """As above, and no split holds two years of a unit; means of twelve splits lie within a deviation."""
+    out = sp.mean_balanced_split(t.clusters, "adm1_name", "Actual", "adm0_name", year="DHSYEAR", k=12)
+    return _balance(out, "adm1_name", "DHSYEAR", "Actual", 1.0)
+
+
 _S = "'split ' || CAST(cluster % 7 AS VARCHAR)"
 
 

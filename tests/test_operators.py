@@ -362,11 +362,41 @@ def test_random_split_assigns_all_rows(spark):
     assert sum(r["count"] for r in out) == 100 and max(r["count"] for r in out) - min(r["count"] for r in out) <= 1
 
 
-def test_balanced_plan_avoids_same_unit():
-    groups = [{"diff": d, "rows": 10, "unit": "a"} for d in (1.0, -1.0, 0.5)]
-    assert sorted(sp.balanced_plan(groups, 1.0, 3, True)) == [0, 1, 2]
+@pytest.mark.parametrize("rounds", [0, 6])
+def test_years_of_a_unit_never_share_a_split(spark, rounds):
+    rng = np.random.default_rng(21)
+    rows = []
+    for u in range(60):
+        for y in rng.choice(8, rng.integers(1, 7), replace=False):
+            rows += [(f"u{u}", int(y), f"c{u % 7}", float(rng.normal(u % 5, 1)))] * int(rng.pareto(1.2) * 4 + 1)
+    df = spark.createDataFrame(rows, "unit string, year int, country string, y double").unionByName(spark.createDataFrame([(None, 1, "x", 1.0)], "unit string, year int, country string, y double"))
+    for out in (sp.year_disjoint_split(df, "unit", "year", "country", 6, rounds=rounds), sp.mean_balanced_split(df, "unit", "y", "country", "year", 6, rounds=rounds)):
+        got = out.toPandas()
+        assert got["split"].isna().sum() == 1 and len(got) == len(rows) + 1
+        groups = got.dropna(subset=["split"]).groupby(["unit", "year"])["split"].nunique()
+        assert (groups == 1).all()
+        assert (got.dropna(subset=["split"]).groupby(["unit", "split"])["year"].nunique() == 1).all()
+        sizes = got["split"].value_counts()
+        if rounds:
+            largest = pd.Series([r[:2] for r in rows]).value_counts().iloc[0]
+            assert len(sizes) == 6 and sizes.max() - sizes.min() <= max(largest, 0.1 * sizes.mean())
     with pytest.raises(ValueError):
-        sp.balanced_plan(groups, 1.0, 2, True)
+        sp.year_disjoint_split(df, "unit", "year", "country", 3)
+
+
+def test_mean_balanced_split_is_even_in_mean_and_size(spark):
+    rng = np.random.default_rng(22)
+    rows = [(f"u{u}", float(rng.normal(u / 40, 0.3))) for u in range(200) for _ in range(int(rng.integers(5, 60)))]
+    df = spark.createDataFrame(rows, "unit string, y double")
+    got = sp.mean_balanced_split(df, "unit", "y", "unit", k=5).toPandas()
+    means = got.groupby("split")["y"].mean()
+    assert means.max() - means.min() < 0.25 * got["y"].std()
+    sizes = got["split"].value_counts()
+    assert (sizes.max() - sizes.min()) / sizes.mean() < 0.05
+
+
+def test_even_moves_fill_half_the_gap():
+    assert sp.even_moves([(0, 5, 3), (0, 2, 9), (1, 7, 1)], {0: 13.0, 1: 6.0}) == [(0, 5, 2), (0, 2, 1)]
 
 
 def test_forced_test_split(spark):
