@@ -361,78 +361,6 @@ def scene_cloud_join(
     return scenes.filter(inside).join(clouds.filter(F.col("probability") < max_probability), ["scene", "x", "y"])
 
 
-def scanlines(polygons: DataFrame, ident: str, rings: str, step: float) -> DataFrame:
-    """Polygons cut into horizontal lines at the middle of rows of height ``step``.
-
-    Result: id, row, x0, x1 – the stretches of the line inside the polygon (even-odd rule,
-    so holes are left out). Every edge is spread over the rows it crosses, so a large
-    polygon is not handled by one task.
-    """
-    edges = (
-        polygons.select(ident, F.posexplode(rings).alias("__ring", "__pts"))
-        .select(
-            ident,
-            F.explode(
-                F.zip_with(
-                    "__pts",
-                    F.concat(F.slice("__pts", 2, F.greatest(F.size("__pts") - 1, F.lit(0))), F.slice("__pts", 1, 1)),
-                    lambda a, b: F.struct(
-                        a["x"].alias("xa"), a["y"].alias("ya"), b["x"].alias("xb"), b["y"].alias("yb")
-                    ),
-                )
-            ).alias("e"),
-        )
-        .select(ident, "e.*")
-        .filter("ya <> yb")
-    )
-    lo, hi = F.least("ya", "yb"), F.greatest("ya", "yb")
-    # rows whose middle lies in [lo, hi)
-    first = F.ceil(lo / step - 0.5).cast("bigint")
-    last = F.ceil(hi / step - 0.5).cast("bigint") - 1
-    crossing = edges.filter(first <= last).withColumn("row", F.explode(F.sequence(first, last)))
-    mid = (F.col("row") + 0.5) * step
-    x = F.col("xa") + (mid - F.col("ya")) * (F.col("xb") - F.col("xa")) / (F.col("yb") - F.col("ya"))
-    rows = crossing.groupBy(ident, "row").agg(F.array_sort(F.collect_list(x)).alias("xs"))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("xs") - 2, F.lit(0)), F.lit(2)),
-        lambda i: F.struct(F.get("xs", i).alias("x0"), F.get("xs", i + 1).alias("x1")),
-    )
-    return rows.select(ident, "row", F.explode(pairs).alias("p")).select(ident, "row", "p.x0", "p.x1").filter("x1 > x0")
-
-
-def overlay_ratio(
-    areas: DataFrame, zones: DataFrame, area_id: str, zone_id: str, step: float, tile: float, rings: str = "rings",
-    min_ratio: float = 0.55,
-) -> DataFrame:
-    """Pairs of polygons whose shared part is at least ``min_ratio`` of the area: ids, shared, own, ratio.
-
-    Both layers are cut into scanline stretches, the stretches into tiles of width ``tile``;
-    stretches meet by equality on (row, tile). The error is bounded by perimeter × ``step``.
-    """
-    a, z = scanlines(areas, area_id, rings, step), scanlines(zones, zone_id, rings, step)
-
-    def tiled(df: DataFrame) -> DataFrame:
-        return df.withColumn(
-            "t", F.explode(F.sequence(F.floor(F.col("x0") / tile), F.ceil(F.col("x1") / tile) - 1))
-        ).withColumns({"x0": F.greatest("x0", F.col("t") * tile), "x1": F.least("x1", (F.col("t") + 1) * tile)})
-
-    own = a.groupBy(area_id).agg((F.sum(F.col("x1") - F.col("x0")) * step).alias("own"))
-    left = tiled(a).select(area_id, "row", "t", F.col("x0").alias("a0"), F.col("x1").alias("a1"))
-    right = tiled(z).select(zone_id, "row", "t", F.col("x0").alias("z0"), F.col("x1").alias("z1"))
-    shared = (
-        left.join(right, ["row", "t"])
-        .withColumn("w", F.least("a1", "z1") - F.greatest("a0", "z0"))
-        .filter("w > 0")
-        .groupBy(area_id, zone_id)
-        .agg((F.sum("w") * step).alias("shared"))
-    )
-    return (
-        shared.join(own, area_id)
-        .withColumn("area_ratio", F.col("shared") / F.col("own"))
-        .filter(F.col("area_ratio") >= min_ratio)
-    )
-
-
 def largest_overlap(overlaps: DataFrame, keys: Sequence[str], ratio: str, phase: str, max_phase: int = 5, tie: str = "zone_id") -> DataFrame:
     """Valid phases only, then the row with the largest overlap per key."""
     from surveyspark.operators.windows import top_one

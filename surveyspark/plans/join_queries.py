@@ -8,6 +8,7 @@ from surveyspark.functions import text as tx
 from surveyspark.operators import aggregates as ag
 from surveyspark.operators import joins as jn
 from surveyspark.operators import matching as mt
+from surveyspark.operators import overlay as ov
 from surveyspark.operators import quality as ql
 from surveyspark.operators import sets as st
 from surveyspark.plans.registry import Tables, query, r, rounded
@@ -178,7 +179,7 @@ def polygon_overlay(t: Tables):
     zones = t.nation.select(
         n.alias("zone_id"), _rect(num(n % 5) * 7 + 0.5, num(n / 5) * 7 + 0.25, seven, seven).alias("rings"), (1 + n % 7).alias("phase")
     )
-    hits = jn.overlay_ratio(areas, zones, "area", "zone_id", step=0.25, tile=2.0, min_ratio=0.3)
+    hits = ov.overlay_ratio(areas, zones, "area", "zone_id", min_ratio=0.3)
     hits = hits.join(zones.select("zone_id", "phase"), "zone_id")
     return rounded(jn.largest_overlap(hits, ["area"], "area_ratio", "phase").drop("phase"))
 

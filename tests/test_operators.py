@@ -17,6 +17,7 @@ from surveyspark.operators import integration as ig
 from surveyspark.operators import joins as jn
 from surveyspark.operators import matching as mt
 from surveyspark.operators import models as md
+from surveyspark.operators import overlay as ov
 from surveyspark.operators import positions as po
 from surveyspark.operators import quality as ql
 from surveyspark.operators import raster as rs
@@ -244,23 +245,55 @@ def test_nearest_next_year_fixture(spark):
     }
 
 
+RINGS = "rings array<array<struct<x: double, y: double>>>"
+
+
+def polygons(spark, name, rows):
+    return spark.createDataFrame([(k, [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]) for k, rings in rows], f"{name} string, {RINGS}")
+
+
+def whole_plane_area(a, b):
+    """Area of two polygons' intersection by slabs over all their edges, without a grid."""
+    from surveyspark.operators.overlay import shared_area
+
+    def pieces(rings):
+        return np.array([(*min(p, q), *max(p, q)) for r in rings for p, q in zip(r, [*r[1:], r[0]]) if p[0] != q[0]], dtype=float)
+
+    return shared_area(pieces(a), None if b is None else pieces(b), -1e9)
+
+
 def test_overlay_of_triangle_and_square(spark):
-    def ring(pts):
-        return [[{"x": float(x), "y": float(y)} for x, y in pts]]
-
-    schema = "id string, rings array<array<struct<x: double, y: double>>>"
-    areas = spark.createDataFrame([("tri", ring([(0, 0), (4, 0), (0, 4)])), ("sq", ring([(10, 0), (12, 0), (12, 2), (10, 2)]))], schema)
-    zones = spark.createDataFrame([("z", ring([(0, 0), (2, 0), (2, 4), (0, 4)]))], schema.replace("id ", "zone "))
-    got = jn.overlay_ratio(areas, zones, "id", "zone", step=0.01, tile=0.7, min_ratio=0.1).collect()
-    assert len(got) == 1 and got[0]["id"] == "tri"
-    assert got[0]["own"] == pytest.approx(8.0, rel=1e-3) and got[0]["shared"] == pytest.approx(6.0, rel=1e-3)
-
-
-def test_polygon_with_hole(spark):
-    rings = [[(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (3, 1), (3, 3), (1, 3)]]
-    df = spark.createDataFrame([("a", [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings])], "id string, rings array<array<struct<x: double, y: double>>>")
-    lines = jn.scanlines(df, "id", "rings", 0.25)
-    assert lines.agg(F.sum(F.col("x1") - F.col("x0"))).first()[0] * 0.25 == pytest.approx(12.0)
+    areas = polygons(spark, "id", [("tri", [[(0, 0), (4, 0), (0, 4)]]), ("sq", [[(10, 0), (12, 0), (12, 2), (10, 2)]]), ("none", []), ("line", [[(0, 0), (1, 1)]])])
+    zones = polygons(spark, "zone", [("z", [[(0, 0), (2, 0), (2, 4), (0, 4)]]), ("holed", [[(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (3, 1), (3, 3), (1, 3)]])])
+    for tile in (None, 0.7, 2.0, 50.0):
+        got = {(r["id"], r["zone"]): r for r in ov.overlay_ratio(areas, zones, "id", "zone", tile=tile, min_ratio=0.1).collect()}
+        assert set(got) == {("tri", "z"), ("tri", "holed")}
+        assert got["tri", "z"]["own"] == pytest.approx(8.0, abs=1e-9) and got["tri", "z"]["shared"] == pytest.approx(6.0, abs=1e-9)
+        assert got["tri", "holed"]["shared"] == pytest.approx(6.0, abs=1e-9) and got["tri", "holed"]["area_ratio"] == pytest.approx(0.75, abs=1e-9)
+    _, own = ov.overlay_areas(zones.withColumnRenamed("zone", "id"), zones, "id", "zone", 0.3)
+    assert {r["id"]: round(r["own"], 9) for r in own.collect()} == {"z": 8.0, "holed": 12.0}
+
+
+def test_overlay_of_concave_polygons_with_holes(spark):
+    rng = np.random.default_rng(12)
+
+    def star(x, y, size, n):
+        turns = np.sort(rng.uniform(0, 2 * np.pi, n))
+        return [(float(x + r * np.cos(t)), float(y + r * np.sin(t))) for t, r in zip(turns, rng.uniform(0.4, 1, n) * size)]
+
+    def shape(x, y, size):
+        return [star(x, y, size, 14), [(x + 0.1 * size * c, y + 0.1 * size * s) for c, s in ((-1, -1), (1, -1), (1, 1), (-1, 1))]]
+
+    left = [(f"a{i}", shape(*rng.uniform(-3, 3, 2), rng.uniform(0.5, 4))) for i in range(6)]
+    right = [(f"z{i}", shape(*rng.uniform(-3, 3, 2), rng.uniform(0.5, 4))) for i in range(6)]
+    for tile in (None, 0.45):
+        shared, own = ov.overlay_areas(polygons(spark, "id", left), polygons(spark, "zone", right), "id", "zone", tile)
+        got = {(r["id"], r["zone"]): r["shared"] for r in shared.collect()}
+        for k, a in left:
+            for m, z in right:
+                assert got.get((k, m), 0.0) == pytest.approx(whole_plane_area(a, z), abs=1e-9)
+        assert {r["id"]: pytest.approx(r["own"], abs=1e-9) for r in own.collect()} == {k: whole_plane_area(a, None) for k, a in left}
+    assert whole_plane_area(right[0][1], None) > 0
 
 
 def test_factorise_by_first_appearance(spark):
