@@ -7,15 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyspark.core.stats import correlation
 from surveyspark.core.hashing import seeded_hash, seeded_unit
 from surveyspark.core.namespaces import quoted as q
 from surveyspark.core.ordering import exact_quantiles
 from surveyspark.core.session import cut_lineage
-from surveyspark.operators.impute import gram
 
 
 @dataclass(frozen=True)
@@ -39,10 +38,7 @@ class Components:
         return out
 
 
-def _components(g: np.ndarray, cols: Sequence[str], standardise: bool) -> Components:
-    n = g[0, 0]
-    mean = g[0, 1:] / n
-    cov = g[1:, 1:] / n - np.outer(mean, mean)
+def _components(mean: np.ndarray, cov: np.ndarray, cols: Sequence[str], standardise: bool) -> Components:
     std = np.sqrt(np.clip(np.diag(cov), 0, None)) if standardise else np.ones(len(cols))
     std = np.where(std > 0, std, 1.0)
     matrix = cov / np.outer(std, std)
@@ -54,18 +50,103 @@ def _components(g: np.ndarray, cols: Sequence[str], standardise: bool) -> Compon
     return Components(tuple(cols), mean, std, vec * sign[:, None], share, matrix)
 
 
-def principal_components(df: DataFrame, cols: Sequence[str], standardise: bool = True) -> Components:
-    """Components of the complete rows, from one aggregation of cross products around rough means.
+Moments = tuple[int, np.ndarray, np.ndarray]
+MOMENTS_DDL = "key string, n long, mean array<double>, products array<double>"
+_MOMENTS = pa.schema([("key", pa.string()), ("n", pa.int64()), ("mean", pa.list_(pa.float64())), ("products", pa.list_(pa.float64()))])
+
+
+def merged_moments(a: Moments | None, b: Moments) -> Moments:
+    """Rows, means and centred cross products of two parts together."""
+    if a is None:
+        return b
+    n, d = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+def _moment_rows(found: dict[str | None, Moments]) -> pa.RecordBatch:
+    rows = [(k, n, m, p.ravel()) for k, (n, m, p) in found.items()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_MOMENTS.types)], schema=_MOMENTS)
+
+
+def _task_moments(held: int = 256):
+    """Moments of every group in a task, in one pass; handed on whenever many groups are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str | None, Moments] = {}
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
+            codes = batch.column(0).dictionary_encode(null_encoding="encode")
+            names, at = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+            order = np.argsort(at, kind="stable")
+            cuts = np.searchsorted(at[order], np.arange(len(names) + 1))
+            for k, name in enumerate(names):
+                own = x[order[cuts[k] : cuts[k + 1]]]
+                mean = own.mean(axis=0)
+                found[name] = merged_moments(found.get(name), (len(own), mean, (own - mean).T @ (own - mean)))
+            if len(found) > held:
+                yield _moment_rows(found)
+                found = {}
+        yield _moment_rows(found)
+
+    return run
+
+
+def _group_components(cols: Sequence[str], orient: int | None, standardise: bool):
+    """Merges the moments of a group and finds its first component; ``orient`` is a column that it should rise with."""
+    schema = pa.schema([("key", pa.string()), ("n", pa.int64()), *((c, pa.list_(pa.float64())) for c in ("mean", "std", "weights", "explained"))])
+
+    def run(table: pa.Table) -> pa.Table:
+        got: Moments | None = None
+        for r in table.sort_by([("n", "ascending")]).to_pylist():
+            k = len(r["mean"])
+            got = merged_moments(got, (r["n"], np.array(r["mean"]), np.array(r["products"]).reshape(k, k)))
+        n, mean, products = got
+        comp = _components(mean[: len(cols)], products[: len(cols), : len(cols)] / n, cols, standardise)
+        first = comp.vectors[0]
+        if orient is not None and (products[orient, : len(cols)] / comp.std) @ first < 0:
+            first = -first
+        row = [table.column("key")[0].as_py(), n, comp.mean, comp.std, first, comp.explained]
+        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types)], schema=schema)
 
-    Signs are fixed so that the largest weight of each component is positive.
+    return run
+
+
+def moment_table(df: DataFrame, cols: Sequence[str], key: Column) -> DataFrame:
+    """Mergeable moments (key, n, mean, products) of the complete rows of every group, from one scan."""
+    data = df.select(key.cast("string").alias("key"), *[F.col(q(c)).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    return data.dropna(subset=[f"c{i}" for i in range(len(cols))]).mapInArrow(_task_moments(), MOMENTS_DDL)
+
+
+def grouped_components(df: DataFrame, cols: Sequence[str], key: Column, orient: str | None = None, standardise: bool = True) -> DataFrame:
+    """First component of the columns in every group: key, n, mean, std, weights, explained.
+
+    All groups come from one scan: tasks hand on one row of moments per group, which a second
+    task per group merges. A null key is a group too. Signs make the largest weight positive,
+    or, with ``orient``, let the component rise with that column.
     """
-    data = df.dropna(subset=list(cols))
-    rough = data.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    shifted = data.select(*[(F.col(q(c)).cast("double") - F.lit(float(rough[i] or 0.0))).alias(f"c{i}") for i, c in enumerate(cols)])
-    _, g = gram(shifted, [f"c{i}" for i in range(len(cols))])
-    comp = _components(g, cols, standardise)
-    base = np.array([float(rough[i] or 0.0) for i in range(len(cols))])
-    return Components(comp.cols, comp.mean + base, comp.std, comp.vectors, comp.explained, comp.matrix)
+    every = [*cols, *([orient] if orient and orient not in cols else [])]
+    place = every.index(orient) if orient else None
+    parts = moment_table(df, every, key)
+    ddl = "key string, n long, mean array<double>, std array<double>, weights array<double>, explained array<double>"
+    return parts.groupBy("key").applyInArrow(_group_components(cols, place, standardise), ddl)
+
+
+def component_score(cols: Sequence[str], mean: str = "mean", std: str = "std", weights: str = "weights") -> Column:
+    """Score of a row from the component columns of its group; null if a column is."""
+    total = F.lit(0.0)
+    for i, c in enumerate(cols):
+        total = total + (F.col(q(c)).cast("double") - F.get(mean, F.lit(i))) / F.get(std, F.lit(i)) * F.get(weights, F.lit(i))
+    return total
+
+
+def principal_components(df: DataFrame, cols: Sequence[str], standardise: bool = True) -> Components:
+    """Components of the complete rows, from one scan. Signs are fixed so that the largest weight of each is positive."""
+    got: Moments | None = None
+    for r in moment_table(df, cols, F.lit("")).orderBy("n").toLocalIterator():  # a row per task and flush
+        k = len(r["mean"])
+        got = merged_moments(got, (r["n"], np.array(r["mean"]), np.array(r["products"]).reshape(k, k)))
+    n, mean, products = got or (1, np.zeros(len(cols)), np.zeros((len(cols), len(cols))))
+    return _components(mean, products / n, cols, standardise)
 
 
 def pca_index(
@@ -74,23 +155,28 @@ def pca_index(
 ) -> DataFrame:
     """First-component index of standardised columns, null for incomplete rows.
 
-    The sign is turned so that the index rises with ``orient``. With ``strata`` (conditions)
-    one index per stratum is added, named ``<out> <name>``.
+    The sign is turned so that the index rises with ``orient``. With ``strata`` (conditions,
+    which may overlap) one index per stratum is added, named ``<out> <name>``; all come from
+    one scan.
     """
     complete = F.lit(True)
     for c in cols:
         complete = complete & F.col(q(c)).isNotNull()
+    conds = dict(zip(map(str, range(len(names or [""]))), strata or [F.lit(True)]))
+    tags = F.array_compact(F.array(*[F.when(cond, F.lit(k)) for k, cond in conds.items()]))
+    tagged = df.filter(complete).withColumn("__stratum", F.explode(tags))
+    found = {r["key"]: r for r in grouped_components(tagged, cols, F.col("__stratum"), orient).collect()}  # a row per stratum
     new = {}
-    for name, cond in zip(names or [""], strata or [F.lit(True)]):
-        part = df.filter(cond & complete)
-        comp = principal_components(part, cols)
-        score = comp.scores(1)[0]
-        if orient in cols:
-            r = float(comp.matrix[list(cols).index(orient)] @ comp.vectors[0])
-        else:
-            r = part.agg(correlation(score, F.col(q(orient))).alias("r")).first()["r"]
-        signed = -score if r is not None and r < 0 else score
-        new[f"{out} {name}".strip()] = F.when(cond & complete, signed)
+    for name, (k, cond) in zip(names or [""], conds.items()):
+        label = f"{out} {name}".strip()
+        if k not in found:
+            new[label] = F.lit(None).cast("double")
+            continue
+        r = found[k]
+        score = F.lit(0.0)
+        for c, m, s, w in zip(cols, r["mean"], r["std"], r["weights"]):
+            score = score + (F.col(q(c)).cast("double") - F.lit(m)) / F.lit(s) * F.lit(w)
+        new[label] = F.when(cond & complete, score)
     return df.withColumns(new)
 
 

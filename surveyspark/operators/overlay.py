@@ -150,18 +150,19 @@ def _tile_of(layers: Sequence[DataFrame]) -> float:
 
 def overlay_areas(areas: DataFrame, zones: DataFrame, area_id: str, zone_id: str, tile: float | None = None, rings: str = "rings") -> tuple[DataFrame, DataFrame]:
     """(area, zone, shared) of all pairs that share something, and (area, own)."""
-    tile = tile or _tile_of([polygon_edges(areas, area_id, rings), polygon_edges(zones, zone_id, rings)])
-    a, z = polygon_cells(areas, area_id, rings, tile), polygon_cells(zones, zone_id, rings, tile)
-    kind, other = areas.schema[area_id].dataType.simpleString(), zones.schema[zone_id].dataType.simpleString()
-    part = a.filter("NOT whole").select(area_id, "col", "row", "pieces").mapInArrow(_areas(tile, ["pieces"]), f"`{area_id}` {kind}, area double")
+    layers = [areas.select(F.col(f"`{area_id}`").alias("__a"), F.col(f"`{rings}`").alias("__rings")), zones.select(F.col(f"`{zone_id}`").alias("__z"), F.col(f"`{rings}`").alias("__rings"))]
+    tile = tile or _tile_of([polygon_edges(layer, layer.columns[0], "__rings") for layer in layers])
+    a, z = (polygon_cells(layer, layer.columns[0], "__rings", tile) for layer in layers)
+    kind, other = (layer.schema[0].dataType.simpleString() for layer in layers)
+    part = a.filter("NOT whole").select("__a", "col", "row", "pieces").mapInArrow(_areas(tile, ["pieces"]), f"__a {kind}, area double")
     full = F.lit(tile * tile).alias("area")
-    own = part.unionByName(a.filter("whole").select(area_id, full)).groupBy(area_id).agg(F.sum("area").alias("own"))
-    right = z.select(zone_id, "col", "row", F.col("pieces").alias("z_pieces"), F.col("whole").alias("z_whole"))
+    own = part.unionByName(a.filter("whole").select("__a", full)).groupBy("__a").agg(F.sum("area").alias("own"))
+    right = z.select("__z", "col", "row", F.col("pieces").alias("z_pieces"), F.col("whole").alias("z_whole"))
     met = a.join(right, ["col", "row"])
-    cut = met.filter("NOT (whole AND z_whole)").select(area_id, zone_id, "col", "row", "pieces", "z_pieces")
-    cut = cut.mapInArrow(_areas(tile, ["pieces", "z_pieces"]), f"`{area_id}` {kind}, `{zone_id}` {other}, area double")
-    shared = cut.unionByName(met.filter("whole AND z_whole").select(area_id, zone_id, full)).groupBy(area_id, zone_id).agg(F.sum("area").alias("shared"))
-    return shared.filter("shared > 0"), own
+    cut = met.filter("NOT (whole AND z_whole)").select("__a", "__z", "col", "row", "pieces", "z_pieces")
+    cut = cut.mapInArrow(_areas(tile, ["pieces", "z_pieces"]), f"__a {kind}, __z {other}, area double")
+    shared = cut.unionByName(met.filter("whole AND z_whole").select("__a", "__z", full)).groupBy("__a", "__z").agg(F.sum("area").alias("shared"))
+    return shared.filter("shared > 0").withColumnsRenamed({"__a": area_id, "__z": zone_id}), own.withColumnRenamed("__a", area_id)
 
 
 def overlay_ratio(

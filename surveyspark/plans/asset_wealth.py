@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.functions import recode as rc
 from surveyspark.operators.aggregates import moments_by, period_statistics
-from surveyspark.operators.models import principal_components
+from surveyspark.operators.models import component_score, grouped_components, principal_components
 from surveyspark.operators.quality import complete_cases
 
 # --- Fixed values: columns of the wealth survey ---------------------------------------------
@@ -55,12 +55,10 @@ def with_wealth_index(households: DataFrame, features: Sequence[str] = FEATURES,
     rows = complete_cases(households, features)
     if surveys is None:
         return rows.withColumn("WEALTH_INDEX", principal_components(rows, features).scores(1)[0])
-    chain: Column | None = None
-    for s in surveys:
-        mine = F.col(key) == s
-        score = principal_components(rows.filter(mine), features).scores(1)[0]
-        chain = F.when(mine, score) if chain is None else chain.when(mine, score)
-    return rows.withColumn("WEALTH_INDEX", chain)
+    found = grouped_components(rows.filter(F.col(key).isin(list(surveys))), features, F.col(key))
+    found = found.select(F.col("key").alias("__key"), F.col("mean").alias("__mean"), F.col("std").alias("__std"), F.col("weights").alias("__weights"))
+    joined = rows.join(found, F.col(key).cast("string") == F.col("__key"), "left")
+    return joined.withColumn("WEALTH_INDEX", component_score(features, "__mean", "__std", "__weights")).drop("__key", "__mean", "__std", "__weights")
 
 
 def cluster_wealth(households: DataFrame, key: str = "survey") -> DataFrame:

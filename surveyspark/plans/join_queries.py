@@ -164,7 +164,7 @@ def _rect(x0, y0, w, h):
     f"""WITH a AS (SELECT s_suppkey AS area, CAST(s_suppkey % 10 AS DOUBLE) * 4 AS x, CAST(s_suppkey // 10 AS DOUBLE) * 4 AS y FROM supplier),
         z AS (SELECT n_nationkey AS zone, CAST(n_nationkey % 5 AS DOUBLE) * 7 + 0.5 AS x, CAST(n_nationkey // 5 AS DOUBLE) * 7 + 0.25 AS y, 1 + n_nationkey % 7 AS phase FROM nation),
         o AS (SELECT area, zone, phase, greatest(0, least(a.x + 4, z.x + 7) - greatest(a.x, z.x)) * greatest(0, least(a.y + 4, z.y + 7) - greatest(a.y, z.y)) AS shared FROM a, z)
-        SELECT area, zone_id, {r('shared')} AS shared, {r('own')} AS own, {r('ratio')} AS area_ratio FROM (
+        SELECT area, zone_id, {r('shared', 9)} AS shared, {r('own', 9)} AS own, {r('ratio', 9)} AS area_ratio FROM (
           SELECT area, zone AS zone_id, shared, 16.0 AS own, shared / 16 AS ratio, row_number() OVER (PARTITION BY area ORDER BY shared DESC, zone) AS i
           FROM o WHERE shared / 16 >= 0.3 AND phase <= 5) WHERE i = 1""",
 )
@@ -181,7 +181,7 @@ def polygon_overlay(t: Tables):
     )
     hits = ov.overlay_ratio(areas, zones, "area", "zone_id", min_ratio=0.3)
     hits = hits.join(zones.select("zone_id", "phase"), "zone_id")
-    return rounded(jn.largest_overlap(hits, ["area"], "area_ratio", "phase").drop("phase"))
+    return rounded(jn.largest_overlap(hits, ["area"], "area_ratio", "phase").drop("phase"), 9)
 
 
 _MONTHS = [f"{month:02d}{year}" for year in range(1992, 2002) for month in range(1, 13)]

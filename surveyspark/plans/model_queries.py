@@ -33,7 +33,22 @@ def pca_index(t: Tables):
     return rounded(out.drop("l_quantity", "l_extendedprice"), 5)
 
 
-@query("stratified_pca_index", ["ML-1"])
+_STRATA = {"urban": "URBAN_RURA = 'U'", "rural": "URBAN_RURA = 'R'", "all": "TRUE"}
+_TURN = "struct_pack(x := x + ab * y + ac * z, y := ab * x + y + bc * z, z := ac * x + bc * y + z)"
+
+
+@query(
+    "stratified_pca_index",
+    ["ML-1"],
+    f"""{oracle_views('clusters').replace("WITH", "WITH RECURSIVE", 1)},
+        t AS ({" UNION ALL ".join(f"SELECT '{k}' AS s, cluster, Actual AS a, Prediction AS b, households AS c FROM clusters WHERE {cond}" for k, cond in _STRATA.items())}),
+        g AS (SELECT s, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc, corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM t GROUP BY s),
+        it(s, i, x, y, z) AS (SELECT s, 0, 0.7::DOUBLE, 0.7::DOUBLE, 0.1::DOUBLE FROM g UNION ALL
+          SELECT s, i + 1, v.x / n, v.y / n, v.z / n FROM (SELECT s, i, v, sqrt(v.x * v.x + v.y * v.y + v.z * v.z) AS n FROM (SELECT it.s, i, {_TURN} AS v FROM it JOIN g ON g.s = it.s WHERE i < 200))),
+        w AS (SELECT it.s, x, y, z, CASE WHEN x + ab * y + ac * z < 0 THEN -1 ELSE 1 END AS d FROM it JOIN g ON g.s = it.s WHERE i = 200),
+        k AS (SELECT t.s, cluster, d * ((a - ma) / sa * x + (b - mb) / sb * y + (c - mc) / sc * z) AS score FROM t JOIN g ON g.s = t.s JOIN w ON w.s = t.s)
+        SELECT cluster, {", ".join(f"{r(f"max(CASE WHEN s = '{k}' THEN score END)", 5)} AS \"PCA {k}\"" for k in _STRATA)} FROM k GROUP BY cluster""",
+)
 def stratified_pca_index(t: Tables):
     """Index for urban, rural and all clusters, oriented by the first column."""
     ur = F.col("URBAN_RURA")
@@ -43,7 +58,16 @@ def stratified_pca_index(t: Tables):
     return rounded(out.select("cluster", "PCA urban", "PCA rural", "PCA all"), 5)
 
 
-@query("pca_reduction", ["ML-2"])
+@query(
+    "pca_reduction",
+    ["ML-2"],
+    f"""WITH RECURSIVE g AS (SELECT avg(l_quantity) AS ma, avg(l_discount) AS mb, avg(l_tax) AS mc, var_pop(l_quantity) AS aa, var_pop(l_discount) AS bb, var_pop(l_tax) AS cc,
+          covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_tax) AS ac, covar_pop(l_discount, l_tax) AS bc FROM lineitem),
+        it(i, x, y, z) AS (SELECT 0, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+          SELECT i + 1, v.x / n, v.y / n, v.z / n FROM (SELECT i, v, sqrt(v.x * v.x + v.y * v.y + v.z * v.z) AS n FROM (
+            SELECT i, struct_pack(x := aa * x + ab * y + ac * z, y := ab * x + bb * y + bc * z, z := ac * x + bc * y + cc * z) AS v FROM it, g WHERE i < 40)))
+        SELECT l_orderkey, {r('(l_quantity - ma) * x + (l_discount - mb) * y + (l_tax - mc) * z', 5)} AS pc0 FROM lineitem, g, it WHERE i = 40""",
+)
 def pca_reduction(t: Tables):
     cols = ["l_quantity", "l_discount", "l_tax"]
     out, _ = md.pca_reduce(t.lineitem.select("l_orderkey", *cols), cols, 0.98)

@@ -587,6 +587,27 @@ def test_hidden_values_and_rotation(spark):
     assert (hid[cols[1]].isna() == hid[cols[2]].isna()).all()
 
 
+def test_components_of_groups_from_one_scan(spark):
+    rng = np.random.default_rng(33)
+    rows = []
+    for key, shift in (("x", 0.0), ("y", 1e6), (None, -5.0)):
+        base = rng.normal(size=60)
+        rows += [(key, float(shift + b), float(2 * b + n), float(-b + m), float(b) if i % 9 else None) for i, (b, n, m) in enumerate(zip(base, rng.normal(size=60), rng.normal(size=60)))]
+    df = spark.createDataFrame(rows, "g string, a double, b double, c double, o double").repartition(7)
+    got = {r["key"]: r for r in md.grouped_components(df, ["a", "b", "c"], F.col("g"), "c").collect()}
+    assert set(got) == {"x", "y", None}
+    pdf = pd.DataFrame(rows, columns=["g", "a", "b", "c", "o"])
+    for key, r in got.items():
+        x = pdf[pdf.g.isna() if key is None else pdf.g == key][["a", "b", "c"]].to_numpy()
+        z = (x - x.mean(axis=0)) / x.std(axis=0)
+        ev, vec = np.linalg.eigh(z.T @ z / len(z))
+        want = vec[:, -1] * np.sign(np.corrcoef(z @ vec[:, -1], z[:, 2])[0, 1])
+        assert r["n"] == 60 and np.allclose(r["weights"], want, atol=1e-6) and np.allclose(r["mean"], x.mean(axis=0)) and np.allclose(r["std"], x.std(axis=0))
+    outside = md.grouped_components(df, ["a", "b"], F.col("g"), "o").collect()
+    assert all(r["n"] == 60 - 7 for r in outside) and all(r["weights"][0] > 0 for r in outside)
+    assert md.grouped_components(df.limit(0), ["a", "b"], F.col("g")).collect() == []
+
+
 def test_pca_index_and_reduction(spark):
     rng = np.random.default_rng(11)
     base = rng.normal(size=300)
