@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,27 +108,50 @@ def append_ledger(done: DataFrame, path: str) -> None:
     done.write.mode("append").parquet(path)
 
 
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first line of every file of a task; a file's lines follow each other."""
+    last = None
+    for batch in batches:
+        paths, lines = batch.column("path"), batch.column("line")
+        at = []
+        for i, path in enumerate(paths.to_pylist()):
+            if path != last:
+                at.append(i)
+                last = path
+        yield pa.RecordBatch.from_arrays([c.take(pa.array(at, pa.int64())) for c in (paths, lines)], names=["path", "header"])
+
+
+def file_headers(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """path and first line of every file below a folder, read in tasks; empty files have none."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    first = lines.filter("_metadata.file_block_start = 0").select(plain.alias("path"), F.col("value").alias("line"))
+    return first.mapInArrow(_first_lines, "path string, header string")
+
+
 def sweep_summaries(spark: SparkSession, root: str, marker: str, min_amount: int = 100, amount: str = "test amount") -> dict[str, DataFrame]:
     """Run summaries below a folder, tagged with the folder two levels up: all, old and new ones.
 
     ``new`` lacks the marker column in its file, ``old`` has it; both only with more than
-    ``min_amount`` test rows. Files are read in groups of equal header.
+    ``min_amount`` test rows. Headers are read in tasks; the driver sees their paths, grouped
+    by header, and makes one scan for each distinct header.
     """
     from surveyspark.core.bounded import collect_bounded
-    from surveyspark.sources.surveys import list_files
 
-    files = list_files(spark, root, "*run_summary*split_*.csv")
-    paths = [r["path"] for r in collect_bounded(files.filter(~F.contains("name", F.lit("splits"))).select("path"), 1_000_000, "summary files")]
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        groups.setdefault(tuple(read_csv(spark, p).columns), []).append(p)
+    found = file_headers(spark, root, "*run_summary*split_*.csv")
+    found = found.filter(~F.contains(F.element_at(F.split("path", "/"), -1), F.lit("splits")))
+    groups: dict[str, list[str]] = {}
+    for r in sorted(collect_bounded(found, 1_000_000, "summary files"), key=lambda r: r["path"]):
+        groups.setdefault(r["header"], []).append(r["path"])
     out: dict[str, DataFrame | None] = {"all": None, "old": None, "new": None}
 
     def add(name: str, df: DataFrame) -> None:
         out[name] = df if out[name] is None else out[name].unionByName(df, allowMissingColumns=True)
 
-    for header, members in groups.items():
-        df = read_csv(spark, members).withColumn("split name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3))
+    for members in groups.values():
+        df = read_csv(spark, members)
+        header = df.columns
+        df = df.withColumn("split name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3))
         df = df.withColumn("split name", F.url_decode("split name"))
         add("all", df)
         if amount in header:
