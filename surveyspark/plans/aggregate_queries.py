@@ -364,27 +364,32 @@ def period_region_type_statistics(t: Tables):
     return rounded(wide.withColumnsRenamed(names))
 
 
+# Every answer of the view belongs to one group; answers nobody gives are allowed in the lists.
+_COARSE = {
+    "piped": ["piped into dwelling", "piped to yard/plot", "public tap/standpipe", "public fountain", "piped to neighbour's house", "neighbor's tap", "not there"],
+    "groundwater": ["tube well or borehole", "protected well", "unprotected well", "protected spring", "unprotected spring", "public borehole", "open well in yard", "spring"],
+    "rain": ["rainwater"],
+    "surface": ["river/dam/lake/ponds/stream/canal/irrigation channel", "gravity flow scheme"],
+    "delivered": ["tanker truck", "cart with small tank", "motorcycle with three wheels"],
+    "packaged": ["bottled water", "sachet water", "water in plastic bag"],
+    "other": ["other", "neighborhood"],
+}
+
+
+def _coarse_sql(answers: list[str]) -> str:
+    names = ", ".join("'" + a.replace("'", "''") + "'" for a in answers)
+    return f"CAST(count(*) FILTER (source IN ({names})) AS BIGINT)"
+
+
 @query(
     "coarse_source_counts",
     ["AG-18"],
-    f"""
-    {oracle_views("households")}
-    SELECT cluster,
-           CAST(sum(CASE WHEN source IN ('piped into dwelling', 'piped to yard/plot', 'public tap/standpipe', 'public fountain', 'piped to neighbour''s house', 'neighbor''s tap') THEN 1 ELSE 0 END) AS BIGINT) AS piped,
-           CAST(sum(CASE WHEN source IN ('tube well or borehole', 'protected well', 'unprotected well', 'protected spring', 'unprotected spring', 'public borehole') THEN 1 ELSE 0 END) AS BIGINT) AS groundwater,
-           CAST(sum(CASE WHEN source = 'rainwater' THEN 1 ELSE 0 END) AS BIGINT) AS rain
-    FROM households GROUP BY cluster
-    """,
+    f"{oracle_views('households')} SELECT cluster, {', '.join(f'{_coarse_sql(a)} AS {g}' for g, a in _COARSE.items())} FROM households GROUP BY cluster",
 )
 def coarse_source_counts(t: Tables):
-    groups = {
-        "piped": ["piped into dwelling", "piped to yard/plot", "public tap/standpipe", "public fountain", "piped to neighbour's house", "neighbor's tap", "not there"],
-        "groundwater": ["tube well or borehole", "protected well", "unprotected well", "protected spring", "unprotected spring", "public borehole"],
-        "rain": ["rainwater"],
-    }
-    members = [m for g in groups.values() for m in g if m != "not there"]
+    members = [m for g in _COARSE.values() for m in g if m != "not there"]
     wide = ag.counts_wide(t.households, ["cluster"], "source", members, prefix="")
-    return wide.select("cluster", *ag.column_group_sums(groups, wide.columns))
+    return wide.select("cluster", *ag.column_group_sums(_COARSE, wide.columns))
 
 
 _REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]

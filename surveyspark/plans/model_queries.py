@@ -343,10 +343,7 @@ def area_rollup(t: Tables):
     return rounded(ev.area_rollup(t.clusters), 8)
 
 
-@query(
-    "slice_report",
-    ["ML-19", "AG-15", "AG-21"],
-    f"""{_ROLL_SQL}, named AS (
+_SLICE_SQL = f"""{_ROLL_SQL}, named AS (
           SELECT member || ' ' || level || CASE WHEN by_year THEN ' Year' ELSE '' END AS b, ' STD ' || sigma AS e, * FROM roll),
         l AS (SELECT 'Test' AS slice, Actual, Prediction FROM clusters
           UNION ALL SELECT b || e, Actual, Prediction FROM named
@@ -361,19 +358,29 @@ def area_rollup(t: Tables):
                 CASE WHEN DHSYEAR < 2015 AND URBAN_RURA = 'R' THEN 'Rural before 2015' END, CASE WHEN DHSYEAR >= 2015 AND URBAN_RURA = 'R' THEN 'Rural Since 2015' END], lambda x: x IS NOT NULL)) AS k
             FROM (SELECT c.*, s.sig FROM clusters c, ms, (SELECT unnest(['None', '3', '2']) AS sig) s
                   WHERE sig = 'None' OR (sig = '3' AND abs(Actual - m) <= 3 * ms.s) OR (sig = '2' AND abs(Actual - m) <= 2 * ms.s))))
-        SELECT slice, {metrics_sql('Actual', 'Prediction')} FROM l GROUP BY slice HAVING count(Actual) >= 3""",
-)
+        SELECT slice, {metrics_sql('Actual', 'Prediction')} FROM l GROUP BY slice HAVING count(Actual) >= 3"""
+
+
+@query("slice_report", ["ML-19", "AG-15", "AG-21"], _SLICE_SQL)
 def slice_report(t: Tables):
     return rounded(ev.slice_report(t.clusters, None, "AFRICA"))
 
 
+_ROW_SLICES = ["Test"] + [
+    f"{name} STD {sigma}" for sigma in ("None", "3", "2")
+    for name in ("Urban", "Rural", "AFRICA", "AFRICA urban", "AFRICA rural", "Before 2015", "Since 2015", "Urban before 2015", "Urban Since 2015", "Rural before 2015", "Rural Since 2015")
+]
+_ROW_METRICS = ["slope", "intercept", "pearson", "rmse", "nrmse", "r2"]
+
+
 @query(
     "report_row",
     ["ML-19"],
-    f"""{oracle_views('clusters')} SELECT {r('sqrt(avg(power(Actual - Prediction, 2)))')} AS "Test rmse", {r("sqrt(avg(power(Actual - Prediction, 2)) FILTER (URBAN_RURA = 'U'))")} AS "Urban STD None rmse" FROM clusters""",
+    f"""SELECT {", ".join(f"max(CASE WHEN slice = '{s}' THEN {m} END) AS \"{s} {m}\"" for s in _ROW_SLICES for m in _ROW_METRICS)} FROM ({_SLICE_SQL})""",
 )
 def report_row(t: Tables):
-    return rounded(ev.report_row(ev.slice_report(t.clusters, None, "AFRICA"), ["Test", "Urban STD None"], ["rmse"]))
+    """All row slices and metrics of the report side by side."""
+    return rounded(ev.report_row(ev.slice_report(t.clusters, None, "AFRICA"), _ROW_SLICES, _ROW_METRICS))
 
 
 _RADII = [*ev.RADII_KM, 50.0, _KM]
