@@ -307,7 +307,7 @@ def partial_dependence(t: Tables):
 
 @query("price_anomalies", ["ML-17"])
 def price_anomalies(t: Tables):
-    out = md.isolation_forest(t.series, "idx", ["price"], trees=50, max_samples=256)
+    out = md.isolation_forest(t.series, "idx", ["price"])
     return rounded(out.select("area", "idx", "anomaly_score", "anomaly"), 4)
 
 

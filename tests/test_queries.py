@@ -20,7 +20,7 @@ SF_DIR = "/root/testdata/sf0.001"
 WITHOUT_ORACLE = {
     "answer_word_similarity", "water_indices", "wealth_clusters", "packed_split_sizes", "packed_split", "year_disjoint_split",
     "mean_balanced_split", "mean_balanced_year_split", "kmeans_labels", "unified_answers",
-    "unified_answer_shares", "integrated_columns", "chained_imputation", "chained_forest_imputation", "imputation_benchmark",
+    "unified_answer_shares", "density_clusters", "integrated_columns", "chained_imputation", "chained_forest_imputation", "imputation_benchmark",
     "cross_validated_linear", "cross_validated_boosting", "price_anomalies",
 }
 
