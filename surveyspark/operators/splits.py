@@ -210,8 +210,8 @@ def even_moves(sizes: Sequence[tuple[int, int, int]], room: dict[int, float]) ->
 def _evened(groups: DataFrame, unit: Sequence[str], keys: Sequence[str], k: int, rounds: int, seed: int) -> DataFrame:
     """Rounds in which each large bin gives groups to a small one that holds none of their unit.
 
-    A pair of bins exchanges at most half of its gap. Groups whose pull the receiver lacks go
-    first. What the driver sees is a total for each bin and a histogram of group sizes.
+    A pair of bins exchanges at most half of its gap. Groups go first whose pull is nearest to
+    what would bring both to the same. What the driver sees is a total for each bin and a histogram of group sizes.
     """
     for _ in range(rounds):
         totals = {r["__bin"]: (r["n"], r["d"]) for r in groups.groupBy("__bin").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).collect()}  # k rows
@@ -221,9 +221,10 @@ def _evened(groups: DataFrame, unit: Sequence[str], keys: Sequence[str], k: int,
         pairs = [(h, low, gap) for h, low, gap in pairs if 2 * gap > EVEN * mean]
         if not pairs:
             break
-        pull = {b: (d / n if n else 0.0) for b, (n, d) in totals.items()}
-        table = [(i, h, low, gap, 1.0 if pull.get(h, 0.0) >= pull.get(low, 0.0) else -1.0) for i, (h, low, gap) in enumerate(pairs)]
-        small = groups.sparkSession.createDataFrame(table, "__pair int, __bin int, __to int, __room double, __sign double")
+        pull = {b: totals.get(b, (0, 0.0))[1] for b in range(k)}
+        # pull that should go over with each row, so that both bins end at the same
+        table = [(i, h, low, gap, (pull[h] - pull[low]) / 2 / gap) for i, (h, low, gap) in enumerate(pairs)]
+        small = groups.sparkSession.createDataFrame(table, "__pair int, __bin int, __to int, __room double, __wanted double")
         there = groups.select(*unit, F.col("__bin").alias("__to")).distinct()
         can = groups.join(F.broadcast(small), "__bin").filter(F.col("n") <= F.col("__room")).join(there, [*unit, "__to"], "left_anti")
         can = cut_lineage(can)
@@ -232,7 +233,7 @@ def _evened(groups: DataFrame, unit: Sequence[str], keys: Sequence[str], k: int,
         if not plan:
             break
         taken = groups.sparkSession.createDataFrame(plan, "__pair int, __size long, __take long")
-        rank = F.struct((-F.col("__sign") * F.col("d")).alias("pull"), seeded_hash(seed, *keys).alias("h"), *keys)
+        rank = F.struct(F.abs(F.col("d") - F.col("__wanted") * F.col("n")).alias("off"), seeded_hash(seed, *keys).alias("h"), *keys)
         asked = can.withColumn("__size", F.col("n")).join(taken, ["__pair", "__size"]).withColumn("__o", rank)
         place = value_positions(asked, ["__pair", "__size"], "__o").select("__pair", "__size", "__o", F.col("before").alias("__place"))
         moved = asked.join(place, ["__pair", "__size", "__o"]).filter(F.col("__place") < F.col("__take"))
