@@ -25,7 +25,7 @@ from surveyspark.llm.common import BASE, batches_of, cut_lineage, mix, release
 _U = np.uint64
 ORDERS = (3, 4, 5)
 #: Labelled rows and windows of them that the fit reads at most, and features it keeps at most.
-FIT_ROWS, FIT_WINDOWS, FEATURES = 8000, 24_000, 8192
+FIT_ROWS, FIT_WINDOWS, FEATURES = 8000, 12_000, 8192
 #: Characters of a window, and those it shares with the next.
 WINDOW, SHARED = 1200, 64
 SMOOTHING, LEAST_ROWS = 4.0, 3
@@ -203,18 +203,24 @@ def _known(hashes: np.ndarray) -> np.ndarray:
     return _TABLES[key]
 
 
-def _logistic(rows: np.ndarray, features: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Coefficients of scaled presence and bias, by Nesterov steps."""
+def _logistic(rows: np.ndarray, features: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float, steps: int, part: int = 1 << 18) -> tuple[np.ndarray, float]:
+    """Coefficients of scaled presence and bias, by Nesterov steps; sums go over parts of the presence list to keep the driver small."""
+    cuts = [slice(s, s + part) for s in range(0, len(rows), part)]
+
+    def by_row(w: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(rows[c], w[features[c]], len(y)) for c in cuts), np.zeros(len(y)))
+
+    def by_feature(g: np.ndarray) -> np.ndarray:
+        return scale * sum((np.bincount(features[c], g[rows[c]], len(scale)) for c in cuts), np.zeros(len(scale)))
+
     weight = np.full(len(y), 1 / len(y))
-    value = scale[features]
-    per_row = np.bincount(rows, value * value, len(y))
-    rate = 1 / (0.25 * (weight * (per_row + 1)).sum() + penalty)
+    rate = 1 / (0.25 * (weight * (by_row(scale * scale) + 1)).sum() + penalty)
     w, b = np.zeros(len(scale)), 0.0
     vw, vb = w.copy(), b
     for k in range(steps):
-        z = np.bincount(rows, value * vw[features], len(y)) + vb
+        z = by_row(scale * vw) + vb
         g = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        nw = vw - rate * (np.bincount(features, value * g[rows], len(scale)) + penalty * vw)
+        nw = vw - rate * (by_feature(g) + penalty * vw)
         nb = vb - rate * g.sum()
         m = k / (k + 3)
         vw, vb, w, b = nw + m * (nw - w), nb + m * (nb - b), nw, nb
@@ -277,10 +283,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), pa.array([feature[a:b].astype("<i4").tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["label", "features"])
 
-    got = sample.mapInArrow(present, "label int, features binary").collect()  # at most ``windows`` lists of features
-    got = sorted((g["label"], bytes(g["features"])) for g in got)
-    lists = [np.frombuffer(g, "<i4") for _, g in got]
+    got = sample.mapInArrow(present, "label int, features binary").toArrow()  # at most ``windows`` lists of features
+    got = sorted(zip(got.column("label").to_pylist(), got.column("features").to_pylist()))
     y = np.array([label for label, _ in got], float)
-    at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    w, b = _logistic(at, np.concatenate(lists).astype(np.int64), scale, y, penalty=3e-4, steps=300)
+    at = np.repeat(np.arange(len(got), dtype=np.int32), [len(x) // 4 for _, x in got])
+    of = np.frombuffer(b"".join(x for _, x in got), "<i4")
+    del got
+    w, b = _logistic(at, of, scale, y, penalty=3e-4, steps=300)
+    del at, of
+    release()
     return ToxicityModel(hashes, w * scale, b)
