@@ -264,7 +264,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     sample = texts.join(F.broadcast(known), "id").select("text", "label")  # ``rows`` bounds the broadcast side
     cut = f"transform(sequence(0, cast(greatest(0, ceil((length(text) - {SHARED}) / {WINDOW}) - 1) as int)), i -> substring(text, i * {WINDOW} + 1, {WINDOW + SHARED}))"
     sample = sample.select("label", F.explode(F.expr(cut)).alias("text")).orderBy(F.xxhash64("text"), "text", "label").limit(windows)
-    sample = cut_lineage(sample.repartition(tasks, F.xxhash64("text")))
+    sample = cut_lineage(sample.repartition(tasks, F.xxhash64("text")).coalesce(tasks))
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     positive, negative = sizes.get(1, 0), sizes.get(0, 0)
     nothing = ToxicityModel(np.zeros(0, _U), np.zeros(0), -500.0)
