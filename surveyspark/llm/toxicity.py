@@ -62,12 +62,12 @@ def grams(words: np.ndarray, orders: tuple[int, ...] = ORDERS) -> Iterator[np.nd
             yield h
 
 
-def _chunks(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of rows with about ``limit`` characters; a longer text stands alone, whole."""
+def _chunks(texts: list[str | None], limit: int = 1 << 18, rows: int = 512) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of rows with about ``limit`` characters and at most ``rows`` rows; a longer text stands alone, whole."""
     at, size, first = 0, 0, 0
     for at, t in enumerate(texts):
         size += len(t or "")
-        if size >= limit:
+        if size >= limit or at - first + 1 == rows:
             yield first, texts[first : at + 1]
             first, size = at + 1, 0
     if first < len(texts):
@@ -147,20 +147,24 @@ class ToxicityModel:
     bias: float
 
     def presence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (row, feature) pairs."""
+        """Distinct (row, feature) pairs, in order."""
         rows, features = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        known = _known(self.hashes)
-        for first, part in _chunks(texts):
+        slots, others = _slots(self.hashes)
+        for first, part in _chunks(texts) if len(self.hashes) else ():
             words, row = _joined(part)
+            held = np.zeros((len(part), len(self.hashes)), bool)
             for h in grams(words):
-                at = np.flatnonzero(known[(h * _U(BASE)) >> _U(64 - _TABLE_BITS)])
-                if len(at) and len(self.hashes):
-                    place = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-                    hit = self.hashes[place] == h[at]
-                    rows.append(row[at[hit]] + first)
-                    features.append(place[hit])
-        pairs = np.unique(np.concatenate(rows) * max(len(self.hashes), 1) + np.concatenate(features))
-        return pairs // max(len(self.hashes), 1), pairs % max(len(self.hashes), 1)
+                slot = slots[(h * _U(BASE)) >> _U(64 - _TABLE_BITS)]
+                at = np.flatnonzero(slot >= 0)
+                place = slot[at]
+                hit = self.hashes[place] == h[at]
+                held[row[at[hit]], place[hit]] = True
+                for f in others:
+                    held[row[np.flatnonzero(h == self.hashes[f])], f] = True
+            at, place = np.nonzero(held)
+            rows.append(at + first)
+            features.append(place)
+        return np.concatenate(rows), np.concatenate(features)
 
     def window_logits(self, windows: list[str]) -> np.ndarray:
         rows, features = self.presence(windows)
@@ -189,17 +193,18 @@ class ToxicityModel:
         return scored(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
-_TABLES: dict[bytes, np.ndarray] = {}
+_TABLES: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _known(hashes: np.ndarray) -> np.ndarray:
-    """Which table places hold a feature; a task builds it once for a model."""
+def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The feature at each place of a table (-1: none), and the few whose place is taken; a task builds it once for a model."""
     key = hashes.tobytes()
     if key not in _TABLES:
         _TABLES.clear()
-        table = np.zeros(1 << _TABLE_BITS, bool)
-        table[(hashes * _U(BASE)) >> _U(64 - _TABLE_BITS)] = True
-        _TABLES[key] = table
+        places = (hashes * _U(BASE)) >> _U(64 - _TABLE_BITS)
+        table = np.full(1 << _TABLE_BITS, -1, np.int32)
+        table[places] = np.arange(len(hashes))
+        _TABLES[key] = table, np.flatnonzero(table[places] != np.arange(len(hashes)))
     return _TABLES[key]
 
 

@@ -224,3 +224,16 @@ def test_windows_cover_the_text():
         text = "".join(chr(97 + i % 23) for i in range(n))
         parts = windows_of(text)
         assert all(len(p) <= WINDOW + SHARED for p in parts) and "".join(p[:WINDOW] for p in parts[:-1]) + parts[-1] == text
+
+
+def test_presence_of_features_that_share_a_place(monkeypatch):
+    from surveyspark.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "_TABLE_BITS", 3)
+    monkeypatch.setattr(toxicity, "_TABLES", {})
+    texts = ["abcdefgh", "", "hgfedcba abc", None, "xyz" * 300]
+    own = [np.unique(np.concatenate(list(toxicity.grams(toxicity._joined([t])[0])))) if t else np.zeros(0, np.uint64) for t in texts]
+    model = toxicity.ToxicityModel(np.unique(np.concatenate(own))[::2], np.zeros(0), 0.0)
+    rows, features = model.presence(texts)
+    want = [(i, f) for i, o in enumerate(own) for f, h in enumerate(model.hashes) if h in set(o.tolist())]
+    assert list(zip(rows.tolist(), features.tolist())) == want and len(want) > 20
