@@ -498,6 +498,43 @@ def test_vector_clusters_do_not_depend_on_cells(spark):
         assert {i: got.get(i, i) for i in range(len(v))} == dict(enumerate(want))
 
 
+def test_vector_cells_are_not_copied_where_no_pivot_tells_them_apart(spark, monkeypatch):
+    """Directions in many dimensions are all about 1.4 apart: with steps of 0.95 every cell would hold every vector."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(420, 32))
+    v[:60] = rng.normal(size=32) + rng.normal(0, 0.1, (60, 32))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    v[400:] = v[:20]
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(900, None)], "id long, v array<float>")
+    d = np.linalg.norm(v[:, None].astype(float) - v.astype(float), axis=2)
+    want = brute_components(len(v), [(i, j) for i, j in zip(*np.where(d <= 0.95)) if i < j])
+    compared = []
+    blocks = cl._block_edges
+    monkeypatch.setattr(cl, "_block_edges", lambda cells, *a: (compared.append(cells.count()), blocks(cells, *a))[1])
+    edges = cl.vector_near_pairs(df, "id", "v", 0.95, pivots=8, max_cell=32, depth=3)
+    got = {r["node"]: r["component"] for r in cl.connected_components(edges).collect()}
+    assert compared == [400]
+    assert 900 not in got and {i: got.get(i, i) for i in range(len(v))} == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-6, 0.0), (1.0, 1e6), (1e18, 0.0)])
+def test_near_vectors_of_any_size_are_linked(scale, shift):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(700, 5)) * scale + shift
+    x[5, 2], x[6, 0] = np.nan, np.inf
+    radius = 0.7 * scale
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    want = brute_components(len(x), [(i, j) for i, j in zip(*np.where(d <= radius)) if i < j])
+    one = cl._Links(np.arange(len(x)))
+    cl._link(x, one, range(len(x)), range(len(x)), radius)
+    assert one.label.tolist() == list(want)
+    two = cl._Links(np.arange(len(x)))
+    for part in (range(300), range(300, len(x))):
+        cl._link(x, two, part, part, radius)
+    cl._link(x, two, range(300), range(300, len(x)), radius)
+    assert two.label.tolist() == list(want)
+
+
 # --- imputation and models ----------------------------------------------------------------
 
 
