@@ -16,7 +16,7 @@ the hierarchy are ever in one place. Selection climbs the table of clusters by d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -31,32 +31,43 @@ LEAF, TREES, CHUNK = 1024, 6, 500_000
 SHORTEST = 1e-9
 
 
-def _planes(spark, trees: int, size: int, level: int, seed: int) -> DataFrame:
-    rng = np.random.default_rng([seed, level])
-    return spark.createDataFrame([(t, rng.normal(size=size).tolist()) for t in range(trees)], "tree int, plane array<double>")
+def _planes(spark, trees: int, size: int, levels: range, seed: int) -> DataFrame:
+    """tree and its random directions of some levels."""
+    drawn = [np.random.default_rng([seed, level]).normal(size=(trees, size)) for level in levels]
+    rows = [(t, [d[t].tolist() for d in drawn]) for t in range(trees)]
+    return spark.createDataFrame(rows, "tree int, planes array<array<double>>")
 
 
 def _leaves(rows: DataFrame, size: int, leaf: int, trees: int, seed: int) -> DataFrame:
     """(id, v, tree, cell): cells of at most ``leaf`` rows, cut at the median along random directions.
 
-    Rows that no direction tells apart are dealt out by their hash.
+    Rows that no direction tells apart are dealt out by their hash. The levels work on the
+    rows' places along the directions alone; vectors are joined to the cells at the end.
     """
-    work = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("cell", F.lit(0).cast("long"))
+    rows = cut_lineage(rows.select("id", "v", F.monotonically_increasing_id().alias("row")))
+    each = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    total = rows.count()
+    if total <= leaf:
+        return rows.select("id", "v", each, F.lit(0).cast("long").alias("cell"))
+    ahead = max(1, math.ceil(math.log2(total / leaf))) + 1
     done, level = None, 0
     while True:
-        work = cut_lineage(work)
-        sizes = cut_lineage(work.groupBy("tree", "cell").agg(F.count(F.lit(1)).alias("n")))
-        small = work.join(sizes.filter(F.col("n") <= leaf).drop("n"), ["tree", "cell"], "left_semi")
+        if level % ahead == 0:  # the next directions
+            at = rows.select("row", "id", "v", each).withColumn("cell", F.lit(0).cast("long")) if not level else work.drop("ps").join(rows.select("row", "v"), "row")
+            planes = F.broadcast(_planes(rows.sparkSession, trees, size, range(level, level + ahead), seed))  # ``trees`` rows
+            along = F.transform("planes", lambda plane: F.aggregate(F.zip_with("v", plane, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
+            work = settle(at.join(planes, "tree").select("row", "id", "tree", "cell", along.alias("ps")))
+        p = F.col("ps")[0]
+        cuts = work.groupBy("tree", "cell").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(p, 0.5).alias("m"), F.min(p).alias("lo"), F.max(p).alias("hi"))
+        cuts = settle(cuts)
+        small = work.join(cuts.filter(F.col("n") <= leaf), ["tree", "cell"], "left_semi").select("row", "tree", "cell")
         done = small if done is None else done.unionByName(small)
-        if sizes.filter(F.col("n") > leaf).isEmpty():
-            return done
-        planes = F.broadcast(_planes(work.sparkSession, trees, size, level, seed))  # ``trees`` rows
-        along = F.aggregate(F.zip_with("v", "plane", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        large = work.join(sizes.filter(F.col("n") > leaf), ["tree", "cell"]).join(planes, "tree").withColumn("p", along).drop("plane", "n")
-        cuts = large.groupBy("tree", "cell").agg(F.percentile_approx("p", 0.5).alias("m"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+        if cuts.filter(F.col("n") > leaf).isEmpty():
+            return done.join(rows, "row").select("id", "v", "tree", "cell")
         above = F.when(F.col("lo") == F.col("hi"), F.pmod(F.xxhash64("id", F.lit(level)), F.lit(2)) == 1)
-        above = above.otherwise(F.when(F.col("m") == F.col("hi"), F.col("p") >= F.col("m")).otherwise(F.col("p") > F.col("m")))
-        work = large.join(cuts, ["tree", "cell"]).select("id", "v", "tree", F.xxhash64("cell", above).alias("cell"))
+        above = above.otherwise(F.when(F.col("m") == F.col("hi"), p >= F.col("m")).otherwise(p > F.col("m")))
+        rest = F.slice("ps", 2, ahead).alias("ps")
+        work = settle(work.join(cuts.filter(F.col("n") > leaf), ["tree", "cell"]).select("row", "id", "tree", F.xxhash64("cell", above).alias("cell"), rest))
         level += 1
 
 
@@ -99,6 +110,7 @@ def near_neighbours(rows: DataFrame, k: int, leaf: int = LEAF, trees: int = TREE
     size = first["s"] if first else 1
     trees = 1 if rows.limit(leaf + 1).count() <= leaf else trees  # one leaf holds all
     found = _leaves(rows, size, leaf, trees, seed).groupBy("tree", "cell").applyInArrow(_near_in_leaf(k), "a long, b long, d double")
+    found = found.repartition("a")  # both steps below need the rows of an ``a`` together
     order = Window.partitionBy("a").orderBy("d", "b")  # at most k rows of each tree
     return found.groupBy("a", "b").agg(F.min("d").alias("d")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 

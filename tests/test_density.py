@@ -149,3 +149,20 @@ def test_neighbours_in_many_leaves(spark):
     true = np.sort(np.linalg.norm(x[:, None] - x, axis=2), axis=1)[:, 5]
     far = got.groupby("a")["d"].max().to_numpy()
     assert (far >= true - 1e-9).all() and np.mean(far <= true * 1.001 + 1e-12) > 0.7
+
+
+def test_leaves_write_the_vectors_once(spark, monkeypatch):
+    """However many levels and trees there are, vectors are written with their rows alone."""
+    g = np.random.default_rng(6)
+    x = g.normal(size=(500, 4))
+    x[50:350] = x[50]  # need more levels than halving all rows would
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
+    wide = []
+    for name in ("cut_lineage", "settle"):
+        monkeypatch.setattr(de, name, lambda df, f=getattr(de, name): (wide.append(df.count()) if "v" in df.columns else None, f(df))[1])
+    got = de._leaves(rows, 4, 32, 3, 11).toPandas()
+    assert wide == [500]
+    assert sorted(zip(got["tree"], got["id"])) == [(t, i) for t in range(3) for i in range(500)]
+    assert (np.stack(got["v"]) == x[got["id"]]).all()
+    sizes = got.groupby(["tree", "cell"]).size()
+    assert sizes.max() <= 32 and sizes[sizes > 8].sum() > 1000
