@@ -16,6 +16,7 @@ from surveyspark.llm import forest_dedup, spans
 from surveyspark.llm.automaton_dedup import SuffixAutomaton, remove_seen
 from surveyspark.llm.forest_dedup import near_components
 from surveyspark.llm.lpf_dedup import factor_flags, remove_repeats, window_ranks
+from surveyspark.llm.queries import QUERIES
 
 
 def corpus(seed: int, docs: int = 60) -> list[tuple[int, str]]:
@@ -185,6 +186,28 @@ def test_repeats_on_hard_rows(spark, documents, hard_rows):
     assert sorted((r.doc_id, r.n_removed, r.n_spans) for r in run) == [(1, 0, 0), (10, 30000, 1)]
 
 
+def test_passages_of_over_fifty_words_go_from_400_bytes_on(spark, documents, tmp_path):
+    g = random.Random(6)
+
+    def prose(n):
+        return " ".join("".join(g.choices("abcdefghij", k=6)) for _ in range(n))
+
+    rows, lengths, i = [], {}, 0
+    for n_bytes in (399, 400, 401, 700):
+        passage = prose(n_bytes // 7 + 1)[: n_bytes - 1] + "k"
+        assert len(passage.split()) > 50
+        for side in "lm":  # no byte beside the passage repeats with it
+            rows.append((i, f"{prose(40)}{side}{passage}{side}{prose(40)}"))
+            lengths[i] = n_bytes
+            i += 1
+    rows += [(100 + j, prose(g.randint(51, 200))) for j in range(20)]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["op7_suffix_array_dedup"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == brute_bytes(rows, 400)
+    assert {r[0]: r[2] for r in got if r[0] < 100} == {k: n if n >= 400 else 0 for k, n in lengths.items()}
+    assert all(r[2] == 0 for r in got if r[0] >= 100)
+
+
 def test_keep_first_keeps_the_smallest_document(spark, documents):
     text = " ".join(f"w{i}" for i in range(40))
     got = {r.doc_id: r for r in remove_repeats(documents([(5, text), (3, text), (9, text + " more")]), width=60, k=12, keep_first=True, with_bytes=True).collect()}
